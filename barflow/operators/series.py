@@ -9,6 +9,9 @@ How the cut is planned: bars are unique per (ticker, ts) and spaced by at least
 of ``bucket_rows`` intervals holds at most ``bucket_rows`` bars of a ticker.  The bars per (ticker, bucket) are
 counted (map-side combined), summed up along the buckets of each ticker (a small table) and joined back.
 
+A table that is small as a whole (by the optimizer's size estimate, checked at plan time like a broadcast) cannot
+hold a long series: it skips the counting and is one block per ticker.
+
 Columns added: ``_blk``, ``_halo`` (row is a copy), ``_pos`` (0-based position in the whole series).
 """
 from __future__ import annotations
@@ -24,15 +27,34 @@ DAY = 86400
 BLOCK_ROWS = 131072
 HALO_ROWS = 8192
 BUCKET_ROWS = 256
+SMALL_BYTES = 32 << 20
+_ONE = "one_block"
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate, from file sizes and row widths; no job is run."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except AttributeError:   # a remote session does not expose it
+        return None
+
+
+def one_block(df: DataFrame) -> bool:
+    return bool(df.schema[BLK].metadata.get(_ONE))
 
 
 def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block_rows: int = BLOCK_ROWS,
-            bucket_rows: int = BUCKET_ROWS, carry: Mapping[str, Column] | None = None) -> DataFrame:
+            bucket_rows: int = BUCKET_ROWS, carry: Mapping[str, Column] | None = None,
+            small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Cut ``bars`` into blocks.  ``carry`` names row-local amounts whose total over all rows before the first row
     of the block is wanted (column of that name, constant in a block)."""
     if halo + 2 * bucket_rows > block_rows:
         raise ValueError("block_rows must exceed halo + 2 * bucket_rows")
     carry = carry or {}
+    size = plan_bytes(bars) if small_bytes else None
+    if size is not None and size <= small_bytes:
+        df = bars.withColumns({BLK: F.lit(0), HALO: F.lit(False), **{name: F.lit(0.0) for name in carry}})
+        return df.withMetadata(BLK, {_ONE: True}).withColumn(POS, F.row_number().over(_w()).cast("long") - 1)
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(interval_s * bucket_rows))
     src = bars.withColumn("_tb", bucket)
 
@@ -176,6 +198,8 @@ def _ewm_chunked(df: DataFrame, specs, size: int) -> DataFrame:
 
 def running_sum(df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
     """Cumulative sums along the whole series: running inside a block plus the total of the blocks before it."""
+    if one_block(df):
+        return df.withColumns({name: F.sum(x).over(running()) for name, x in sums.items()})
     tmp = {f"_x_{name}": F.when(~F.col(HALO), x) for name, x in sums.items()}
     df = df.withColumns(tmp)
     totals = df.filter(~F.col(HALO)).groupBy("ticker", BLK).agg(*[F.sum(t).alias(t) for t in tmp])

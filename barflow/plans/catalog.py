@@ -1,3 +1,3 @@
 """All registered queries."""
-from barflow.plans import indicator_queries  # noqa: F401
+from barflow.plans import indicator_queries, rule_queries, table_queries  # noqa: F401
 from barflow.plans.registry import ORACLES, QUERIES  # noqa: F401
