@@ -1,3 +1,4 @@
 """All registered queries."""
-from barflow.plans import indicator_queries, rule_queries, table_queries  # noqa: F401
+from barflow.plans import (  # noqa: F401
+    chart_queries, indicator_queries, rule_queries, scan_queries, table_queries)
 from barflow.plans.registry import ORACLES, QUERIES  # noqa: F401
