@@ -2,7 +2,7 @@
 
 A window over ``partitionBy(ticker)`` puts one ticker on one task, so a ticker that holds a third of the
 table would stall the job.  ``blocked`` cuts every series into blocks of about ``block_rows`` bars and copies
-the last ``halo`` bars of a block to the next one.  Windows then run over ``(ticker, _blk)``: one shuffle, each
+the last ``halo`` bars of a block to the next one and the first ``ahead`` bars back to the one before (outcomes look forward).  Windows then run over ``(ticker, _blk)``: one shuffle, each
 group bounded, and every look-back up to ``halo`` bars is exact.  A ticker shorter than a block is one block.
 
 How the cut is planned: bars are unique per (ticker, ts) and spaced by at least ``interval_s``, so a clock bucket
@@ -26,6 +26,7 @@ DAY = 86400
 
 BLOCK_ROWS = 131072
 HALO_ROWS = 8192
+AHEAD_ROWS = 1024
 BUCKET_ROWS = 256
 SMALL_BYTES = 32 << 20
 _ONE = "one_block"
@@ -45,11 +46,11 @@ def one_block(df: DataFrame) -> bool:
 
 def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block_rows: int = BLOCK_ROWS,
             bucket_rows: int = BUCKET_ROWS, carry: Mapping[str, Column] | None = None,
-            small_bytes: int = SMALL_BYTES) -> DataFrame:
+            small_bytes: int = SMALL_BYTES, ahead: int = AHEAD_ROWS) -> DataFrame:
     """Cut ``bars`` into blocks.  ``carry`` names row-local amounts whose total over all rows before the first row
     of the block is wanted (column of that name, constant in a block)."""
-    if halo + 2 * bucket_rows > block_rows:
-        raise ValueError("block_rows must exceed halo + 2 * bucket_rows")
+    if max(halo, ahead) + 2 * bucket_rows > block_rows:
+        raise ValueError("block_rows must exceed halo and ahead by 2 * bucket_rows")
     carry = carry or {}
     size = plan_bytes(bars) if small_bytes else None
     if size is not None and size <= small_bytes:
@@ -70,10 +71,13 @@ def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block
     plan = plan.withColumn("_b", F.floor(F.col("_cum") / F.lit(block_rows)))
     end = F.max(F.col("_cum") + F.col("_n")).over(Window.partitionBy("ticker", "_b"))
     reaches_next = (end - (F.col("_cum") + F.col("_n")) < F.lit(halo)) & (end < F.col("_total"))
-    homes = F.when(reaches_next, F.array(
-        F.struct(F.col("_b").alias("b"), F.lit(False).alias("h")),
-        F.struct((F.col("_b") + 1).alias("b"), F.lit(True).alias("h")),
-    )).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("h"))))
+    start = F.min("_cum").over(Window.partitionBy("ticker", "_b"))
+    near_start = (F.col("_cum") - start < F.lit(ahead)) & (F.col("_b") > 0)
+
+    def home(shift: int, copied: bool):
+        return F.struct((F.col("_b") + shift).alias("b"), F.lit(copied).alias("h"))
+    homes = F.filter(F.array(home(0, False), F.when(reaches_next, home(1, True)), F.when(near_start, home(-1, True))),
+                     lambda x: x.isNotNull())
     plan = plan.select("ticker", "_tb", "_cum", homes.alias("_homes"), *carry)
 
     rows = (
@@ -200,20 +204,15 @@ def running_sum(df: DataFrame, sums: Mapping[str, Column]) -> DataFrame:
     """Cumulative sums along the whole series: running inside a block plus the total of the blocks before it."""
     if one_block(df):
         return df.withColumns({name: F.sum(x).over(running()) for name, x in sums.items()})
-    tmp = {f"_x_{name}": F.when(~F.col(HALO), x) for name, x in sums.items()}
-    df = df.withColumns(tmp)
-    totals = df.filter(~F.col(HALO)).groupBy("ticker", BLK).agg(*[F.sum(t).alias(t) for t in tmp])
+    own = {f"_x_{name}": x for name, x in sums.items()}
+    df = df.withColumns(own)
+    totals = df.filter(~F.col(HALO)).groupBy("ticker", BLK).agg(*[F.sum(t).alias(t) for t in own])
     before = Window.partitionBy("ticker").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("ticker", BLK, *[
-        F.coalesce(F.sum(t).over(before), F.lit(0.0)).alias(f"_c{t}") for t in tmp])
-    halo_sum = {f"_h{t}": F.coalesce(F.sum(F.when(F.col(HALO), x)).over(running()), F.lit(0.0))
-                for t, x in zip(tmp, sums.values())}
-    df = df.withColumns({**halo_sum, **{t: F.coalesce(F.sum(t).over(running()), F.lit(0.0)) for t in tmp}})
-    # copies sit before the block's own rows: their level is the carry minus the copies that follow
-    last = {f"_t{h}": F.sum(F.when(F.col(HALO), x)).over(Window.partitionBy("ticker", BLK))
-            for h, x in zip(halo_sum, sums.values())}
-    df = df.withColumns(last).join(carry, ["ticker", BLK])
-    for name, t, h in zip(sums, tmp, halo_sum):
-        df = df.withColumn(name, F.col(f"_c{t}") + F.when(
-            F.col(HALO), F.col(h) - F.coalesce(F.col(f"_t{h}"), F.lit(0.0))).otherwise(F.col(t)))
-    return df.drop(*tmp, *halo_sum, *last, *[f"_c{t}" for t in tmp])
+    carry = totals.select("ticker", BLK, *[F.coalesce(F.sum(t).over(before), F.lit(0.0)).alias(f"_c{t}") for t in own])
+    whole = Window.partitionBy("ticker", BLK)
+    # copies from the block before sit ahead of the block's own rows: the level at the first row is the carry minus them
+    df = df.withColumn("_p0", F.min(F.when(~F.col(HALO), F.col(POS))).over(whole))
+    lead_in = {f"_h{t}": F.coalesce(F.sum(F.when(F.col(POS) < F.col("_p0"), F.col(t))).over(whole), F.lit(0.0)) for t in own}
+    df = df.withColumns({**lead_in, **{f"_r{t}": F.sum(t).over(running()) for t in own}}).join(carry, ["ticker", BLK])
+    df = df.withColumns({name: F.col(f"_c{t}") - F.col(f"_h{t}") + F.col(f"_r{t}") for name, t in zip(sums, own)})
+    return df.drop("_p0", *own, *[f"{k}{t}" for t in own for k in ("_h", "_r", "_c")])
