@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barflow.functions.scalar import clamp, div, pick
 from barflow.operators import indicators as I, series as S
 from barflow.operators.quantiles import exact_quantiles
+from barflow.session import cut_lineage
 
 c = F.col
 
@@ -47,7 +48,7 @@ def profile_weight(profile: Column, s: Column) -> Column:
 def volatility_terciles(bars: DataFrame, window: int = 780, interval_s: int = 900) -> DataFrame:
     """Annualised volatility, exact 33 % and 67 % cuts of the ticker, and the tercile 0/1/2 of each bar."""
     df = I.add_change(S.blocked(bars, interval_s)).withColumn("vol", I.realised_vol(S.std(c("ret"), window)))
-    df = S.unblock(df).filter(c("vol").isNotNull()).select("ticker", "ts", "close", "vol")
+    df = cut_lineage(S.unblock(df).filter(c("vol").isNotNull()).select("ticker", "ts", "close", "vol"))   # read three times below
     cuts = exact_quantiles(df, ["ticker"], "vol", {"low_cut": 0.33, "high_cut": 0.67})
     return df.join(cuts, "ticker").withColumn("regime", pick((c("vol") <= c("low_cut"), 0), (c("vol") <= c("high_cut"), 1), default=2))
 
@@ -78,7 +79,8 @@ FEATURES = ["realised_vol", "trend_strength", "volume_regime", "day_range", "ear
 
 
 def cluster(features: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Standardise and k-means over all rows; MLlib trains on the partitions."""
+    """Standardise and k-means over all rows.  MLlib passes over the rows many times, so they are written once first."""
+    features = cut_lineage(features)
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler

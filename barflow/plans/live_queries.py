@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barflow.functions.scalar import r
+from barflow.operators import bars as B
 from barflow.plans import sql as Q
 from barflow.plans.registry import query
 from barflow.plans.table_queries import OHLC, PX, px
@@ -123,11 +124,12 @@ def source_json_envelope(spark, sf):
     return px(R.read_envelope(spark, out, "click", 5))
 
 
-@query("source_log_partitions", f"WITH {Q.BARS_1H} SELECT ticker, ts, round(close, 4) AS price FROM b WHERE CAST(ts AS DATE) > DATE '2024-01-17' AND CAST(ts AS DATE) <= DATE '2024-01-20'")
+@query("source_log_partitions", f"""WITH {Q.TICKS} SELECT ticker, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, round(last(price ORDER BY ts, event_id), 4) AS price FROM t
+ WHERE CAST(ts AS DATE) > DATE '2024-01-17' AND CAST(ts AS DATE) <= DATE '2024-01-20' GROUP BY 1, 2""")
 def source_log_partitions(spark, sf):
     """Predictions written by ticker/date/hour; the last three dates read back with pruned partitions."""
     out = _folder(spark, "log")
-    p = V.bars_1h(spark, sf).select("ticker", c("ts").cast("timestamp").alias("ts"), c("close").alias("price"), F.lit(0.1).alias("pred_pct"),
+    p = B.rollup_bars(V.bars_1h(spark, sf), "day").select("ticker", c("ts").cast("timestamp").alias("ts"), c("close").alias("price"), F.lit(0.1).alias("pred_pct"),
                                     F.lit("BULLISH").alias("direction"), F.lit(0.5).alias("confidence"))
     W.write_predictions(p, out)
     return _ntz(R.read_log(spark, out, "2024-01-20", 3), "ts").select("ticker", "ts", r(c("price")).alias("price"))

@@ -8,6 +8,7 @@ from barflow.operators import evaluate as V2, indicators as I, mentions as M, se
 from barflow.plans import sql as Q
 from barflow.plans.indicator_queries import sel
 from barflow.plans.registry import query
+from barflow.session import cut_lineage
 from barflow.sources import views as V
 
 c = F.col
@@ -192,7 +193,8 @@ def _universe(spark):
 
 
 def _mentions(spark, sf):
-    return M.extract(M.prepare(V.posts(spark, sf), LEX), _universe(spark))
+    """Mentions, written once to the shared folder: several aggregates follow and the text must not be read again."""
+    return cut_lineage(M.extract(M.prepare(V.posts(spark, sf), LEX), _universe(spark)))
 
 
 @query("text_mentions", f"WITH {MEN_SQL} SELECT ticker, url, created_utc, engagement, influencer, round(sent, 4) AS sent FROM m3")
@@ -239,7 +241,7 @@ HYPE_SQL = f"""{HOUR_SQL}, h1 AS (SELECT * FROM (SELECT *, epoch((SELECT max(hou
 
 @query("text_hype_index", f"WITH {HYPE_SQL} SELECT ticker, m24 AS mentions_24h, {sel(sent_24h='s24', mentions_growth='mg', engagement_growth='eg', sent_momo='momo', engagement_z='ez', mentions_z='mz', hype_index='hype')}, CASE WHEN m24 >= 10 AND mg >= 100 AND hype >= 1.2 THEN 1 ELSE 0 END AS alert FROM h4")
 def text_hype_index(spark, sf):
-    h = M.hype(M.hourly_features(_mentions(spark, sf)))
+    h = M.hype(cut_lineage(M.hourly_features(_mentions(spark, sf))))
     return h.select("ticker", "mentions_24h", *[r(c(x)).alias(x) for x in ("sent_24h", "mentions_growth", "engagement_growth", "sent_momo", "engagement_z", "mentions_z", "hype_index")], "alert")
 
 

@@ -50,9 +50,10 @@ def retain_hours(df: DataFrame, hours: int = 168) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, folder: str) -> None:
-    """JSON by ticker/date/hour; rows of a directory may come from many tasks, so a hot ticker does not wait on one."""
-    (df.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")}).write.mode("append")
-     .partitionBy("ticker", "date", "hour").json(folder))
+    """JSON by ticker/date/hour.  Rows meet their directory in one task (few files); a hot ticker spreads over its hours."""
+    key = ["ticker", "date", "hour"]
+    (df.withColumns({"date": F.to_date("ts"), "hour": F.hour("ts")}).repartition(*key).write.mode("append")
+     .partitionBy(*key).json(folder))
 
 
 def write_csv(df: DataFrame, folder: str) -> None:
