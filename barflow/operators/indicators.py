@@ -305,19 +305,25 @@ def hourly_bundle(bars: DataFrame, interval_s: int = 3600) -> DataFrame:
 
 
 def daily_bundle(bars: DataFrame, interval_s: int = S.DAY, obv: bool = True) -> DataFrame:
-    """About thirty daily indicators over one shuffle by (ticker, block).  Returns a blocked frame."""
+    """About thirty daily indicators over one shuffle by (ticker, block).  Returns a blocked frame.
+
+    All first-level recurrences run in one scan call, so they share its sorts."""
     from barflow.operators.candles import add_reversal_flags
     df = add_change(S.blocked(bars, interval_s))
-    df = df.withColumns({"prior_close": c("pc"),
-                         **{f"sma_{n}": sma_from_first(c("close"), n) for n in (20, 50, 100, 200)}})
-    df = S.ewm(df, {f"ema_{n}": (c("close"), S.span(n), False) for n in (20, 50, 100, 200)})
-    df = add_rsi_wilder(df, 14, "rsi_14")
-    df = df.withColumn("rsi_slope", c("rsi_14") - S.lag("rsi_14"))
-    df = add_macd(df)
-    df = S.ewm(df, {"atr_14": (c("tr"), S.wilder(14), False)})
-    df = add_bollinger(df, 20, 2.0, ddof=0)
-    df = df.withColumns({f"avg_volume_{n}": sma_from_first(c("volume"), n) for n in (20, 50)})
-    df = df.withColumn("volume_spike", div(c("volume"), c("avg_volume_20")))
+    w14 = S.wilder(14)
+    df = S.ewm(df, {**{f"ema_{n}": (c("close"), S.span(n), False) for n in (20, 50, 100, 200)},
+                    "_up": (gain(), w14, False), "_dn": (loss(), w14, False), "atr_14": (c("tr"), w14, False),
+                    "_f": (c("close"), S.span(12), False), "_s": (c("close"), S.span(26), False)})
+    df = df.withColumns({"rsi_14": rsi_of(c("_up"), c("_dn")), "macd": c("_f") - c("_s")})
+    df = S.ewm(df, {"macd_signal": (c("macd"), S.span(9), False)})
+    df = df.withColumns({"prior_close": c("pc"), **{f"sma_{n}": sma_from_first(c("close"), n) for n in (20, 50, 100, 200)},
+                         **{f"avg_volume_{n}": sma_from_first(c("volume"), n) for n in (20, 50)},
+                         "rsi_slope": c("rsi_14") - S.lag("rsi_14"), "macd_hist": c("macd") - c("macd_signal"),
+                         "bb_mid": S.mean(c("close"), 20), "_sd": S.std(c("close"), 20, 0)})
+    up, lo = c("bb_mid") + 2 * c("_sd"), c("bb_mid") - 2 * c("_sd")
+    df = df.withColumns({"volume_spike": div(c("volume"), c("avg_volume_20")), "bb_up": up, "bb_lo": lo,
+                         "bb_pos": div(c("close") - lo, up - lo), "bb_pierce": flag((c("close") > up) | (c("close") < lo))})
+    df = df.drop("_up", "_dn", "_f", "_s", "_sd")
     if obv:
         df = add_obv(df)
     return add_reversal_flags(add_gap_and_range(df))

@@ -73,7 +73,8 @@ def sentiment(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     lex = lexicon or LEXICON
     table = F.create_map(*[x for k, v in lex.items() for x in (F.lit(k), F.lit(float(v)))])
     low = F.lower(text)
-    hits = F.filter(F.transform(F.regexp_extract_all(low, F.lit(r"([a-z]+)"), F.lit(1)), lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull())
+    words = F.regexp_extract_all(low, F.lit(f"(?<![a-z])({'|'.join(sorted(lex, key=len, reverse=True))})(?![a-z])"), F.lit(1))
+    hits = F.transform(words, lambda w: F.try_element_at(table, w))   # only the known words, so the map sees few lookups
     base = F.coalesce(div(F.aggregate(hits, F.lit(0.0), lambda a, x: a + x), F.size(hits)), F.lit(0.0))
     for pattern, weight in SLANG:
         base = base + F.when(low.rlike(pattern), weight).otherwise(0.0)

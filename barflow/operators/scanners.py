@@ -34,18 +34,25 @@ def features(df: DataFrame, profile: str) -> DataFrame:
     """Indicators of a profile on a blocked series."""
     p = PROFILES[profile]
     df = I.add_change(df)
-    df = df.withColumns({"sma_fast": S.mean(c("close"), p["fast"]), "sma_slow": S.mean(c("close"), p["slow"]),
-                         "volume_sma": S.mean(c("volume"), p["vol"])})
-    df = S.ewm(df, {"ema_fast": (c("close"), S.span(p["fast"]), True), "ema_slow": (c("close"), S.span(p["slow"]), True),
-                    "volume_ema": (c("volume"), S.span(p["vol"]), True)})
-    df = (I.add_rsi_sma if p["rsi_kind"] == "sma" else I.add_rsi_wilder)(df, p["rsi"])
+    f, s_, g = p["macd"]
+    adj, wil = p["macd_adjust"], S.wilder(p["rsi"])
+    scans = {"ema_fast": (c("close"), S.span(p["fast"]), True), "ema_slow": (c("close"), S.span(p["slow"]), True),
+             "volume_ema": (c("volume"), S.span(p["vol"]), True), "_mf": (c("close"), S.span(f), adj), "_ms": (c("close"), S.span(s_), adj)}
+    if p["rsi_kind"] != "sma":
+        scans.update({"_up": (I.gain(), wil, False), "_dn": (I.loss(), wil, False)})
+    if p["atr_kind"] != "sma":
+        scans["atr"] = (c("tr"), S.span(p["atr"]), False)
+    df = S.ewm(df, scans).withColumn("macd", c("_mf") - c("_ms"))
+    df = S.ewm(df, {"macd_signal": (c("macd"), S.span(g), adj)})
+    wins = {"sma_fast": S.mean(c("close"), p["fast"]), "sma_slow": S.mean(c("close"), p["slow"]), "volume_sma": S.mean(c("volume"), p["vol"]),
+            "macd_hist": c("macd") - c("macd_signal")}
+    if p["rsi_kind"] == "sma":
+        wins.update({"_up": S.mean(I.gain(), p["rsi"]), "_dn": S.mean(I.loss(), p["rsi"])})
+    if p["atr_kind"] == "sma":
+        wins["atr"] = S.mean(c("tr"), p["atr"])
+    df = df.withColumns(wins).withColumn("rsi", I.rsi_of(c("_up"), c("_dn"))).drop("_up", "_dn", "_mf", "_ms")
     df = I.add_stochastic(df, p["k"], p["d"])
     df = I.add_bollinger(df, p["bb"], p["bb_k"])
-    df = I.add_macd(df, *p["macd"], adjust=p["macd_adjust"])
-    if p["atr_kind"] == "sma":
-        df = df.withColumn("atr", S.mean(c("tr"), p["atr"]))
-    else:
-        df = S.ewm(df, {"atr": (c("tr"), S.span(p["atr"]), False)})
     df = I.add_trend_counts(I.add_volatility(df, *p["volat"]), p["trend"])
     return df.withColumns({
         "rsi_mom": c("rsi") - S.lag("rsi", 3), "rsi_ma": S.mean(c("rsi"), 5),
