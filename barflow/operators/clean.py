@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions.scalar import pick
+from barflow.operators.salting import salted_join
 
 c = F.col
 
@@ -72,7 +73,7 @@ def recent(df: DataFrame, days: int) -> DataFrame:
 def latest_session(df: DataFrame) -> DataFrame:
     """Rows of the latest date of each ticker."""
     last = df.groupBy("ticker").agg(F.max(F.to_date("ts")).alias("_d"))
-    return df.join(last, "ticker").filter(F.to_date("ts") == c("_d")).drop("_d")
+    return salted_join(df, last, ["ticker"], ["ts"]).filter(F.to_date("ts") == c("_d")).drop("_d")
 
 
 def unify(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def yearly_counts(bars: DataFrame) -> DataFrame:
 def enough_history(df: DataFrame, least: int) -> DataFrame:
     """Tickers with at least ``least`` rows; counts combine map-side and the semi join prunes the rest."""
     ok = df.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n")).filter(c("_n") >= least).select("ticker")
-    return df.join(ok, "ticker", "left_semi")
+    return salted_join(df, ok, ["ticker"], ["ts"], "left_semi")
 
 
 def newest_n(df: DataFrame, n: int, by: list[str] | None = None, order: list[Column] | None = None) -> DataFrame:

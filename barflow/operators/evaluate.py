@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions.scalar import div, flag, pct, pick
 from barflow.operators import joins as J, series as S
+from barflow.operators.salting import salted_join
 
 c = F.col
 HORIZONS = (("5min", 1), ("15min", 3), ("30min", 6), ("1hour", 12), ("2hour", 24))
@@ -123,7 +124,7 @@ def walk_forward(signals: DataFrame, lookback_days: int = 90, test_days: int = 2
 
     Windows do not overlap, so a bar belongs to the window its date falls in: no range join."""
     first = signals.groupBy("ticker").agg(F.min("ts").alias("_t0"))
-    df = signals.join(first, "ticker")
+    df = salted_join(signals, first, ["ticker"], ["ts"])
     day = F.datediff(c("ts"), c("_t0")) - lookback_days
     df = df.filter((day >= 0) & c("next_ret").isNotNull()).withColumns({
         "split": F.floor(day / test_days).cast("int"), "_r": c("signal") * c("next_ret")})

@@ -2,8 +2,8 @@
 
 A library row is a window of closes (or returns) with what followed.  The current windows are few per ticker (one, or
 the bars of one session) and meet the library by an equi-join on ticker; the library itself is never gathered.  The
-k nearest come from row_number <= k, which Spark prunes per task before the shuffle, so a hot ticker sends k rows per
-task and query."""
+k nearest are taken per salted slice of a ticker's library first, so a hot ticker is spread over tasks and only k rows per
+slice and query meet."""
 from __future__ import annotations
 
 import math
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions.scalar import clamp, div, flag, pick
 from barflow.operators import indicators as I, series as S
+from barflow.operators.salting import every_salt, salt, salted_join
 
 c = F.col
 HORIZONS = ("h1", "h3", "eod")
@@ -43,7 +44,7 @@ def split_last(bars: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("ticker").orderBy(c("ts").desc())
     cut = bars.select("ticker", "ts").withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= n) \
         .groupBy("ticker").agg(F.min("ts").alias("_cut"))
-    j = bars.join(cut, "ticker")
+    j = salted_join(bars, cut, ["ticker"], ["ts"])
     return j.filter(c("ts") < c("_cut")).drop("_cut"), j.filter(c("ts") >= c("_cut")).drop("_cut")
 
 
@@ -96,11 +97,13 @@ def distance(a: str, b: str, weights: list[float] | None = None) -> Column:
 def nearest(library: DataFrame, queries: DataFrame, k: int, weights: list[float] | None = None, by: tuple[str, ...] = ("ticker",),
             scale: Column | None = None) -> DataFrame:
     """The k nearest library rows of every query row (ties by time); ``scale`` multiplies the distance."""
-    j = library.join(queries, "ticker").withColumn("dist", distance("query", "shape", weights))
+    j = salt(library, ["ts"]).join(every_salt(queries), ["ticker", "_salt"]).withColumn("dist", distance("query", "shape", weights))
     if scale is not None:
         j = j.withColumn("dist", c("dist") * scale)
-    w = Window.partitionBy(*by).orderBy("dist", "ts")
-    return j.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= k).drop("_rn", "query", "shape")
+    for part in ((*by, "_salt"), by):      # k per slice of a ticker's library, then k of those
+        w = Window.partitionBy(*part).orderBy("dist", "ts")
+        j = j.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= k).drop("_rn")
+    return j.drop("query", "shape", "_salt")
 
 
 def library_size(library: DataFrame) -> DataFrame:

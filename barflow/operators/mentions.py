@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barflow.functions.scalar import div, flag, pick
 from barflow.operators.clean import clean_text
 from barflow.operators.quantiles import exact_quantiles
+from barflow.operators.salting import salted_join
 
 c = F.col
 
@@ -101,7 +102,7 @@ def hourly_features(mentions: DataFrame) -> DataFrame:
 def robust_z_last(features: DataFrame, x: str, out: str, least: int = 10) -> DataFrame:
     """Per ticker the newest value as (x - median) / (1.4826 MAD), sd where MAD is 0, 0 for fewer than ``least`` rows."""
     med = exact_quantiles(features, ["ticker"], x, {"_med": 0.5})
-    df = features.join(med, "ticker").withColumn("_dev", F.abs(c(x) - c("_med")))
+    df = salted_join(features, med, ["ticker"], ["hour_utc"]).withColumn("_dev", F.abs(c(x) - c("_med")))
     mad = exact_quantiles(df, ["ticker"], "_dev", {"_mad": 0.5})
     g = df.groupBy("ticker").agg(F.max_by(c(x), c("hour_utc")).alias("_last"), F.first("_med").alias("_med"), F.stddev_samp(x).alias("_sd"), F.count(x).alias("_n"))
     s = F.when(c("_mad") > 0, 1.4826 * c("_mad")).otherwise(c("_sd"))

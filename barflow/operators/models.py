@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions.scalar import div, flag, pick
 from barflow.operators import indicators as I, series as S
+from barflow.operators.salting import salted_join
 from barflow.operators.scanners import limit_per_period
 
 c = F.col
@@ -97,7 +98,7 @@ def extreme_stats(bars: DataFrame, interval_s: int = S.DAY, far: float = 0.015,
 def latest_signals(signals: DataFrame, n: int = 5, share: float = 0.8) -> DataFrame:
     """The last n non-zero signals in the final 1 - share of each ticker's rows (needs _pos of a blocked frame)."""
     total = signals.groupBy("ticker").agg(F.count_if(~c(S.HALO)).alias("_total"))
-    df = _with_position(signals.join(total, "ticker")).filter((c("pos") >= F.floor(c("_total") * share)) & (c("signal") != 0))
+    df = _with_position(salted_join(signals, total, ["ticker"], ["ts"])).filter((c("pos") >= F.floor(c("_total") * share)) & (c("signal") != 0))
     w = Window.partitionBy("ticker").orderBy(c("ts").desc())
     return df.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= n).drop("_rn", "_total", "pos")
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barflow.operators.salting import salted_join
+
 c = F.col
 _SMALL = 10000
 _EPS = 3e-4
@@ -24,7 +26,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, float]
     b = b.select(*keys, "_n", *[
         F.when(small, c(edge)).otherwise(F.element_at("_cut", F.lit(2 * i + side + 1))).alias(f"_{tag}{i}")
         for i in range(len(names)) for side, (tag, edge) in enumerate((("lo", "_min"), ("hi", "_max")))])
-    j = df.join(b, keys)
+    j = salted_join(df, b, keys, ["_x"])
     g = j.groupBy(*keys).agg(F.first("_n").alias("_n"), *[a for i in range(len(names)) for a in (
         F.count_if(c("_x") < c(f"_lo{i}")).alias(f"_below{i}"),
         F.sort_array(F.collect_list(F.when((c("_x") >= c(f"_lo{i}")) & (c("_x") <= c(f"_hi{i}")), c("_x")))).alias(f"_in{i}"))])

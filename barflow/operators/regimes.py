@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barflow.functions.scalar import clamp, div, pick
 from barflow.operators import indicators as I, series as S
 from barflow.operators.quantiles import exact_quantiles
+from barflow.operators.salting import salted_join
 from barflow.session import cut_lineage
 
 c = F.col
@@ -50,7 +51,7 @@ def volatility_terciles(bars: DataFrame, window: int = 780, interval_s: int = 90
     df = I.add_change(S.blocked(bars, interval_s)).withColumn("vol", I.realised_vol(S.std(c("ret"), window)))
     df = cut_lineage(S.unblock(df).filter(c("vol").isNotNull()).select("ticker", "ts", "close", "vol"))   # read three times below
     cuts = exact_quantiles(df, ["ticker"], "vol", {"low_cut": 0.33, "high_cut": 0.67})
-    return df.join(cuts, "ticker").withColumn("regime", pick((c("vol") <= c("low_cut"), 0), (c("vol") <= c("high_cut"), 1), default=2))
+    return salted_join(df, cuts, ["ticker"], ["ts"]).withColumn("regime", pick((c("vol") <= c("low_cut"), 0), (c("vol") <= c("high_cut"), 1), default=2))
 
 
 def regime_features(bars: DataFrame, days: int = 30, per_day: int = 26, interval_s: int = 900) -> DataFrame:

@@ -141,8 +141,7 @@ def source_dated_csv(spark, sf):
     out = _folder(spark, "dated")
     b = V.bars_1h(spark, sf).select("ticker", F.to_date("ts").alias("day"), r(c("close")).alias("price"))
     b.withColumn("d", c("day")).write.option("header", True).partitionBy("d").csv(out)
-    df = spark.read.option("header", True).csv(f"{out}/d=2024-01-12")
-    return df.groupBy("ticker").agg(F.count(F.lit(1)).alias("patterns"))
+    return R.read_dated_csv(spark, out, "2024-01-12").groupBy("ticker").agg(F.count(F.lit(1)).alias("patterns"))
 
 
 @query("source_symbols", "SELECT DISTINCT event_type AS ticker FROM events WHERE event_type NOT IN ('error', 'view')")

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from barflow.functions.scalar import div, r
 from barflow.operators import clean as C, joins as J, series as S
+from barflow.operators.quantiles import exact_quantiles
 from barflow.plans import sql as Q
 from barflow.plans.registry import query
 from barflow.sources import views as V, writers as Wr
@@ -246,11 +247,13 @@ def join_semi_anti(spark, sf):
  count(*) FILTER (value > 20) AS large, round(quantile_cont(value, 0.33), 4) AS q33, round(quantile_cont(value, 0.67), 4) AS q67 FROM events GROUP BY 1""")
 def agg_basic(spark, sf):
     w = F.greatest(F.lit(1), c("user_id"))
-    return V.table(spark, sf, "events").groupBy(c("event_type").alias("ticker")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"), r(F.avg("value")).alias("mean"), r(F.median("value")).alias("mid"),
+    e = V.table(spark, sf, "events").withColumn("ticker", c("event_type"))
+    q = exact_quantiles(e, ["ticker"], "value", {"q33": 0.33, "mid": 0.5, "q67": 0.67})
+    g = e.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("value")).alias("total"), r(F.avg("value")).alias("mean"),
         r(F.min("value")).alias("lo"), r(F.max("value")).alias("hi"), F.count_distinct("user_id").alias("users"),
-        r(F.sum(c("value") * w) / F.sum(w)).alias("weighted"), F.count_if(c("value") > 20).alias("large"),
-        r(F.percentile("value", F.lit(0.33))).alias("q33"), r(F.percentile("value", F.lit(0.67))).alias("q67"))
+        r(F.sum(c("value") * w) / F.sum(w)).alias("weighted"), F.count_if(c("value") > 20).alias("large"))
+    return g.join(q.select("ticker", *[r(c(x)).alias(x) for x in ("q33", "mid", "q67")]), "ticker")
 
 
 @query("agg_pivot_period", """SELECT event_type AS ticker, CAST(count(*) FILTER (ts >= mx - INTERVAL '2 days') AS BIGINT) AS recent,

@@ -46,9 +46,9 @@ def read_log(spark: SparkSession, path: str, until, days: int, struct=schema.PRE
 
 
 def read_dated_csv(spark: SparkSession, folder: str, day: str) -> DataFrame:
-    """Pattern files whose name carries the date."""
-    df = spark.read.option("header", True).option("pathGlobFilter", f"*{day}*.csv").csv(folder)
-    return df.withColumn("file", F.element_at(F.split(c("_metadata.file_name"), "/"), -1))
+    """Pattern files whose path carries the date; the filter on the path prunes files before they are opened."""
+    df = spark.read.option("header", True).option("recursiveFileLookup", True).csv(folder)
+    return df.select("*", c("_metadata.file_path").alias("file")).filter(c("file").contains(day))
 
 
 def read_symbols(spark: SparkSession, path: str, stop_words: DataFrame) -> DataFrame:
