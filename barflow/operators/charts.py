@@ -81,7 +81,7 @@ def double_extreme(ex: DataFrame, bottom: bool = False, near: float = 0.05, prom
     df = _session_arrays(ex)
     tops, bots = ("troughs", "peaks") if bottom else ("peaks", "troughs")
     df = df.withColumn("_t", F.filter(tops, lambda x: x["p"] >= prominence))
-    nxt = F.concat(F.slice("_t", 2, 10000), F.array(F.lit(None).cast(df.schema["_t"].dataType.elementType)))
+    nxt = F.concat(F.slice("_t", F.lit(2), F.size("_t")), F.array(F.lit(None).cast(df.schema["_t"].dataType.elementType)))
 
     def pair(a, b):
         mid = _best(c(bots), lambda x: (x["i"] > a["i"]) & (x["i"] < b["i"]), bottom, False)
