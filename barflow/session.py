@@ -2,10 +2,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_local_dirs: dict[str, str] = {}
+
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "barflow") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -24,12 +27,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "barflo
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh one only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where it is unset, a local master (tests, bench: driver and tasks
+    are one process) gets a fresh folder per application; any other master raises, since executors don't share local folders."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+    if sc.applicationId not in _local_dirs:
+        _local_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_dirs[sc.applicationId]
 
 
 def cut_lineage(df):
