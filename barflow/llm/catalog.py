@@ -1,3 +1,3 @@
 """All queries of the subpackage with the SQL each is compared with."""
-from barflow.llm import exact, quality, urls  # noqa: F401
+from barflow.llm import bytebpe, counts, exact, packing, quality, urls  # noqa: F401
 from barflow.llm.common import ORACLES, QUERIES  # noqa: F401
