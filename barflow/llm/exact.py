@@ -32,6 +32,7 @@ def keyed_state(spark: SparkSession, arrivals: str, id_type: str, state: str) ->
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")     # no reserved disk for many small stores
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "200")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
@@ -64,10 +65,9 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: s
     ledger = keyed_state(spark, arrivals, id_type, state)
     bodies = docs.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("digest", digest(F.col("body")))
     met = bodies.join(ledger.select("digest", "keep_id", "group_size"), "digest")
-    # hits: full bytes against the content of the row that stays (singletons need no second look)
-    groups = ledger.where("group_size > 1").select("digest", F.col("keep_id").alias("doc_id"))
-    first = (bodies.join(groups, (bodies.digest == groups.digest) & bodies.doc_id.eqNullSafe(groups.doc_id))
-             .groupBy(groups.digest).agg(F.min("body").alias("first_body")))
+    # hits: full bytes against the content of the row that stays (singletons need no second look); both sides share one shuffle
+    first = (met.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("group_size") > 1))
+             .groupBy("digest").agg(F.min("body").alias("first_body")))
     checked = (met.join(first, "digest", "left")
                .select("doc_id", "digest", "keep_id", "group_size", sha256(F.col("body")).alias("text_sha256"),
                        F.when(F.col("first_body") != F.col("body"), F.sha2(F.col("body"), 512)).alias("other")))
