@@ -37,6 +37,14 @@ def words(text: Column) -> Column:
     return F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.split(body, SPACE_RUN))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, for a helper column beside a caller's own."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barflow.llm.common import SPACE_RUN, fresh_path, query, read, stored
+from barflow.llm.common import SPACE_RUN, fresh_path, query, read, stored, unused
 
 ARRIVAL = "digest string, doc_id {id}, locator string"
 
@@ -85,10 +85,11 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: s
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; of repeated rows (same doc_id and text) one."""
+    key = unused(docs, "_key")
     verdict = dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_key", sha256(normalised(F.col("text"))))
-    kept = keyed.join(verdict, keyed["doc_id"].eqNullSafe(verdict["_id"]) & (keyed["_key"] == verdict["_sha"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key")
+    keyed = docs.withColumn(key, sha256(normalised(F.col("text"))))
+    kept = keyed.join(verdict, keyed["doc_id"].eqNullSafe(verdict["_id"]) & (keyed[key] == verdict["_sha"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)
 
 
 SQL = r"""

@@ -275,6 +275,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns as they were."""
+    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("h", T.ArrayType(T.LongType(), False))])
 

@@ -45,14 +45,14 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the measurements; every array lives in one row, bounded by its own text."""
+def measured(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns and the measurements; every array lives in one row, bounded by its own text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select("doc_id", text.alias("_t"), words(F.col("text")).alias("_w"),
+    a = docs.select(*carried, text.alias("_t"), words(F.col("text")).alias("_w"),
                     F.filter(F.split(text, "\n"), lambda x: x.rlike(NON_SPACE)).alias("_l"))
     w, n = F.col("_w"), F.size("_w")
     b = a.select(
-        "doc_id", n.cast("long").alias("n_words"),
+        *carried, n.cast("long").alias("n_words"),
         (F.length("_t") - _without(F.col("_t"), SPACES)).cast("long").alias("word_chars"),
         _without(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"), _without(F.col("_t"), _UPPER).cast("long").alias("n_upper"),
         F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -71,7 +71,7 @@ def measured(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x), F.lit(0)).cast("long")).drop("_p")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, measurements, ``fail_bits``.
 
     NULL and blank texts have no words: all measurements are 0 and few_words fails. Repeated rows give repeated rows, empty tables
@@ -80,7 +80,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     out = bits[0]
     for b in bits[1:]:
         out = out.bitwiseOR(b)
-    return measured(docs).withColumn("fail_bits", out)
+    return measured(docs, carried).withColumn("fail_bits", out)
 
 
 def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
@@ -103,13 +103,18 @@ def ablation(rows: DataFrame, policies: list[Policy]) -> DataFrame:
                                            at(hit == 0).alias("n_passed"), F.bit_and(F.when(hit != 0, hit)).alias("bits_all"), F.bit_or(hit).alias("bits_any")))
 
 
-def rated(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def rated(docs: DataFrame, policy: Policy = DEFAULT, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the ledger, ``base_failed`` and ``kept`` (false if a base rule fails, else the policy's verdict)."""
-    rows = apply_policy(ledger(docs), policy)
+    rows = apply_policy(ledger(docs, carried), policy)
     base = F.col("fail_bits").bitwiseAND(F.lit(BASE.mask).cast("long")) != 0
     return rows.withColumn("base_failed", base).withColumn("kept", ~base & F.col("passed")).drop("passed")
 
 
+def passing(docs: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they were; no shuffle."""
+    return rated(docs.select("text", F.struct("*").alias("_row")), policy, ("_row",)).where("kept").select("_row.*")
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (

@@ -119,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     whether a document is toxic, so grades above 0 are thirds of the mentions of telling features: 1 few or none, 3 many.
     None where a class is missing."""
     chosen = F.broadcast(sampled(labels, per_class))        # at most 2 * per_class ids
-    sample = stored(docs.join(chosen, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id"]), "toxic-sample")
-    sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy(F.col("toxic") > 0).agg(F.count(F.lit(1)).alias("n")).toDF("toxic", "n").collect()}
+    sample = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
+    sizes = {bool(r["toxic"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("class")).agg(F.count(F.lit(1)).alias("n")).toDF("toxic", "n").collect()}
     if len(sizes) < 2:
         return None
 
@@ -186,33 +186,54 @@ def best_cut(p: np.ndarray, toxic: np.ndarray, clean_counts: int = 5) -> float:
     return float((p[max(k - 1, 0)] + p[min(k, len(p) - 1)]) / 2)
 
 
+class Scorer:
+    """Severity, P(grade > 0) and verdict of texts."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.features = model, Features(model.features) if model else None
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[float], list[float], list[bool]]:
+        severity, p = [], []
+        for text in texts:
+            above, found = np.zeros(1), self.features.counts(text or "") if self.model else {}
+            if found:       # without a feature there is no evidence
+                at, v = values(found)
+                above = self.model.grades(float(self.model.weights[at] @ v))
+            severity.append(float(above.sum()))
+            p.append(float(above[0]))
+        return severity, p, [not x or x < self.model.reject for x in p]
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, severity (expected grade), p_toxic (P(grade > 0)), kept (p_toxic below the model's cut) for every row.
 
-    NULL, empty and blank texts carry no evidence: severity 0, kept. Without a model (a class without labels) the same holds for all.
-    Repeated rows are scored one by one; empty tables give no rows; other columns are not read."""
+    NULL, empty and blank texts and those without a feature of the model carry no evidence: severity 0, kept. Without a model (a class
+    without labels) the same holds for all. Repeated rows are scored one by one; empty tables give no rows; other columns are not read."""
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()),
                         T.StructField("kept", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)        # at most SELECTED features
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        feats = Features(m.features) if m else None
+        judge = Scorer(shared.value)
         for b in batches:
-            severity, p = [], []
-            for text in b.column(1).to_pylist():
-                above, found = np.zeros(1), feats.counts(text or "") if m else {}
-                if found:       # without a feature there is no evidence
-                    at, v = values(found)
-                    above = m.grades(float(m.weights[at] @ v))
-                severity.append(float(above.sum()))
-                p.append(float(above[0]))
-            kept = [not x or x < m.reject for x in p]
+            severity, p, kept = judge(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity, pa.float64()), pa.array(p, pa.float64()), pa.array(kept, pa.bool_())], names=out.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, all columns as they were; no shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array(judge(b.column(at).to_pylist())[2], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
