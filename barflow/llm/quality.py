@@ -68,7 +68,10 @@ def measured(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFra
     p = F.col("_p")
     # each window covers three words; where the next one starts earlier, only those before it count here
     gaps = F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda x, y: F.least(F.lit(3), F.coalesce(y - x, F.lit(3))))
-    return d.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x), F.lit(0)).cast("long")).drop("_p")
+    n_repeat = F.coalesce(F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x), F.lit(0)).cast("long")
+    # a filter pushed below these projections would evaluate the word array once per word: a column that the optimizer takes for
+    # non-deterministic keeps filters above them
+    return d.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, n_repeat)).drop("_p")
 
 
 def ledger(docs: DataFrame, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
