@@ -119,25 +119,25 @@ def recommendation_report(recs: DataFrame, bars: DataFrame, hours: int, threshol
         *[F.count_if(x).alias(f"{n}_count") for n, x in (("buy", buy), ("sell", sell), ("hold", c("recommendation") == "HOLD"))])
 
 
-def walk_forward(signals: DataFrame, lookback_days: int = 90, test_days: int = 20, min_rows: int = 3) -> DataFrame:
+def walk_forward(signals: DataFrame, lookback_days: int = 90, test_days: int = 20) -> DataFrame:
     """Metrics of each test window of ``test_days`` after the first ``lookback_days`` (needs signal and next_ret).
 
-    Windows do not overlap, so a bar belongs to the window its date falls in: no range join."""
+    Windows do not overlap, so a bar belongs to the window its date falls in: no range join. A return of -100 % or less ends the
+    equity at zero."""
     first = signals.groupBy("ticker").agg(F.min("ts").alias("_t0"))
     df = salted_join(signals, first, ["ticker"], ["ts"])
     day = F.datediff(c("ts"), c("_t0")) - lookback_days
     df = df.filter((day >= 0) & c("next_ret").isNotNull()).withColumns({
-        "split": F.floor(day / test_days).cast("int"), "_r": c("signal") * c("next_ret")})
+        "split": F.floor(day / test_days).cast("int"), "_r": F.greatest(c("signal") * c("next_ret"), F.lit(-1.0 + 1e-12))})
     w = Window.partitionBy("ticker", "split").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_eq", F.exp(F.sum(F.log1p("_r")).over(w)))
     df = df.withColumn("_dd", c("_eq") / F.greatest(F.max("_eq").over(w), F.lit(1.0)) - 1)
     traded = c("signal") != 0
-    g = df.groupBy("ticker", "split").agg(
+    return df.groupBy("ticker", "split").agg(
         F.count(F.lit(1)).alias("bars"), F.count_if(traded).alias("trades"), (F.exp(F.sum(F.log1p("_r"))) - 1).alias("total_return"),
         (div(F.avg("_r"), F.stddev_samp("_r")) * F.sqrt(F.lit(252.0))).alias("sharpe"), F.min("_dd").alias("max_drawdown"),
         F.avg(F.when(traded, flag(c("_r") > 0))).alias("win_rate"),
         div(F.sum(F.when(c("_r") > 0, c("_r")).otherwise(0.0)), F.sum(F.when(c("_r") < 0, -c("_r")).otherwise(0.0))).alias("profit_factor"))
-    return g.filter(c("bars") >= min_rows)
 
 
 def sampled_backtest(bars: DataFrame, step: int, interval_s: int = 900) -> DataFrame:

@@ -68,11 +68,11 @@ def session_library(bars: DataFrame, n: int, step: int = 1, per_hour: int = 4) -
         (div(c(f"_{h}"), c("close")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
 
 
-def cross_library(bars: DataFrame, n: int = 20, ahead=(4, 12, 26), interval_s: int = 900) -> DataFrame:
-    """Windows of n closes across sessions; returns run from the bar after the window."""
+def cross_library(bars: DataFrame, n: int = 20, ahead=(4, 12, 26), interval_s: int = 900, room: int = 20) -> DataFrame:
+    """Windows of n closes across sessions; returns run from the bar after the window, ``room`` bars must follow that one."""
     df = S.blocked(bars, interval_s)
     df = df.withColumns({"_w": F.collect_list("close").over(S.w(n, 1)), "_m": F.avg("close").over(S.w(n, 1)),
-                         "_sd": F.stddev_pop("close").over(S.w(n, 1)), "_end": S.lag("ts"), "_room": S.lead("close", 20 - 1),
+                         "_sd": F.stddev_pop("close").over(S.w(n, 1)), "_end": S.lag("ts"), "_room": S.lead("close", room),
                          **{f"_{h}": S.lead("close", k) for h, k in zip(HORIZONS, ahead)}})
     df = S.unblock(df).filter((F.size("_w") == n) & c("_room").isNotNull())
     return df.select("ticker", c("_end").alias("ts"), zscored("_w").alias("shape"), *[

@@ -24,7 +24,7 @@ PHRASES = [
     r"\b([A-Z]{2,5})\s+(?:TO\s+)?(?:THE\s+)?MOON",
     r"\b([A-Z]{2,5})\s+\d+[CP]\b",
     r"(?:TICKER|SYMBOL|STOCK|COMPANY)\s*[:=]\s*([A-Z]{2,5})\b",
-    r"\$([A-Z]{2,5})\b",
+    r"\$([A-Z]{1,5})\b",
     r"\(([A-Z]{2,5})\)",
     r"\[([A-Z]{2,5})\]",
 ]

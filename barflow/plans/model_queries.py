@@ -61,7 +61,7 @@ def knn_multi_length(spark, sf):
 
 
 _XW = N.exponential_weights(20)
-CROSS_SQL = f"""{_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)} AS w, lag(ts) {Q.ROW} AS te, lead(close, 19) {Q.ROW} AS room, lead(close, 4) {Q.ROW} AS x1, lead(close, 12) {Q.ROW} AS x3, lead(close, 26) {Q.ROW} AS xe FROM b),
+CROSS_SQL = f"""{_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)} AS w, lag(ts) {Q.ROW} AS te, lead(close, 20) {Q.ROW} AS room, lead(close, 4) {Q.ROW} AS x1, lead(close, 12) {Q.ROW} AS x3, lead(close, 26) {Q.ROW} AS xe FROM b),
  xl AS (SELECT ticker, te AS ts, {_zs('w', 20)} AS shape, x1 / close - 1 AS h1, x3 / close - 1 AS h3, xe / close - 1 AS eod FROM xs WHERE len(w) = 20 AND room IS NOT NULL),
  xd AS (SELECT *, {_dist(20, _XW)} AS dist FROM xl JOIN xq USING (ticker) WHERE shape IS NOT NULL), xk AS (SELECT * FROM xd QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dist, ts) <= 10),
  xf AS (SELECT ticker, avg(dist) AS ad, {', '.join(f"sum({h} / (dist + 1e-8)) / nullif(sum(1 / (dist + 1e-8)) FILTER ({h} IS NOT NULL), 0) AS {h}" for h in H3)} FROM xk GROUP BY 1),
@@ -175,7 +175,7 @@ def regime_clusters(spark, sf):
     return G.cluster_summary(G.cluster(f))
 
 
-_RK = f"""{_TER}, cur AS (SELECT ticker, arg_max(regime, ts) AS cr FROM vt GROUP BY 1), {_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)} AS w, lag(ts) {Q.ROW} AS te, lead(close, 19) {Q.ROW} AS room, lead(close, 4) {Q.ROW} AS x1, lead(close, 12) {Q.ROW} AS x3, lead(close, 26) {Q.ROW} AS xe FROM b),
+_RK = f"""{_TER}, cur AS (SELECT ticker, arg_max(regime, ts) AS cr FROM vt GROUP BY 1), {_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)} AS w, lag(ts) {Q.ROW} AS te, lead(close, 20) {Q.ROW} AS room, lead(close, 4) {Q.ROW} AS x1, lead(close, 12) {Q.ROW} AS x3, lead(close, 26) {Q.ROW} AS xe FROM b),
  xl AS (SELECT xs.ticker, te AS ts, {_zs('w', 20)} AS shape, x1 / xs.close - 1 AS h1, x3 / xs.close - 1 AS h3, xe / xs.close - 1 AS eod, vt.regime, cr FROM xs JOIN vt ON vt.ticker = xs.ticker AND vt.ts = te JOIN cur ON cur.ticker = xs.ticker WHERE len(w) = 20 AND room IS NOT NULL),
  xd AS (SELECT *, {_dist(20, [1.0] * 20)} / CASE WHEN regime = cr THEN 1.0 ELSE 1.0 - 0.7 END AS dist, CASE WHEN regime = cr THEN 1.0 ELSE 1.0 - 0.7 END AS sim FROM xl JOIN xq USING (ticker) WHERE shape IS NOT NULL),
  xk AS (SELECT *, sim / (1 + dist) AS w FROM xd QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dist, ts) <= 10)"""

@@ -148,17 +148,17 @@ def eval_recommendations(spark, sf):
     return g.withColumns({x: r(c(x)) for x in ("accuracy", "avg_change", "buy_accuracy", "sell_accuracy", "hold_accuracy")})
 
 
-@query("eval_walk_forward", f"""WITH {Q.BARS}, w0 AS (SELECT ticker, ts, CASE WHEN close > lag(close, 5) {Q.ROW} THEN 1 WHEN close < lag(close, 5) {Q.ROW} THEN -1 ELSE 0 END AS sg, greatest(-0.05, least(0.05, lead(close) {Q.ROW} / nullif(close, 0) - 1)) AS nr, lead(close) {Q.ROW} AS nc, min(ts) OVER (PARTITION BY ticker) AS t0 FROM b),
- w1 AS (SELECT *, CAST(floor((date_diff('day', t0, ts) - 90) / 20.0) AS INTEGER) AS split, sg * nr AS sr FROM w0 WHERE nc IS NOT NULL AND date_diff('day', t0, ts) >= 90), w2 AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY ticker, split ORDER BY ts)) AS eq FROM w1),
+@query("eval_walk_forward", f"""WITH {Q.BARS}, w0 AS (SELECT ticker, ts, CASE WHEN close > lag(close, 5) {Q.ROW} THEN 1 WHEN close < lag(close, 5) {Q.ROW} THEN -1 ELSE 0 END AS sg, lead(close) {Q.ROW} / nullif(close, 0) - 1 AS nr, lead(close) {Q.ROW} AS nc, min(ts) OVER (PARTITION BY ticker) AS t0 FROM b),
+ w1 AS (SELECT *, CAST(floor((date_diff('day', t0, ts) - 90) / 20.0) AS INTEGER) AS split, greatest(sg * nr, -1.0 + 1e-12) AS sr FROM w0 WHERE nc IS NOT NULL AND date_diff('day', t0, ts) >= 90), w2 AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY ticker, split ORDER BY ts)) AS eq FROM w1),
  w3 AS (SELECT *, eq / greatest(1.0, max(eq) OVER (PARTITION BY ticker, split ORDER BY ts)) - 1 AS dd FROM w2)
  SELECT ticker, split, count(*) AS bars, count(*) FILTER (sg <> 0) AS trades, round(exp(sum(ln(1 + sr))) - 1, 4) AS total_return, round(avg(sr) / nullif(stddev_samp(sr), 0) * sqrt(252.0), 4) AS sharpe, round(min(dd), 4) AS max_drawdown,
- round(avg(CASE WHEN sr > 0 THEN 1 ELSE 0 END) FILTER (sg <> 0), 4) AS win_rate, round(sum(CASE WHEN sr > 0 THEN sr ELSE 0 END) / nullif(sum(CASE WHEN sr < 0 THEN -sr ELSE 0 END), 0), 4) AS profit_factor FROM w3 GROUP BY 1, 2 HAVING count(*) >= 3""")
+ round(avg(CASE WHEN sr > 0 THEN 1 ELSE 0 END) FILTER (sg <> 0), 4) AS win_rate, round(sum(CASE WHEN sr > 0 THEN sr ELSE 0 END) / nullif(sum(CASE WHEN sr < 0 THEN -sr ELSE 0 END), 0), 4) AS profit_factor FROM w3 GROUP BY 1, 2""")
 def eval_walk_forward(spark, sf):
     df = S.blocked(V.bars_1d(spark, sf))
     p5 = S.lag("close", 5)
     nxt = F.try_divide(S.lead("close"), c("close")) - 1
     df = df.withColumns({"signal": F.when(c("close") > p5, 1).when(c("close") < p5, -1).otherwise(0),
-                         "next_ret": F.when(nxt.isNotNull(), F.greatest(F.lit(-0.05), F.least(F.lit(0.05), nxt)))})
+                         "next_ret": nxt})
     g = V2.walk_forward(S.unblock(df))
     return g.withColumns({x: r(c(x)) for x in ("total_return", "sharpe", "max_drawdown", "win_rate", "profit_factor")})
 

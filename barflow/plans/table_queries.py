@@ -80,11 +80,13 @@ def clean_common_columns(spark, sf):
     return C.unify(b, other).select("ticker", "ts", r(c("close")).alias("close"))
 
 
-@query("clean_distinct_posts", f"WITH {Q.POSTS} SELECT type, subreddit, count(*) AS posts FROM (SELECT DISTINCT type, subreddit, author, text FROM p) GROUP BY 1, 2")
+@query("clean_distinct_posts", f"WITH {Q.POSTS} SELECT type, subreddit, count(*) AS posts FROM (SELECT type, arg_min(subreddit, subreddit) AS subreddit FROM p GROUP BY type, author, text) GROUP BY 1, 2")
 def clean_distinct_posts(spark, sf):
     p = V.posts(spark, sf).withColumns({"url": c("author"), "created_utc": F.to_date(F.lit("2024-01-01"))})
-    twice = p.unionByName(p).dropDuplicates(["url", "type", "text", "created_utc", "subreddit"])
-    return twice.groupBy("type", "subreddit").agg(F.count(F.lit(1)).alias("posts"))
+    # posts of one author with one text count once; which subreddit such a post keeps is open, so the smallest is put beside it first
+    least = p.groupBy("type", "url", "text").agg(F.min("subreddit").alias("subreddit"))
+    twice = p.unionByName(p).drop("subreddit").join(least, ["type", "url", "text"])
+    return C.distinct_posts(twice).groupBy("type", "subreddit").agg(F.count(F.lit(1)).alias("posts"))
 
 
 @query("clean_parse_time", """SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM events""")

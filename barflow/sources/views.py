@@ -61,7 +61,7 @@ def posts(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("n_chars") % 1000).cast("double").alias("score"),
         (F.col("n_chars") % 37).cast("double").alias("num_comments"), "text",
         (F.lit(POST_EPOCH).cast("timestamp_ntz")
-         + F.make_dt_interval(mins=F.col("doc_id").cast("int") * 10)).alias("created_utc"))
+         + F.make_dt_interval(mins=(F.col("doc_id") * 10).cast("int"))).alias("created_utc"))
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
