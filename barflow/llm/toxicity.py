@@ -77,8 +77,8 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, n_
     top = int(grade.max())
     lens = np.array([len(a) for a, _ in rows])
     row = np.repeat(np.arange(len(rows)), lens)
-    col = np.concatenate([a for a, _ in rows]) if len(rows) else np.zeros(0, np.int64)
-    val = np.concatenate([v for _, v in rows]) if len(rows) else np.zeros(0)
+    col = np.concatenate([a for a, _ in rows]).astype(np.int64)         # empty lists come without a type
+    val = np.concatenate([v for _, v in rows]).astype(np.float64)
     share = np.array([(grade > k).mean() for k in range(top)]).clip(1e-4, 1 - 1e-4)
     w, t = np.zeros(n_features), np.log((1 - share) / share)
     t = np.maximum.accumulate(t + 1e-3 * np.arange(top))
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     used = np.flatnonzero(np.abs(fit_ordinal(x, grade, len(keep), l1=1e-3)[0]) > 0.02)
     place = np.full(len(keep), -1)
     place[used] = np.arange(len(used))
-    x = [(place[a][place[a] >= 0], v[place[a] >= 0]) for a, v in x]
+    x = [(place[a][place[a] >= 0], v[place[a] >= 0]) for a, v in ((np.asarray(a, np.int64), np.asarray(v)) for a, v in x)]
     w, thresholds = fit_ordinal(x, grade, len(used), l1=1e-5)
     return Model(keep[used], w, thresholds, best_cut(1 / (1 + np.exp(thresholds[0] - np.array([w[a] @ v for a, v in x]))), toxic))
 
