@@ -12,11 +12,15 @@ counted (map-side combined), summed up along the buckets of each ticker (a small
 A table that is small as a whole (by the optimizer's size estimate, checked at plan time like a broadcast) cannot
 hold a long series: it skips the counting and is one block per ticker.
 
+Either way ``halo`` and ``ahead`` bind: ``unblock`` raises when a window over the blocks reaches further, and so does a recurrence
+that needs more than ``halo`` bars to forget its start. A look-back too long for the cut is an error, never a different number.
+
 Columns added: ``_blk``, ``_halo`` (row is a copy), ``_pos`` (0-based position in the whole series).
 """
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -55,7 +59,7 @@ def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block
     size = plan_bytes(bars) if small_bytes else None
     if size is not None and size <= small_bytes:
         df = bars.withColumns({BLK: F.lit(0), HALO: F.lit(False), **{name: F.lit(0.0) for name in carry}})
-        return df.withMetadata(BLK, {_ONE: True}).withColumn(POS, F.row_number().over(_w()).cast("long") - 1)
+        return df.withMetadata(BLK, {_ONE: True, "halo": halo, "ahead": ahead}).withColumn(POS, F.row_number().over(_w()).cast("long") - 1)
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(interval_s * bucket_rows))
     src = bars.withColumn("_tb", bucket)
 
@@ -89,11 +93,32 @@ def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block
     out = rows.withColumn(POS, F.first("_cum").over(running()) + F.row_number().over(_w()) - 1)
     for name in carry:
         out = out.withColumn(name, F.first(name).over(running()))
-    return out.drop("_cum")
+    return out.drop("_cum").withMetadata(BLK, {"halo": halo, "ahead": ahead})
+
+
+_FRAME = re.compile(r"windowspecdefinition\((?:[^()]|\([^()]*\))*?specifiedwindowframe\(RowFrame, ([^,]+), ([^()]+)(?:\(\))?\)")
+
+
+def check_reach(df: DataFrame) -> None:
+    """Raise if a row window over the blocks of ``df`` looks further back than their halo, or further on than ``ahead``. Frames without
+    an end (running sums inside a block) are the operators' own business."""
+    known = df.schema[BLK].metadata
+    try:
+        mark = f"{BLK}#{df.select(BLK)._jdf.queryExecution().analyzed().output().apply(0).exprId().id()}"
+        plan = df._jdf.queryExecution().analyzed().treeString(True, False, 2**31 - 1, False, False)
+    except AttributeError:   # a remote session does not expose its plan
+        return
+    for m in _FRAME.finditer(plan):
+        if "halo" not in known or not re.search(mark + r"L?\b", m[0]) or "_chunk#" in m[0]:
+            continue
+        for edge in m.groups():
+            if re.fullmatch(r"-?\d+", edge) and not -known["halo"] <= int(edge) <= known["ahead"]:
+                raise ValueError(f"a window reaches {edge} rows, but blocks carry {known['halo']} rows before and {known['ahead']} after them")
 
 
 def unblock(df: DataFrame) -> DataFrame:
     """Drop the copies and the helper columns."""
+    check_reach(df)
     return df.filter(~F.col(HALO)).drop(BLK, HALO, POS)
 
 
@@ -176,6 +201,9 @@ def ewm(df: DataFrame, specs: Mapping[str, tuple[Column, float, bool]]) -> DataF
 
 
 def _ewm_chunked(df: DataFrame, specs, size: int) -> DataFrame:
+    halo, needs = df.schema[BLK].metadata.get("halo"), max(math.ceil(_FORGET / -math.log(1.0 - a)) for _, a, _ in specs.values())
+    if halo is not None and needs > halo:
+        raise ValueError(f"a recurrence needs {needs} rows to forget its start, but blocks carry {halo} rows before them")
     chunk, k = F.floor(F.col(POS) / F.lit(size)), F.col(POS) % F.lit(size)
     inside = (Window.partitionBy("ticker", BLK, "_chunk").orderBy("ts")
               .rowsBetween(Window.unboundedPreceding, 0))

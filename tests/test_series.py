@@ -82,3 +82,16 @@ def test_hot_ticker_is_split(spark):
     b = S.blocked(spark.createDataFrame(df), halo=100, ahead=10, block_rows=600, bucket_rows=16, small_bytes=0)
     sizes = [r["count"] for r in b.groupBy("ticker", S.BLK).count().collect()]
     assert len(sizes) >= 8 and max(sizes) < 900
+
+
+def test_a_window_beyond_the_halo_raises(spark):
+    df = pd.DataFrame({"ticker": "A", "ts": pd.date_range("2000-01-01", periods=3000, freq="D"), "close": np.arange(3000.0)})
+    for small in (0, 1 << 40):
+        b = S.blocked(spark.createDataFrame(df), halo=200, ahead=10, block_rows=600, bucket_rows=16, small_bytes=small)
+        assert S.unblock(b.withColumn("x", F.avg("close").over(S.w(200)))).count() == 3000
+        with pytest.raises(ValueError, match="-399"):
+            S.unblock(b.withColumn("x", F.avg("close").over(S.w(400))))
+        with pytest.raises(ValueError, match="11"):
+            S.unblock(b.withColumn("x", S.lead("close", 11)))
+        with pytest.raises(ValueError, match="forget"):
+            S.ewm(b, {"x": (F.col("close"), S.span(50), False)})
