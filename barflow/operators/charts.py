@@ -231,7 +231,7 @@ def volume_report(df: DataFrame) -> DataFrame:
 
 def admissible() -> Column:
     """Volume between 0.8 and 3 times its mean, recent bars at least half of it, OBV agreeing in 60 % of them."""
-    return (c("volume_ratio") >= 0.8) & (c("volume_ratio") <= 3.0) & (c("recent_ratio") >= 0.5) & (c("obv_agreement") >= 0.6)
+    return (c("volume_ratio") >= 0.8) & (c("volume_ratio") <= 3.0) & (c("recent_ratio") >= 0.5) & (c("obv_agreement") >= 0.6 - 1e-9)
 
 
 def add_admissibility(df: DataFrame) -> DataFrame:

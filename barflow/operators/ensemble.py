@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions.scalar import clamp, div, flag, pick
 from barflow.operators import regimes as R
+from barflow.operators.joins import with_config
 
 c = F.col
 
@@ -57,8 +58,9 @@ def arbitrate() -> Column:
 
 def combine(df: DataFrame, config: DataFrame) -> DataFrame:
     """Needs profile, momentum_signal, technical_signal, regime_score, regime_label.  ``config`` is the four-row profile
-    table, so its broadcast is bounded by construction."""
-    df = df.join(F.broadcast(config), "profile")
+    table, so its broadcast is bounded by construction.  A profile it does not have takes the settings of the first fixed one."""
+    names = [x.split()[0] for x in PROFILE_COLUMNS.split(", ")]
+    df = with_config(df, config, "profile", dict(zip(names[1:], PROFILES[0][1:])))
     df = df.withColumns({"momentum_prob": probability(c("momentum_signal"), c("strength")),
                          "technical_prob": probability(c("technical_signal"), c("strength")),
                          "w_momentum": F.when(c("version") == 1, R.linear_weight(c("regime_score"))).otherwise(

@@ -29,9 +29,10 @@ PHRASES = [
     r"\[([A-Z]{2,5})\]",
 ]
 POPULAR = ["AAPL", "MSFT", "GOOGL", "AMZN", "META", "TSLA", "NVDA", "AMD", "INTC", "SPY", "QQQ", "GME", "AMC", "PLTR"]
+# Matched against lower-cased text; the short ones only as words of their own ("drug" is no "rug").
 SLANG = [
-    (r"🚀|moon|to the moon|tendies|ATH|rip(p)?ing|squeeze|YOLO|diamond hands|breakout|gap up|parabolic", 0.6),
-    (r"baghold(er)?|dump(ed)?|rug|scam|dilution|halt(ed)?|bankrupt|bear trap|selloff|downtrend|gap down|rekt", -0.6),
+    (r"🚀|moon|to the moon|tendies|(?:^|[^a-z])ath(?:[^a-z]|$)|rip(p)?ing|squeeze|(?:^|[^a-z])yolo(?:[^a-z]|$)|diamond hands|breakout|gap up|parabolic", 0.6),
+    (r"baghold(er)?|dump(ed)?|(?:^|[^a-z])rug(?:[^a-z]|$)|scam|dilution|halt(ed)?|bankrupt|bear trap|selloff|downtrend|gap down|rekt", -0.6),
 ]
 # Our own small lexicon; any word -> weight mapping can be passed instead.
 LEXICON = {"good": 0.5, "great": 0.75, "best": 0.75, "gain": 0.5, "gains": 0.5, "profit": 0.6, "win": 0.6, "strong": 0.5, "up": 0.25, "beat": 0.5,

@@ -147,9 +147,7 @@ def chart_volume_report(spark, sf):
  CASE WHEN volume > avg_volume * 1.5 AND volume > pv THEN 1 ELSE 0 END AS volume_breakout, CASE WHEN volume_ratio >= 0.8 AND volume_ratio <= 3 AND rr5 >= 0.5 AND agree >= 0.6 - 1e-9 THEN 1 ELSE 0 END AS admissible FROM g2""")
 def chart_volume_scores(spark, sf):
     df = S.unblock(H.add_admissibility(H.add_interval_scores(I.volume_bundle(V.bars_1d(spark, sf)))))
-    ok = (c("volume_ratio") >= 0.8) & (c("volume_ratio") <= 3.0) & (c("recent_ratio") >= 0.5) & (c("obv_agreement") >= 0.6 - 1e-9)
-    return df.select("ticker", "ts", r(c("interval_score")).alias("interval_score"), r(c("daily_score")).alias("daily_score"), "volume_breakout",
-                     F.when(ok, 1).otherwise(0).alias("admissible"))
+    return df.select("ticker", "ts", r(c("interval_score")).alias("interval_score"), r(c("daily_score")).alias("daily_score"), "volume_breakout", "admissible")
 
 
 @query("chart_volume_attached", f"""WITH {Q.BARS}, {STR_SQL}, pt AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, l_shipdate + INTERVAL '36 hours' AS att, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity > 45),

@@ -29,10 +29,17 @@ ENVELOPE = T.StructType([T.StructField("data", T.ArrayType(T.StructType([
 
 
 def read_envelope(spark: SparkSession, path: str, ticker: str, least: int = 100) -> DataFrame:
-    """{"data": [...]} files -> bars.  Short files fail when the rows are read, not by a count up front."""
+    """{"data": [...]} files -> bars.  Short files, and files whose bars all lack a required field, fail when the rows are read, not
+    by a count up front."""
     raw = spark.read.schema(ENVELOPE).option("multiLine", True).json(path)
     ok = F.when(F.size("data") >= least, c("data")).otherwise(
         F.raise_error(F.concat(F.lit(f"{ticker}: fewer than {least} rows, got "), F.size("data").cast("string"))))
+
+    def absent(field: str):
+        return F.forall("data", lambda b: b[field].isNull())
+
+    for field in ("timestamp", "Open", "High", "Low", "Close", "Volume"):
+        ok = F.when(absent(field), F.raise_error(F.lit(f"{ticker}: no bar has the required field {field}"))).otherwise(ok)
     df = raw.select(F.explode(ok).alias("b"))
     return df.select(F.lit(ticker).alias("ticker"), parse_time(c("b.timestamp")).cast("timestamp_ntz").alias("ts"),
                      c("b.Open").alias("open"), c("b.High").alias("high"), c("b.Low").alias("low"), c("b.Close").alias("close"),

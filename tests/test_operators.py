@@ -83,10 +83,9 @@ def test_sentiment_and_slang(spark):
     assert got == pytest.approx([(0.5 + 0.5 - 0.3) / 3, 0.6, -0.6, 0.0])
 
 
-def test_quantiles_through_the_bracket(spark, monkeypatch):
+def test_quantiles_through_the_bracket(spark):
     rng = np.random.default_rng(3)
     x = pd.DataFrame({"k": np.where(np.arange(40000) % 3 == 0, "hot", "b"), "x": rng.normal(size=40000)})
-    monkeypatch.setattr(U, "_SMALL", 5000)
     got = U.exact_quantiles(spark.createDataFrame(x), ["k"], "x", {"a": 0.33, "m": 0.5, "z": 0.9}).toPandas().set_index("k")
     for k, g in x.groupby("k"):
         np.testing.assert_allclose(got.loc[k], np.quantile(g.x, [0.33, 0.5, 0.9]), rtol=1e-12)
@@ -150,3 +149,29 @@ def test_kelly_and_fixed_sizes(spark):
     row = dict(signal=1, confidence=0.8, entry_low=99.0, entry_high=101.0, stop_loss=95.0, atr=1.0, ticker="T")
     r = E.position_sizes(spark.createDataFrame(pd.DataFrame([row]))).first()
     assert r.fixed_shares == 250 and r.kelly_shares == 0 and r.volatility_shares == 180 and r.method == "fixed_risk" and r.shares == 250
+
+
+def test_envelope_without_a_required_field_raises(spark, tmp_path):
+    import json
+
+    from barflow.sources.readers import read_envelope
+    bar = {"timestamp": "2024-01-02 10:00:00", "Open": 1.0, "High": 2.0, "Low": 0.5, "Close": 1.5, "Volume": 10.0}
+    (tmp_path / "good.json").write_text(json.dumps({"data": [bar] * 3}))
+    (tmp_path / "bad.json").write_text(json.dumps({"data": [{k: v for k, v in bar.items() if k != "Low"}] * 3}))
+    assert read_envelope(spark, str(tmp_path / "good.json"), "A", least=2).count() == 3
+    with pytest.raises(Exception, match="required field Low"):
+        read_envelope(spark, str(tmp_path / "bad.json"), "A", least=2).collect()
+
+
+def test_slang_matches_lower_cased_words(spark):
+    from barflow.operators.mentions import sentiment
+    df = spark.createDataFrame([("new ATH today",), ("YOLO",), ("a drug and a bath",), ("rug pull",)], "t string")
+    assert [r[0] for r in df.select(sentiment(F.col("t"))).collect()] == [0.6, 0.6, 0.0, -0.6]
+
+
+@pytest.mark.parametrize("n", [3, 40, 700, 20000])
+def test_quantiles_with_ties(spark, n):
+    from barflow.operators.quantiles import exact_quantiles
+    x = np.where(np.arange(n) % 10 == 0, np.random.default_rng(n).normal(size=n), 0.0)
+    got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"k": "a", "x": x})), ["k"], "x", {"p3": 0.3, "p50": 0.5, "p97": 0.97}).collect()[0]
+    assert np.allclose([got.p3, got.p50, got.p97], np.quantile(x, [0.3, 0.5, 0.97]), atol=1e-12)
