@@ -1,7 +1,6 @@
 """Candle patterns as flag columns of a blocked series, and event rows made from flags."""
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -309,7 +308,3 @@ def library_events(df: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(n).alias("pattern"), c(n).alias("value")) for n in names])
     return df.select("ticker", "ts", "close", "high", "low", F.explode(F.filter(pairs, lambda x: x["value"] != 0)).alias("e")) \
         .select("ticker", "ts", "e.pattern", "e.value", F.col("close").alias("price"), "high", "low")
-
-
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conds)

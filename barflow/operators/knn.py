@@ -132,8 +132,11 @@ def plain_forecast(bars: DataFrame, n: int, k: int) -> DataFrame:
     return near.groupBy("ticker").agg(*[F.avg(h).alias(h) for h in HORIZONS])
 
 
-def cross_forecast(bars: DataFrame, n: int = 20, k: int = 10, min_confidence: float = 0.0, vol_mult: float = 1.0) -> DataFrame:
-    """Cross-session forecast: weights 1/d renormalised over present horizons, confidence from size and closeness."""
+def cross_forecast(bars: DataFrame, n: int = 20, k: int = 10, min_confidence: float = 0.0,
+                   vol_mult: float | dict[str, float] = 1.0) -> DataFrame:
+    """Cross-session forecast: weights 1/d renormalised over present horizons, confidence from size and closeness.
+
+    ``vol_mult``: one multiplier of the direction threshold, or a setting per ticker (1 for tickers without one)."""
     _, last = split_last(bars, n)
     lib = cross_library(bars, n)
     near = nearest(lib, current_shape(last, n), k, exponential_weights(n)).withColumn("_w", 1 / (c("dist") + 1e-8))
@@ -146,8 +149,11 @@ def cross_forecast(bars: DataFrame, n: int = 20, k: int = 10, min_confidence: fl
     return g.withColumns({f"{h}_dir": pick((low, "HOLD"), (c(h) > t, "BUY"), (c(h) < -t, "SELL"), default="HOLD") for h in HORIZONS})
 
 
-def adaptive_direction_threshold(vol_mult: float, lo: float = 0.0005, hi: float = 0.005) -> float:
-    return max(lo, min(hi, lo * vol_mult))
+def adaptive_direction_threshold(vol_mult: float | dict[str, float], lo: float = 0.0005, hi: float = 0.005) -> Column:
+    if isinstance(vol_mult, dict):
+        table = F.create_map(*[x for k, v in vol_mult.items() for x in (F.lit(k), F.lit(float(v)))])
+        vol_mult = F.coalesce(F.try_element_at(table, c("ticker")), F.lit(1.0))
+    return F.greatest(F.lit(lo), F.least(F.lit(hi), F.lit(lo) * vol_mult))
 
 
 def multi_length_forecast(bars: DataFrame, lengths=((8, 20, 0.4), (12, 30, 0.35), (20, 50, 0.25))) -> DataFrame:

@@ -151,3 +151,16 @@ def source_symbols(spark, sf):
     s.withColumn("Name", F.lit("x")).write.option("header", True).option("sep", "|").csv(out)
     stop = spark.createDataFrame([("error",), ("view",)], "word string")
     return R.read_symbols(spark, out, stop)
+
+
+@query("text_snapshot_history", f"""WITH {Q.POSTS} SELECT 'run ' || k AS snapshot, type, count(*) AS posts, sum(num_comments) AS comments FROM p, (VALUES (1), (2), (3)) AS s(k)
+ WHERE created_utc < (SELECT min(created_utc) FROM p) + k * ((SELECT max(created_utc) - min(created_utc) FROM p) / 4) GROUP BY 1, 2""")
+def text_snapshot_history(spark, sf):
+    """Three monitor runs, a quarter of the time apart, each appending what it has seen; the second one runs twice."""
+    p, folder = V.posts(spark, sf), _folder(spark, "snapshots")
+    seconds = F.unix_seconds(c("created_utc").cast("timestamp"))
+    first, last = p.agg(F.min(seconds), F.max(seconds)).first()
+    for k in (1, 2, 2, 3):
+        seen = p.where(seconds < first + k * ((last - first) / 4)) if last is not None else p
+        W.append_snapshot(seen.groupBy("type").agg(F.count(F.lit(1)).alias("posts"), F.sum("num_comments").alias("comments")), folder, f"run {k}")
+    return spark.read.parquet(folder).select("snapshot", "type", "posts", "comments")

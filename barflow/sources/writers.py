@@ -1,7 +1,7 @@
 """Writers: overwrite with a dated copy, day upsert, keyed merge, capped log, feature store, retention, exports."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 c = F.col
 
@@ -42,6 +42,12 @@ def insert_absent(store: DataFrame, new: DataFrame, key: list[str]) -> DataFrame
     return store.unionByName(new.join(store.select(*key), key, "left_anti").select(*store.columns))
 
 
+def append_snapshot(df: DataFrame, folder: str, stamp: str) -> None:
+    """Add ``df`` to a history of snapshots under its stamp; writing a stamp again replaces that snapshot alone."""
+    (df.withColumn("snapshot", F.lit(stamp)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("snapshot").parquet(folder))
+
+
 def retain_hours(df: DataFrame, hours: int = 168) -> DataFrame:
     """Rows younger than ``hours`` against the newest row (one-row broadcast)."""
     newest = df.agg(F.max("ts").alias("_newest"))
@@ -58,8 +64,3 @@ def write_predictions(df: DataFrame, folder: str) -> None:
 
 def write_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(folder)
-
-
-def dedupe_ranked(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") == 1).drop("_rn")
