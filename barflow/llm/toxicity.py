@@ -23,8 +23,9 @@ from barflow.llm.common import query, read, stored
 SPACE, PER_CLASS, SELECTED = 1 << 22, 6000, 4096
 #: Standard deviations by which a feature's shares of the two classes must lie apart to be selected.
 TELLING = 6.0
-#: Words whose features a worker remembers.
-_MEMORY = 200_000
+#: Words whose features a worker remembers: of selected features most words have none, all features of a word take far more room.
+_MEMORY, _MEMORY_ALL = 200_000, 30_000
+_BAD = 1 << 32
 _WORD = re.compile(r"\w+").findall
 
 
@@ -34,11 +35,12 @@ class Features:
     def __init__(self, keep: np.ndarray | None = None):
         self.place = None if keep is None else {int(f): i for i, f in enumerate(keep)}
         self.known: dict[str, tuple] = {}
+        self.room = _MEMORY_ALL if keep is None else _MEMORY
 
     def of(self, word: str) -> tuple:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > _MEMORY:
+            if len(self.known) > self.room:
                 self.known.clear()
             w = f"^{word}$"
             grams = {w, *(w[:k] for k in (4, 5, 6)), *(w[i:i + 4] for i in range(1, len(w) - 3))}
@@ -129,10 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         for b in batches:
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for f in {f for w in set(_WORD(text.lower())) for f in feats.of(w)}:
-                    pair = seen.setdefault(f, [0, 0])
-                    pair[toxic > 0] += 1
+                    seen[f] = seen.get(f, 0) + (_BAD if toxic > 0 else 1)         # both counts in one number
         if seen:
-            yield pa.RecordBatch.from_pydict({"f": list(seen), "clean": [x[0] for x in seen.values()], "bad": [x[1] for x in seen.values()]})
+            n = np.fromiter(seen.values(), np.int64, len(seen))
+            yield pa.RecordBatch.from_pydict({"f": np.fromiter(seen, np.int64, len(seen)), "clean": n % _BAD, "bad": n // _BAD})
 
     c, t = sizes[False], sizes[True]
     freq = (sample.select("toxic", "text").mapInArrow(class_counts, "f long, clean long, bad long").groupBy("f")
