@@ -69,13 +69,13 @@ _TRADES = f"""tr AS (SELECT ticker, ts, CASE WHEN close >= open THEN 'BUY' ELSE
  FROM tr LEFT JOIN g ON tr.ticker = g.ticker AND tr.ts = g.ts LEFT JOIN h ON tr.ticker = h.ticker AND tr.ts = h.ts)"""
 
 
-def _trades(spark, sf):
+def _trades(spark, sf, whole=False):
     b = V.bars_1d(spark, sf)
     up = c("close") >= c("open")
-    t = b.filter(c("volume") > 45).select("ticker", "ts", F.when(up, "BUY").otherwise("SELL").alias("action"), (c("close") * F.when(up, 1.05).otherwise(0.95)).alias("entry"),
+    t = (b if whole else b.filter(c("volume") > 45)).select("ticker", "ts", F.when(up, "BUY").otherwise("SELL").alias("action"), (c("close") * F.when(up, 1.05).otherwise(0.95)).alias("entry"),
                                           (c("close") * F.when(up, 0.8).otherwise(1.2)).alias("stop_loss"), (c("close") * F.when(up, 1.5).otherwise(0.5)).alias("target"))
     t = t.crossJoin(F.broadcast(b.agg(F.max("ts").alias("now"))))
-    return V2.trade_outcomes(t, ["ticker", "ts"], b, c("now"), 60 * S.DAY)
+    return V2.trade_outcomes(t, ["ticker", "ts"], b, c("now"), None if whole else 60 * S.DAY)
 
 
 @query("eval_trade_outcomes", f"WITH {Q.BARS}, {_TRADES} SELECT ticker, ts, action, trig AS trigger_ts, status FROM to_")
@@ -89,6 +89,21 @@ def eval_tracker_summary(spark, sf):
     return V2.tracker_summary(_trades(spark, sf)).withColumn("win_rate", r(c("win_rate")))
 
 
+# The same over whole tables: every bar is a trade, followed to the end of the history.
+_TRADES_WHOLE = _TRADES.replace(" AND x.ts <= t.ts + INTERVAL '60 days'", "").replace(" FROM b WHERE volume > 45", " FROM b")
+
+
+@query("eval_trade_outcomes_whole", f"WITH {Q.BARS}, {_TRADES_WHOLE} SELECT ticker, ts, action, trig AS trigger_ts, status FROM to_")
+def eval_trade_outcomes_whole(spark, sf):
+    return _trades(spark, sf, whole=True).select("ticker", "ts", "action", "trigger_ts", "status")
+
+
+@query("eval_tracker_summary_whole", f"""WITH {Q.BARS}, {_TRADES_WHOLE}, k AS (SELECT ticker, count(*) AS total, {', '.join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ('pending', 'triggered', 'hit_target', 'hit_stop', 'expired'))} FROM to_ GROUP BY 1)
+ SELECT *, round(coalesce(hit_target * 100.0 / nullif(hit_target + hit_stop, 0), 0), 4) AS win_rate FROM k""")
+def eval_tracker_summary_whole(spark, sf):
+    return V2.tracker_summary(_trades(spark, sf, whole=True)).withColumn("win_rate", r(c("win_rate")))
+
+
 _DR = "CASE WHEN {x} > 2 THEN 'BULLISH' WHEN {x} < -2 THEN 'BEARISH' ELSE 'NEUTRAL' END"
 _FE = f"""p0 AS (SELECT ticker, ts, close AS price, (close / nullif(lag(close, 4) {Q.ROW}, 0) - 1) * 100 AS pp FROM b), p1 AS (SELECT *, {_DR.format(x='pp')} AS direction FROM p0 WHERE pp IS NOT NULL),
  t3 AS (SELECT *, '1h' AS horizon, ts + INTERVAL '1 hour' AS tgt FROM p1 UNION ALL SELECT *, '3h', ts + INTERVAL '3 hours' FROM p1 UNION ALL SELECT *, 'eod', date_trunc('day', ts) + INTERVAL '16 hours' FROM p1),

@@ -49,6 +49,20 @@ def test_trade_outcomes(spark, path, status):
     assert out.status == status
 
 
+@pytest.mark.parametrize("entry_day,touch_day,touch,status", [
+    (1, 61, (121, 110), "hit_target"), (1, 61, (106, 79), "hit_stop"), (61, 4500, (121, 110), "hit_target"), (2000, 2000, (125, 75), "hit_stop"),
+    (61, 62, (106, 99), "triggered")])
+def test_trade_outcomes_to_the_end(spark, entry_day, touch_day, touch, status):
+    """Entry 104, stop 80, target 120: a touch on day 61, or years later, counts."""
+    rows = {0: (100, 99), entry_day: (105, 99), touch_day: touch}
+    bars = pd.DataFrame([dict(ticker="T", ts=pd.Timestamp("2010-01-01") + pd.Timedelta(days=i), high=float(h), low=float(lo))
+                         for i in range(touch_day + 3) for h, lo in [rows.get(i, (101, 99))]])
+    t = spark.createDataFrame(pd.DataFrame([dict(ticker="T", ts=pd.Timestamp("2010-01-01"), action="BUY", entry=104.0, stop_loss=80.0, target=120.0)]))
+    out = V.trade_outcomes(t, ["ticker", "ts"], spark.createDataFrame(bars), F.lit("2024-02-01").cast("timestamp")).first()
+    assert out.status == status
+    assert out.trigger_ts == pd.Timestamp("2010-01-01") + pd.Timedelta(days=entry_day)
+
+
 def test_arbitration_table(spark):
     rows = [dict(profile=p, ticker="T", ts=pd.Timestamp("2020-01-01"), momentum_signal=m, technical_signal=t, regime_score=s)
             for p, m, t, s in itertools.product(("NVDA", "MSFT"), (-1, 0, 1), (-1, 0, 1), (-0.8, 0.0, 0.8))]
