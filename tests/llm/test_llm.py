@@ -284,6 +284,16 @@ def test_templates(spark, docs, empty):
     assert templates.drop_templates(empty).count() == 0
 
 
+def test_short_and_literal_lines(spark):
+    """Short lines drop at three documents here, long literal ones at two; what stays apart in one word stays."""
+    long = prose(2, 12)
+    rows = [(k, f"All rights reserved.\n\nPage {k}\n{prose(50 + k, 6)}") for k in range(3)] + [(10, f"{long}\nTwice here"), (11, f"Twice here\n{long}"), (12, long + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in templates.drop_templates(df, short_docs=3, literal_docs=2).collect()}
+    assert [got[k].n_dropped for k in (0, 1, 2, 10, 11, 12)] == [0, 1, 1, 0, 1, 0]
+    assert got[1].text == f"\nPage 1\n{prose(51, 6)}" and got[11].text == "Twice here"
+
+
 def test_toxicity(spark, empty):
     r = random.Random(3)
     bad, ids, rows, labels = ["scumoid", "idiotas", "moronic"], range(600), [], []
