@@ -82,7 +82,7 @@ def live_day_upsert(spark, sf):
     """The same stream written twice leaves one copy of each day."""
     out = _folder(spark, "days")
     for k in (1, 2):
-        L.upsert_batches(_ticks(spark, sf), out, f"{out}-chk{k}").trigger(availableNow=True).start().awaitTermination()
+        L.upsert_batches(_ticks(spark, sf), out, f"{out}-chk{k}", ["event_id"]).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy(c("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -1,8 +1,11 @@
 """Writers: overwrite with a dated copy, day upsert, keyed merge, capped log, feature store, retention, exports."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
+from barflow.session import cut_lineage
+
 c = F.col
 
 
@@ -18,6 +21,18 @@ def upsert_days(df: DataFrame, folder: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(folder))
 
 
+def merge_days(df: DataFrame, folder: str, key: list[str]) -> None:
+    """Add ``df`` to the dates in ``folder``: stored rows of a date stay unless ``df`` has their key (``df`` has a key once per date)."""
+    new = df.withColumn("date", F.to_date("ts"))
+    try:
+        old = df.sparkSession.read.schema(new.schema).parquet(folder).join(new.select("date").distinct(), "date", "left_semi")
+        new = merge_latest(old.select(*new.columns), new, [*{*key, "date"}])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    upsert_days(cut_lineage(new.select(*df.columns)), folder)       # read to the end before its dates are overwritten
+
+
 def replace_days(history: DataFrame, new: DataFrame) -> DataFrame:
     """The same as a frame: history without the dates of ``new``, plus ``new``."""
     days = new.select(F.to_date("ts").alias("_d")).distinct()

@@ -111,10 +111,10 @@ def running_indicators(bars: DataFrame, span: int = 20, period: int = 14) -> Dat
         RunningIndicators(span, period), "ticker STRING, ts TIMESTAMP, ema DOUBLE, rsi DOUBLE, vwap DOUBLE", "Append", "None")
 
 
-def upsert_batches(stream: DataFrame, folder: str, checkpoint: str):
-    """Write each micro-batch by day with dynamic overwrite; a day must come whole, so feed it closed days."""
-    from barflow.sources.writers import upsert_days
-    return stream.writeStream.foreachBatch(lambda df, _: upsert_days(df, folder)).option("checkpointLocation", checkpoint)
+def upsert_batches(stream: DataFrame, folder: str, checkpoint: str, key: list[str]):
+    """Write each micro-batch by day with dynamic overwrite, merged by ``key`` with what is stored of its days: a day may come in parts."""
+    from barflow.sources.writers import merge_days
+    return stream.writeStream.foreachBatch(lambda df, _: merge_days(df, folder, key)).option("checkpointLocation", checkpoint)
 
 
 def evaluate_predictions(preds: DataFrame, bars: DataFrame, horizon: str = "1 hour", slack: str = "15 minutes", late: str = "30 minutes") -> DataFrame:

@@ -63,6 +63,17 @@ def test_trade_outcomes_to_the_end(spark, entry_day, touch_day, touch, status):
     assert out.trigger_ts == pd.Timestamp("2010-01-01") + pd.Timedelta(days=entry_day)
 
 
+def test_a_day_in_two_batches_stays_whole(spark, tmp_path):
+    from barflow.streaming import live as L
+    rows = [(1, "2024-01-01 09:00:00", 1.0), (2, "2024-01-01 15:00:00", 2.0), (2, "2024-01-01 15:00:00", 3.0), (3, "2024-01-02 09:00:00", 4.0)]
+    for k, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "event_id long, ts string, price double").withColumn("ts", c("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+        stream = spark.readStream.schema("event_id long, ts timestamp, price double").parquet(f"{tmp_path}/in{k}")
+        L.upsert_batches(stream, f"{tmp_path}/out", f"{tmp_path}/chk{k}", ["event_id"]).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("event_id", "price", c("date").cast("string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1.0, "2024-01-01"), (2, 3.0, "2024-01-01"), (3, 4.0, "2024-01-02")]
+
+
 def test_arbitration_table(spark):
     rows = [dict(profile=p, ticker="T", ts=pd.Timestamp("2020-01-01"), momentum_signal=m, technical_signal=t, regime_score=s)
             for p, m, t, s in itertools.product(("NVDA", "MSFT"), (-1, 0, 1), (-1, 0, 1), (-0.8, 0.0, 0.8))]
