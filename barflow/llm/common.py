@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(column: pa.Array, size: int, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Stretches of the texts (or binaries) of an Arrow column of about ``size`` bytes and at most ``rows`` rows together; a longer text
+    stands alone."""
+    a = total = 0
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        if i > a and (total + n > size or i - a == rows):
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(column):
+        yield a, len(column)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
