@@ -1,6 +1,8 @@
 """Outcomes of patterns, trades, forecasts and recommendations; reports.  These operators look ahead by design."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions.scalar import div, flag, pct, pick
@@ -8,29 +10,32 @@ from barflow.operators import joins as J, series as S
 from barflow.operators.salting import salted_join
 
 c = F.col
-HORIZONS = (("5min", 1), ("15min", 3), ("30min", 6), ("1hour", 12), ("2hour", 24))
+#: Horizons by the clock, in seconds.
+HORIZONS = (("5min", 300), ("15min", 900), ("30min", 1800), ("1hour", 3600), ("2hour", 7200))
 
 
 def add_futures(bars: DataFrame, interval_s: int = 900, strict: bool = False) -> DataFrame:
-    """Close, highest high and lowest low over the next 1/3/6/12/24 bars and to the end of the session, unblocked.
+    """Close, highest high and lowest low of the bars within the next 5 to 120 minutes and to the end of the session, unblocked; NULL where there are
+    none (a horizon shorter than the bars has none).
 
-    Not strict: a horizon longer than what is left takes what is left."""
+    Not strict: a horizon longer than what is left takes what is left; strict: the series must reach its end."""
     key = Window.partitionBy("ticker", F.to_date("ts"))
     rest = key.orderBy(c("ts").desc()).rowsBetween(Window.unboundedPreceding, -1)
     df = bars.withColumns({"eod_n": F.count(F.lit(1)).over(rest), "eod_close": F.first("close").over(rest),
                            "eod_high": F.max("high").over(rest), "eod_low": F.min("low").over(rest)})
     df = S.blocked(df, interval_s)
-    for name, k in HORIZONS:
-        w = S.ahead(1, k)
-        n = F.count(F.lit(1)).over(w)
-        ok = n == k if strict else n > 0
-        df = df.withColumns({f"{name}_n": n, f"{name}_close": F.when(ok, F.last("close").over(w)),
+    if strict:      # a block holds the bars ahead of its own, so it ends later than they do unless the series ends
+        df = df.withColumn("_end", F.max("ts").over(Window.partitionBy("ticker", S.BLK)))
+    for name, seconds in HORIZONS:
+        w = S.clock_ahead(seconds, interval_s)
+        ok = c("_end") >= c("ts") + F.make_dt_interval(secs=F.lit(seconds)) if strict else F.lit(True)
+        df = df.withColumns({f"{name}_n": F.count(F.lit(1)).over(w), f"{name}_close": F.when(ok, F.last("close").over(w)),
                              f"{name}_high": F.when(ok, F.max("high").over(w)), f"{name}_low": F.when(ok, F.min("low").over(w))})
-    return S.unblock(df)
+    return S.unblock(df).drop("_end")
 
 
 def pattern_outcomes(events: DataFrame, threshold: Column | float = 0.1, neutral_inside: bool = False) -> DataFrame:
-    """One row per event and horizon (needs add_futures, direction, price): change, best and worst move, success.
+    """One row per event and horizon (needs add_futures, direction, price): change, best and worst move, success; NULL metrics where no bar follows.
 
     Neutral events have no success, or succeed inside the threshold with ``neutral_inside``."""
     names = [n for n, _ in HORIZONS] + ["eod"]
@@ -38,18 +43,20 @@ def pattern_outcomes(events: DataFrame, threshold: Column | float = 0.1, neutral
     rows = F.array(*[F.struct(F.lit(n).alias("horizon"), c(f"{n}_close").alias("final"), c(f"{n}_high").alias("hi"), c(f"{n}_low").alias("lo"))
                      for n in names])
     keep = [x for x in events.columns if not any(x.startswith(f"{n}_") for n in names)]
-    df = events.select(*keep, F.explode(F.filter(rows, lambda x: x["final"].isNotNull())).alias("_h")).select(*keep, "_h.*")
+    df = events.select(*keep, F.explode(rows).alias("_h")).select(*keep, "_h.*")
     p, bull, bear = c("price"), c("direction") == "bullish", c("direction") == "bearish"
     df = df.withColumns({"change": pct(c("final"), p), "_up": pct(c("hi"), p), "_dn": div(p - c("lo"), p) * 100})
     neutral = pick((F.abs(c("change")) <= t, 1), default=0) if neutral_inside else F.lit(None).cast("int")
+    met = lambda x: F.when(c("final").isNotNull(), x)
     return df.withColumns({
         "max_favorable": pick((bull, c("_up")), (bear, c("_dn")), default=F.abs(c("change"))),
-        "max_adverse": pick((bull, c("_dn")), (bear, c("_up")), default=0.0),
-        "success": pick((bull, flag(c("change") > t)), (bear, flag(c("change") < -t)), default=neutral)}).drop("_up", "_dn", "hi", "lo")
+        "max_adverse": met(pick((bull, c("_dn")), (bear, c("_up")), default=0.0)),
+        "success": met(pick((bull, flag(c("change") > t)), (bear, flag(c("change") < -t)), default=neutral))}).drop("_up", "_dn", "hi", "lo")
 
 
 def win_rates(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    return outcomes.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.avg("success") * 100, F.lit(0.0)).alias("win_rate"),
+    """``total`` counts events with an outcome, ``open`` those without."""
+    return outcomes.groupBy(*keys).agg(F.count("final").alias("total"), F.count_if(c("final").isNull()).alias("open"), F.coalesce(F.avg("success") * 100, F.lit(0.0)).alias("win_rate"),
                                        F.avg("change").alias("avg_change"), F.avg("max_favorable").alias("avg_favorable"),
                                        F.avg("max_adverse").alias("avg_adverse"))
 
@@ -87,23 +94,26 @@ def tracker_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def forecast_evaluation(preds: DataFrame, bars: DataFrame, threshold: float, interval_s: int = 900) -> DataFrame:
-    """Predictions (ticker, ts, price, pred_pct, direction) against the first bar at or after +1 h, +3 h and 16:00."""
+    """Predictions (ticker, ts, price, pred_pct, direction) against the first bar at or after +1 h, +3 h and 16:00. Where no bar has come yet the actual
+    values, ``correct`` and ``error`` are NULL."""
     close = F.date_trunc("day", "ts").cast(preds.schema["ts"].dataType) + F.expr("INTERVAL 16 HOURS")
     targets = F.array(F.struct(F.lit("1h").alias("horizon"), (c("ts") + F.expr("INTERVAL 1 HOUR")).alias("target")),
                       F.struct(F.lit("3h").alias("horizon"), (c("ts") + F.expr("INTERVAL 3 HOURS")).alias("target")),
                       F.struct(F.lit("eod").alias("horizon"), close.alias("target")))
     df = preds.withColumn("_t", F.explode(targets)).withColumns({"horizon": c("_t.horizon"), "target": c("_t.target")}).drop("_t")
-    df = J.asof_join(df, bars, "target", ["close"], "forward", interval_s).filter(c("hit").isNotNull())
+    df = J.asof_join(df, bars, "target", ["close"], "forward", interval_s)
     df = df.withColumn("actual_pct", pct(c("hit.close"), c("price")))
-    actual = pick((c("actual_pct") > threshold, "BULLISH"), (c("actual_pct") < -threshold, "BEARISH"), default="NEUTRAL")
-    return df.withColumns({"actual_direction": actual, "correct": flag(c("direction") == actual),
+    known = c("actual_pct").isNotNull()
+    actual = F.when(known, pick((c("actual_pct") > threshold, "BULLISH"), (c("actual_pct") < -threshold, "BEARISH"), default="NEUTRAL"))
+    return df.withColumns({"actual_direction": actual, "correct": F.when(known, flag(c("direction") == actual)),
                            "error": F.abs(c("pred_pct") - c("actual_pct"))}).drop("hit", "target")
 
 
 def accuracy(evals: DataFrame) -> DataFrame:
-    """Accuracy overall and per predicted direction, and the error range, by ticker and horizon."""
+    """Accuracy overall and per predicted direction, and the error range, by ticker and horizon. ``total`` counts predictions that have been evaluated,
+    ``open`` the others."""
     return evals.groupBy("ticker", "horizon").agg(
-        F.count(F.lit(1)).alias("total"), (F.avg("correct") * 100).alias("accuracy"), F.avg("error").alias("avg_error"), F.min("error").alias("min_error"),
+        F.count("correct").alias("total"), F.count_if(c("correct").isNull()).alias("open"), (F.avg("correct") * 100).alias("accuracy"), F.avg("error").alias("avg_error"), F.min("error").alias("min_error"),
         F.max("error").alias("max_error"), *[F.coalesce(F.avg(F.when(c("direction") == d, c("correct"))) * 100, F.lit(0.0)).alias(f"{d.lower()}_accuracy")
                                              for d in ("BULLISH", "BEARISH", "NEUTRAL")])
 
@@ -111,29 +121,56 @@ def accuracy(evals: DataFrame) -> DataFrame:
 def recommendation_report(recs: DataFrame, bars: DataFrame, hours: int, threshold: float, interval_s: int = 900) -> DataFrame:
     """Recommendations (ticker, ts, price, recommendation) against the first bar ``hours`` later; accuracy by side."""
     df = recs.withColumn("target", c("ts") + F.make_dt_interval(hours=F.lit(hours)))
-    df = J.asof_join(df, bars, "target", ["close"], "forward", interval_s).filter(c("hit").isNotNull()).withColumn("change", pct(c("hit.close"), c("price")))
-    buy, sell = c("recommendation").isin("BUY", "STRONG BUY"), c("recommendation").isin("SELL", "STRONG SELL")
-    df = df.withColumn("ok", flag((buy & (c("change") > threshold)) | (sell & (c("change") < -threshold))
-                                  | ((c("recommendation") == "HOLD") & (F.abs("change") <= threshold))))
-    zero = F.lit(0.0)
+    df = J.asof_join(df, bars, "target", ["close"], "forward", interval_s).withColumn("change", pct(c("hit.close"), c("price")))
+    known = c("change").isNotNull()
+    buy, sell, hold = c("recommendation").isin("BUY", "STRONG BUY"), c("recommendation").isin("SELL", "STRONG SELL"), c("recommendation") == "HOLD"
+    df = df.withColumn("ok", F.when(known, flag((buy & (c("change") > threshold)) | (sell & (c("change") < -threshold)) | (hold & (F.abs("change") <= threshold)))))
+    zero, sides = F.lit(0.0), (("buy", buy), ("sell", sell), ("hold", hold))
     return df.groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("total"), F.sum("ok").alias("correct"), (F.avg("ok") * 100).alias("accuracy"), F.avg("change").alias("avg_change"),
-        *[F.coalesce(F.avg(F.when(x, c("ok"))) * 100, zero).alias(f"{n}_accuracy") for n, x in (
-            ("buy", buy), ("sell", sell), ("hold", c("recommendation") == "HOLD"))],
-        *[F.count_if(x).alias(f"{n}_count") for n, x in (("buy", buy), ("sell", sell), ("hold", c("recommendation") == "HOLD"))])
-
-
-def walk_forward(signals: DataFrame, lookback_days: int = 90, test_days: int = 20) -> DataFrame:
-    """Metrics of each test window of ``test_days`` after the first ``lookback_days`` (needs signal and next_ret).
-
-    Windows do not overlap, so a bar belongs to the window its date falls in: no range join. A return of -100 % or less ends the
-    equity at zero."""
-    first = signals.groupBy("ticker").agg(F.min("ts").alias("_t0"))
-    df = salted_join(signals, first, ["ticker"], ["ts"])
-    day = F.datediff(c("ts"), c("_t0")) - lookback_days
-    df = df.filter((day >= 0) & c("next_ret").isNotNull()).withColumns({
-        "split": F.floor(day / test_days).cast("int"), "_r": F.greatest(c("signal") * c("next_ret"), F.lit(-1.0 + 1e-12))})
-    w = Window.partitionBy("ticker", "split").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+        F.count("ok").alias("total"), F.count_if(~known).alias("open"), F.sum("ok").alias("correct"), (F.avg("ok") * 100).alias("accuracy"),
+        F.avg("change").alias("avg_change"), *[F.coalesce(F.avg(F.when(x, c("ok"))) * 100, zero).alias(f"{n}_accuracy") for n, x in sides],
+        *[F.count_if(x & known).alias(f"{n}_count") for n, x in sides])
+
+
+def fitted_signals(rows: DataFrame, lookback_days: int = 90, test_days: int = 20, min_train_days: int = 60, cost: float = 0.0) -> DataFrame:
+    """Walk-forward signals of a rule that is fitted anew for each test window of ``test_days``: the least-squares line of next_ret on feature over the
+    ``lookback_days`` before the window, ``min_train_days`` at least; a bar is bought or sold where the line promises more than ``cost``.
+
+    ``rows``: ticker, ts, feature, next_ret, next_ts. A pair is learnt from once its next bar is known, so on the day of next_ts. The sums that the line
+    needs are kept per stretch of days that divides all three lengths, and a window adds up those of its training days: no row is read twice.
+    Windows without two different features to learn from have signal 0. Adds ``split`` and ``signal``; rows before the first window are left out."""
+    step = math.gcd(lookback_days, test_days, min_train_days)
+    first = rows.groupBy("ticker").agg(F.min("ts").alias("_t0"))
+    df = salted_join(rows, first, ["ticker"], ["ts"])
+    x, y = c("feature"), c("next_ret")
+    pairs = df.filter(x.isNotNull() & y.isNotNull()).withColumn("_d", F.floor(F.datediff("next_ts", "_t0") / step))
+    sums = pairs.groupBy("ticker", "_d").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(n) for n, v in (("_x", x), ("_y", y), ("_xy", x * y), ("_xx", x * x))])
+    ends = df.select("ticker", F.floor(F.datediff("ts", "_t0") / step).alias("_d"))
+    zero = [F.lit(0).cast("long").alias("_n"), *[F.lit(0.0).alias(n) for n in ("_x", "_y", "_xy", "_xx")]]
+    #: every window's first stretch is there, with sums of its own or without
+    starts = ends.select("ticker", (F.floor((c("_d") * step - min_train_days) / test_days) * test_days + min_train_days).alias("_s")) \
+        .filter(c("_s") >= min_train_days).distinct().select("ticker", F.floor(c("_s") / step).alias("_d"), *zero)
+    w = Window.partitionBy("ticker").orderBy("_d").rangeBetween(-(lookback_days // step), -1)       # one row per stretch of days
+    known = sums.unionByName(starts).groupBy("ticker", "_d").agg(*[F.sum(n).alias(n) for n in ("_n", "_x", "_y", "_xy", "_xx")])
+    known = known.select("ticker", "_d", *[F.sum(n).over(w).alias(n) for n in ("_n", "_x", "_y", "_xy", "_xx")])
+    spread = c("_n") * c("_xx") - c("_x") * c("_x")
+    slope = F.when((c("_n") >= 2) & (spread > 1e-12 * c("_n") * c("_xx")), (c("_n") * c("_xy") - c("_x") * c("_y")) / spread)
+    rules = known.select("ticker", ((c("_d") * step - min_train_days) / test_days).alias("_f"), slope.alias("slope"), ((c("_y") - slope * c("_x")) / c("_n")).alias("base")) \
+        .filter(c("_f") == F.floor("_f")).select("ticker", c("_f").cast("int").alias("split"), "slope", "base")
+    day = F.datediff("ts", "_t0") - min_train_days
+    test = df.filter(day >= 0).withColumn("split", F.floor(day / test_days).cast("int")).drop("_t0")
+    promise = c("base") + c("slope") * x
+    return test.join(rules, ["ticker", "split"], "left").withColumn("signal", F.coalesce(pick((promise > cost, 1), (promise < -cost, -1), default=0), F.lit(0))) \
+        .drop("slope", "base")
+
+
+def walk_forward(signals: DataFrame, cost: float = 0.0) -> DataFrame:
+    """Metrics of each test window (ticker, split, ts, signal, next_ret; see ``fitted_signals``). ``cost`` is paid for each unit by which the position
+    changes. A return of -100 % or less ends the equity at zero."""
+    along = Window.partitionBy("ticker", "split").orderBy("ts")       # a window's days bound it
+    df = signals.filter(c("next_ret").isNotNull()).withColumn("_turn", F.abs(c("signal") - F.coalesce(F.lag("signal").over(along), F.lit(0))))
+    df = df.withColumn("_r", F.greatest(c("signal") * c("next_ret") - c("_turn") * cost, F.lit(-1.0 + 1e-12)))
+    w = along.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_eq", F.exp(F.sum(F.log1p("_r")).over(w)))
     df = df.withColumn("_dd", c("_eq") / F.greatest(F.max("_eq").over(w), F.lit(1.0)) - 1)
     traded = c("signal") != 0

@@ -24,21 +24,50 @@ def _bucket_arrays(bars: DataFrame, cols: list[str], span_s: int) -> DataFrame:
         .groupBy("ticker", "_tb").agg(F.array_sort(F.collect_list("_bar")).alias("_bars"))
 
 
+#: Buckets of a block in ``known_around``.
+BLOCK_BUCKETS = 4096
+
+
+def known_around(rows: DataFrame, order: str, before: dict[str, str] | None = None, after: dict[str, str] | None = None,
+                 block: int = BLOCK_BUCKETS) -> DataFrame:
+    """Last known and next known values along a ticker: for ``name -> column`` in ``before``, the last non-NULL value of the column on an earlier
+    row; in ``after``, the first one on a later row. ``order`` is a whole number, unique within a ticker.
+
+    A block-carried scan: windows run over blocks of ``block`` steps of ``order``, so they are bounded; each block gives one row with its own
+    first and last known values, these rows alone are scanned along the ticker, and what they carry fills the edges of the blocks."""
+    before, after = before or {}, after or {}
+    rows = rows.withColumn("_sb", F.floor(c(order) / F.lit(block)))
+    known = lambda x: F.when(c(x).isNotNull(), c(order))
+    edge = rows.groupBy("ticker", "_sb").agg(*[F.max_by(x, known(x)).alias(f"_e{n}") for n, x in before.items()],
+                                             *[F.min_by(x, known(x)).alias(f"_e{n}") for n, x in after.items()])
+    along = Window.partitionBy("ticker").orderBy("_sb")
+    up, down = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    carry = edge.select("ticker", "_sb", *[F.last(f"_e{n}", ignorenulls=True).over(up).alias(f"_e{n}") for n in before],
+                        *[F.first(f"_e{n}", ignorenulls=True).over(down).alias(f"_e{n}") for n in after])
+    inside = Window.partitionBy("ticker", "_sb").orderBy(order)
+    back = Window.partitionBy("ticker", "_sb").orderBy(c(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({**{n: F.last(x, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)) for n, x in before.items()},
+                             **{n: F.last(x, ignorenulls=True).over(back) for n, x in after.items()}})
+    rows = rows.join(carry, ["ticker", "_sb"])
+    return rows.withColumns({n: F.coalesce(c(n), c(f"_e{n}")) for n in [*before, *after]}).drop("_sb", *[f"_e{n}" for n in [*before, *after]])
+
+
 def asof_join(left: DataFrame, bars: DataFrame, at: str, cols: list[str], direction: str = "forward",
-              interval_s: int = 900, bucket_rows: int = BUCKET_ROWS, out: str = "hit") -> DataFrame:
+              interval_s: int = 900, bucket_rows: int = BUCKET_ROWS, out: str = "hit", block: int = BLOCK_BUCKETS) -> DataFrame:
     """Add ``out`` = struct(ts, *cols) of the bar at or after ('forward'), at or before ('backward') or closest to
-    ('nearest', the earlier one on a tie) the time in column ``at``; NULL where there is none."""
+    ('nearest', the earlier one on a tie) the time in column ``at``; NULL where there is none.
+
+    A bucket is reduced to its first and last bar, ``known_around`` carries those over buckets without bars, and the bars of a
+    bucket meet the rows that ask for it afterwards: no window holds them, and none but the one over blocks runs along a whole ticker."""
     span = interval_s * bucket_rows
     probe = left.withColumn("_tb", _bucket(c(at), span))
-    arrays = _bucket_arrays(bars, cols, span)
-    keys = arrays.select("ticker", "_tb").unionByName(probe.select("ticker", "_tb").distinct()).distinct()
-    grid = keys.join(arrays, ["ticker", "_tb"], "left")
-    up = Window.partitionBy("ticker").orderBy("_tb").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.partitionBy("ticker").orderBy(c("_tb").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    if direction != "forward":
-        grid = grid.withColumn("_prev", F.last(F.try_element_at("_bars", F.lit(-1)), ignorenulls=True).over(up))
-    if direction != "backward":
-        grid = grid.withColumn("_next", F.last(F.try_element_at("_bars", F.lit(1)), ignorenulls=True).over(down))
+    bar = F.struct("ts", *cols)
+    edges = bars.groupBy("ticker", _bucket(c("ts"), span).alias("_tb")).agg(F.min_by(bar, "ts").alias("_first"), F.max_by(bar, "ts").alias("_last"))
+    none = F.lit(None).cast(edges.schema["_first"].dataType)
+    asked = probe.select("ticker", "_tb", none.alias("_first"), none.alias("_last"))
+    keys = edges.unionByName(asked).groupBy("ticker", "_tb").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    grid = known_around(keys, "_tb", {"_prev": "_last"} if direction != "forward" else {}, {"_next": "_first"} if direction != "backward" else {}, block)
+    grid = grid.drop("_first", "_last").join(_bucket_arrays(bars, cols, span), ["ticker", "_tb"], "left")
     df = probe.join(grid, ["ticker", "_tb"], "left")
     before = after = None
     if direction != "forward":
@@ -130,7 +159,7 @@ def latest_rows(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def with_config(df: DataFrame, config: DataFrame, on: str, defaults: dict) -> DataFrame:
-    """Left lookup of per-key settings with a default row.  Config frames are literal tables of a few rows, so the
-    broadcast is bounded by construction."""
-    df = df.join(F.broadcast(config), on, "left")
+    """Left lookup of per-key settings with a default row. Whether ``config`` is broadcast is left to the session's size check
+    (``autoBroadcastJoinThreshold``, on real sizes at run time): the caller's frame has no bound of its own."""
+    df = df.join(config, on, "left")
     return df.withColumns({k: F.coalesce(c(k), F.lit(v)) for k, v in defaults.items()})

@@ -136,6 +136,13 @@ def ahead(first: int, last: int) -> WindowSpec:
     return _w().rowsBetween(first, last)
 
 
+def clock_ahead(seconds: int, interval_s: int) -> WindowSpec:
+    """Rows later than the current one by at most ``seconds`` (the current time excluded). ``interval_s``: least distance of two bars, which bounds the rows."""
+    if seconds > interval_s * AHEAD_ROWS:
+        raise ValueError(f"{seconds} s ahead may be more than the {AHEAD_ROWS} rows that blocks carry after them")
+    return Window.partitionBy("ticker", BLK).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(1, seconds * 1_000_000)
+
+
 def running() -> WindowSpec:
     """From the first row of the block (copies included) to the current row."""
     return _w().rowsBetween(Window.unboundedPreceding, 0)

@@ -13,26 +13,26 @@ from barflow.sources import views as V
 
 c = F.col
 _DIR = "CASE WHEN close > open THEN 'bullish' WHEN close < open THEN 'bearish' ELSE 'neutral' END"
-_O = "PARTITION BY ticker ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING"
+_O = "PARTITION BY ticker ORDER BY ts RANGE BETWEEN INTERVAL '1 microsecond' FOLLOWING AND INTERVAL '{k} seconds' FOLLOWING"
 _E = "PARTITION BY ticker, CAST(ts AS DATE) ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
 
 
 def _outcome_sql(strict=False, threshold="0.1", neutral="NULL"):
     parts = []
-    for n, k in list(V2.HORIZONS) + [("eod", None)]:
+    for n, k in (("5min", 300), ("15min", 900), ("30min", 1800), ("1hour", 3600), ("2hour", 7200), ("eod", None)):
         o = _E if k is None else _O.format(k=k)
-        ok = f"cnt = {k}" if strict and k else "cnt > 0"
-        parts.append(f"SELECT ticker, ts, direction, price, '{n}' AS horizon, fin, hi, lo, atr FROM (SELECT *, count(*) OVER ({o}) AS cnt, last(close) OVER ({o}) AS fin, max(high) OVER ({o}) AS hi, min(low) OVER ({o}) AS lo FROM ev0) WHERE use AND {ok}")
-    return f"""{Q.numbered()}, e1 AS (SELECT *, {Q.TR} AS tr FROM s), ev0 AS (SELECT *, {_DIR} AS direction, close AS price, volume > 100 AS use, {Q.ema('tr', S.wilder(14))} AS atr FROM e1), u AS ({' UNION ALL '.join(parts)}),
+        ok = f"max(ts) OVER (PARTITION BY ticker) >= ts + INTERVAL '{k} seconds'" if strict and k else "TRUE"
+        parts.append(f"SELECT ticker, ts, direction, price, '{n}' AS horizon, CASE WHEN ok THEN fin END AS fin, CASE WHEN ok THEN hi END AS hi, CASE WHEN ok THEN lo END AS lo, atr FROM (SELECT *, {ok} AS ok, last(close) OVER ({o}) AS fin, max(high) OVER ({o}) AS hi, min(low) OVER ({o}) AS lo FROM ev0)")
+    return f"""{Q.numbered()}, e1 AS (SELECT *, {Q.TR} AS tr FROM s), ev0 AS (SELECT *, {_DIR} AS direction, close AS price, {Q.ema('tr', S.wilder(14))} AS atr FROM e1), u AS ({' UNION ALL '.join(parts)}),
  u1 AS (SELECT *, (fin - price) / nullif(price, 0) * 100 AS change, (hi - price) / nullif(price, 0) * 100 AS up, (price - lo) / nullif(price, 0) * 100 AS dn, {threshold} AS th FROM u),
- oc AS (SELECT *, CASE direction WHEN 'bullish' THEN up WHEN 'bearish' THEN dn ELSE abs(change) END AS mf, CASE direction WHEN 'bullish' THEN dn WHEN 'bearish' THEN up ELSE 0 END AS ma,
- CASE direction WHEN 'bullish' THEN CASE WHEN change > th THEN 1 ELSE 0 END WHEN 'bearish' THEN CASE WHEN change < -th THEN 1 ELSE 0 END ELSE {neutral} END AS success FROM u1)"""
+ oc AS (SELECT *, CASE direction WHEN 'bullish' THEN up WHEN 'bearish' THEN dn ELSE abs(change) END AS mf, CASE WHEN fin IS NOT NULL THEN CASE direction WHEN 'bullish' THEN dn WHEN 'bearish' THEN up ELSE 0 END END AS ma,
+ CASE WHEN fin IS NOT NULL THEN CASE direction WHEN 'bullish' THEN CASE WHEN change > th THEN 1 ELSE 0 END WHEN 'bearish' THEN CASE WHEN change < -th THEN 1 ELSE 0 END ELSE {neutral} END END AS success FROM u1)"""
 
 
 def _events(spark, sf, strict=False):
     df = V2.add_futures(V.bars_15m(spark, sf), 900, strict)
     d = F.when(c("close") > c("open"), "bullish").when(c("close") < c("open"), "bearish").otherwise("neutral")
-    return df.withColumns({"direction": d, "price": c("close")}).filter(c("volume") > 100)
+    return df.withColumns({"direction": d, "price": c("close")})
 
 
 _OUT = sel(change="change", max_favorable="mf", max_adverse="ma", final="fin")
@@ -53,29 +53,30 @@ def eval_pattern_strict(spark, sf):
     return o.select("ticker", "ts", "horizon", "direction", "success", *[r(c(x)).alias(x) for x in ("change", "max_favorable", "max_adverse", "final")])
 
 
-@query("eval_win_rates", f"""WITH {Q.BARS_15M}, {_outcome_sql()} SELECT horizon, direction, count(*) AS total, round(coalesce(avg(success) * 100, 0), 4) AS win_rate, round(avg(change), 4) AS avg_change, round(avg(mf), 4) AS avg_favorable,
+@query("eval_win_rates", f"""WITH {Q.BARS_15M}, {_outcome_sql()} SELECT horizon, direction, count(fin) AS total, count(*) - count(fin) AS open, round(coalesce(avg(success) * 100, 0), 4) AS win_rate, round(avg(change), 4) AS avg_change, round(avg(mf), 4) AS avg_favorable,
  round(avg(ma), 4) AS avg_adverse FROM oc GROUP BY 1, 2""")
 def eval_win_rates(spark, sf):
     w = V2.win_rates(V2.pattern_outcomes(_events(spark, sf)), ["horizon", "direction"])
-    return w.select("horizon", "direction", "total", *[r(c(x)).alias(x) for x in ("win_rate", "avg_change", "avg_favorable", "avg_adverse")])
+    return w.select("horizon", "direction", "total", "open", *[r(c(x)).alias(x) for x in ("win_rate", "avg_change", "avg_favorable", "avg_adverse")])
 
 
 _TRADES = f"""tr AS (SELECT ticker, ts, CASE WHEN close >= open THEN 'BUY' ELSE 'SELL' END AS action, close * CASE WHEN close >= open THEN 1.05 ELSE 0.95 END AS entry, close * CASE WHEN close >= open THEN 0.8 ELSE 1.2 END AS sl,
- close * CASE WHEN close >= open THEN 1.5 ELSE 0.5 END AS tg FROM b WHERE volume > 45),
- f AS (SELECT t.*, x.ts AS xt, x.high, x.low FROM tr t JOIN b x ON x.ticker = t.ticker AND x.ts > t.ts AND x.ts <= t.ts + INTERVAL '60 days'),
+ close * CASE WHEN close >= open THEN 1.5 ELSE 0.5 END AS tg FROM b),
+ f AS (SELECT t.*, x.ts AS xt, x.high, x.low FROM tr t JOIN b x ON x.ticker = t.ticker AND x.ts > t.ts),
  g AS (SELECT ticker, ts, min(xt) AS trig FROM f WHERE (action = 'BUY' AND high >= entry) OR (action = 'SELL' AND low <= entry) GROUP BY 1, 2),
  h AS (SELECT f.ticker, f.ts, min(xt) FILTER ((action = 'BUY' AND low <= sl) OR (action = 'SELL' AND high >= sl)) AS st, min(xt) FILTER ((action = 'BUY' AND high >= tg) OR (action = 'SELL' AND low <= tg)) AS gt FROM f JOIN g ON f.ticker = g.ticker AND f.ts = g.ts WHERE xt >= trig GROUP BY 1, 2),
  to_ AS (SELECT tr.*, trig, CASE WHEN trig IS NULL THEN CASE WHEN (SELECT max(ts) FROM b) - tr.ts > INTERVAL '1 day' THEN 'expired' ELSE 'pending' END WHEN st IS NOT NULL AND (gt IS NULL OR st <= gt) THEN 'hit_stop' WHEN gt IS NOT NULL THEN 'hit_target' ELSE 'triggered' END AS status
  FROM tr LEFT JOIN g ON tr.ticker = g.ticker AND tr.ts = g.ts LEFT JOIN h ON tr.ticker = h.ticker AND tr.ts = h.ts)"""
 
 
-def _trades(spark, sf, whole=False):
+def _trades(spark, sf):
+    """Every bar as a trade, followed to the end of the history."""
     b = V.bars_1d(spark, sf)
     up = c("close") >= c("open")
-    t = (b if whole else b.filter(c("volume") > 45)).select("ticker", "ts", F.when(up, "BUY").otherwise("SELL").alias("action"), (c("close") * F.when(up, 1.05).otherwise(0.95)).alias("entry"),
-                                          (c("close") * F.when(up, 0.8).otherwise(1.2)).alias("stop_loss"), (c("close") * F.when(up, 1.5).otherwise(0.5)).alias("target"))
+    t = b.select("ticker", "ts", F.when(up, "BUY").otherwise("SELL").alias("action"), (c("close") * F.when(up, 1.05).otherwise(0.95)).alias("entry"),
+                 (c("close") * F.when(up, 0.8).otherwise(1.2)).alias("stop_loss"), (c("close") * F.when(up, 1.5).otherwise(0.5)).alias("target"))
     t = t.crossJoin(F.broadcast(b.agg(F.max("ts").alias("now"))))
-    return V2.trade_outcomes(t, ["ticker", "ts"], b, c("now"), None if whole else 60 * S.DAY)
+    return V2.trade_outcomes(t, ["ticker", "ts"], b, c("now"))
 
 
 @query("eval_trade_outcomes", f"WITH {Q.BARS}, {_TRADES} SELECT ticker, ts, action, trig AS trigger_ts, status FROM to_")
@@ -89,25 +90,10 @@ def eval_tracker_summary(spark, sf):
     return V2.tracker_summary(_trades(spark, sf)).withColumn("win_rate", r(c("win_rate")))
 
 
-# The same over whole tables: every bar is a trade, followed to the end of the history.
-_TRADES_WHOLE = _TRADES.replace(" AND x.ts <= t.ts + INTERVAL '60 days'", "").replace(" FROM b WHERE volume > 45", " FROM b")
-
-
-@query("eval_trade_outcomes_whole", f"WITH {Q.BARS}, {_TRADES_WHOLE} SELECT ticker, ts, action, trig AS trigger_ts, status FROM to_")
-def eval_trade_outcomes_whole(spark, sf):
-    return _trades(spark, sf, whole=True).select("ticker", "ts", "action", "trigger_ts", "status")
-
-
-@query("eval_tracker_summary_whole", f"""WITH {Q.BARS}, {_TRADES_WHOLE}, k AS (SELECT ticker, count(*) AS total, {', '.join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ('pending', 'triggered', 'hit_target', 'hit_stop', 'expired'))} FROM to_ GROUP BY 1)
- SELECT *, round(coalesce(hit_target * 100.0 / nullif(hit_target + hit_stop, 0), 0), 4) AS win_rate FROM k""")
-def eval_tracker_summary_whole(spark, sf):
-    return V2.tracker_summary(_trades(spark, sf, whole=True)).withColumn("win_rate", r(c("win_rate")))
-
-
 _DR = "CASE WHEN {x} > 2 THEN 'BULLISH' WHEN {x} < -2 THEN 'BEARISH' ELSE 'NEUTRAL' END"
 _FE = f"""p0 AS (SELECT ticker, ts, close AS price, (close / nullif(lag(close, 4) {Q.ROW}, 0) - 1) * 100 AS pp FROM b), p1 AS (SELECT *, {_DR.format(x='pp')} AS direction FROM p0 WHERE pp IS NOT NULL),
  t3 AS (SELECT *, '1h' AS horizon, ts + INTERVAL '1 hour' AS tgt FROM p1 UNION ALL SELECT *, '3h', ts + INTERVAL '3 hours' FROM p1 UNION ALL SELECT *, 'eod', date_trunc('day', ts) + INTERVAL '16 hours' FROM p1),
- fe0 AS (SELECT t3.*, (b.close - price) / nullif(price, 0) * 100 AS ap FROM t3 ASOF JOIN b ON t3.ticker = b.ticker AND t3.tgt <= b.ts), fe AS (SELECT *, {_DR.format(x='ap')} AS ad, CASE WHEN direction = {_DR.format(x='ap')} THEN 1 ELSE 0 END AS ok, abs(pp - ap) AS err FROM fe0)"""
+ fe0 AS (SELECT t3.*, (b.close - price) / nullif(price, 0) * 100 AS ap FROM t3 ASOF LEFT JOIN b ON t3.ticker = b.ticker AND t3.tgt <= b.ts), fe AS (SELECT *, CASE WHEN ap IS NOT NULL THEN {_DR.format(x='ap')} END AS ad, CASE WHEN ap IS NOT NULL THEN CASE WHEN direction = {_DR.format(x='ap')} THEN 1 ELSE 0 END END AS ok, abs(pp - ap) AS err FROM fe0)"""
 
 
 def _evals(spark, sf):
@@ -123,14 +109,14 @@ def eval_forecasts(spark, sf):
     return _evals(spark, sf).select("ticker", "ts", "horizon", "direction", "actual_direction", "correct", r(c("actual_pct")).alias("actual_pct"), r(c("error")).alias("error"))
 
 
-_ACC = "ac AS (SELECT ticker, horizon, count(*) AS total, avg(ok) * 100 AS accuracy, avg(err) AS avg_error, min(err) AS min_error, max(err) AS max_error, " + ", ".join(
+_ACC = "ac AS (SELECT ticker, horizon, count(ok) AS total, count(*) - count(ok) AS open, avg(ok) * 100 AS accuracy, avg(err) AS avg_error, min(err) AS min_error, max(err) AS max_error, " + ", ".join(
     f"coalesce(avg(ok) FILTER (direction = '{d}') * 100, 0) AS {d.lower()}_accuracy" for d in ("BULLISH", "BEARISH", "NEUTRAL")) + " FROM fe GROUP BY 1, 2)"
 _AC = ("accuracy", "avg_error", "min_error", "max_error", "bullish_accuracy", "bearish_accuracy", "neutral_accuracy")
 
 
-@query("eval_accuracy", f"WITH {Q.BARS_15M}, {_FE}, {_ACC} SELECT ticker, horizon, total, {sel(**{x: x for x in _AC})} FROM ac")
+@query("eval_accuracy", f"WITH {Q.BARS_15M}, {_FE}, {_ACC} SELECT ticker, horizon, total, open, {sel(**{x: x for x in _AC})} FROM ac")
 def eval_accuracy(spark, sf):
-    return V2.accuracy(_evals(spark, sf)).select("ticker", "horizon", "total", *[r(c(x)).alias(x) for x in _AC])
+    return V2.accuracy(_evals(spark, sf)).select("ticker", "horizon", "total", "open", *[r(c(x)).alias(x) for x in _AC])
 
 
 @query("eval_rating", f"""WITH {Q.BARS_15M}, {_FE}, {_ACC}, q AS (SELECT ticker, avg(accuracy) AS o, last(horizon ORDER BY accuracy, horizon) AS best FROM ac GROUP BY 1) SELECT ticker, round(o, 4) AS overall, best AS best_horizon,
@@ -139,10 +125,10 @@ def eval_rating(spark, sf):
     return V2.rating(V2.accuracy(_evals(spark, sf))).withColumn("overall", r(c("overall")))
 
 
-@query("eval_trend", f"""WITH {Q.BARS_15M}, {_FE}, d AS (SELECT ticker, horizon, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts, avg(ok) * 100 AS accuracy FROM fe GROUP BY 1, 2, 3), l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ticker, horizon ORDER BY ts DESC) <= 5),
+@query("eval_trend", f"""WITH {Q.BARS_15M}, {_FE}, d AS (SELECT ticker, horizon, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS ts, avg(ok) * 100 AS accuracy FROM fe WHERE ok IS NOT NULL GROUP BY 1, 2, 3), l AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY ticker, horizon ORDER BY ts DESC) <= 5),
  g AS (SELECT ticker, horizon, arg_min(accuracy, ts) AS f0, arg_max(accuracy, ts) AS f1, count(*) AS n FROM l GROUP BY 1, 2) SELECT ticker, horizon, round(f0, 4) AS first, round(f1, 4) AS last, n, CASE WHEN n < 2 THEN 'stable' WHEN f1 > f0 + 2 THEN 'improving' WHEN f1 < f0 - 2 THEN 'declining' ELSE 'stable' END AS trend FROM g""")
 def eval_trend(spark, sf):
-    d = _evals(spark, sf).groupBy("ticker", "horizon", F.date_trunc("day", "ts").alias("ts")).agg((F.avg("correct") * 100).alias("accuracy"))
+    d = _evals(spark, sf).filter("correct IS NOT NULL").groupBy("ticker", "horizon", F.date_trunc("day", "ts").alias("ts")).agg((F.avg("correct") * 100).alias("accuracy"))
     return V2.performance_trend(d).withColumns({"first": r(c("first")), "last": r(c("last"))})
 
 
@@ -154,8 +140,8 @@ def eval_flatten_metrics(spark, sf):
 
 
 @query("eval_recommendations", f"""WITH {Q.BARS_15M}, q AS (SELECT ticker, ts, close AS price, CASE WHEN close > open THEN 'BUY' WHEN close < open THEN 'SELL' ELSE 'HOLD' END AS rec FROM b),
- j AS (SELECT q.ticker, rec, (b.close - price) / nullif(price, 0) * 100 AS ch FROM q ASOF JOIN b ON q.ticker = b.ticker AND q.ts + INTERVAL '1 hour' <= b.ts), k AS (SELECT *, CASE WHEN (rec = 'BUY' AND ch > 1) OR (rec = 'SELL' AND ch < -1) OR (rec = 'HOLD' AND abs(ch) <= 1) THEN 1 ELSE 0 END AS ok FROM j)
- SELECT ticker, count(*) AS total, CAST(sum(ok) AS BIGINT) AS correct, round(avg(ok) * 100, 4) AS accuracy, round(avg(ch), 4) AS avg_change, {', '.join(f"round(coalesce(avg(ok) FILTER (rec = '{x.upper()}') * 100, 0), 4) AS {x}_accuracy, count(*) FILTER (rec = '{x.upper()}') AS {x}_count" for x in ('buy', 'sell', 'hold'))} FROM k GROUP BY 1""")
+ j AS (SELECT q.ticker, rec, (b.close - price) / nullif(price, 0) * 100 AS ch FROM q ASOF LEFT JOIN b ON q.ticker = b.ticker AND q.ts + INTERVAL '1 hour' <= b.ts), k AS (SELECT *, CASE WHEN ch IS NOT NULL THEN CASE WHEN (rec = 'BUY' AND ch > 1) OR (rec = 'SELL' AND ch < -1) OR (rec = 'HOLD' AND abs(ch) <= 1) THEN 1 ELSE 0 END END AS ok FROM j)
+ SELECT ticker, count(ok) AS total, count(*) - count(ok) AS open, CAST(sum(ok) AS BIGINT) AS correct, round(avg(ok) * 100, 4) AS accuracy, round(avg(ch), 4) AS avg_change, {', '.join(f"round(coalesce(avg(ok) FILTER (rec = '{x.upper()}') * 100, 0), 4) AS {x}_accuracy, count(*) FILTER (rec = '{x.upper()}' AND ok IS NOT NULL) AS {x}_count" for x in ('buy', 'sell', 'hold'))} FROM k GROUP BY 1""")
 def eval_recommendations(spark, sf):
     b = V.bars_15m(spark, sf)
     q = b.select("ticker", "ts", c("close").alias("price"), F.when(c("close") > c("open"), "BUY").when(c("close") < c("open"), "SELL").otherwise("HOLD").alias("recommendation"))
@@ -163,18 +149,19 @@ def eval_recommendations(spark, sf):
     return g.withColumns({x: r(c(x)) for x in ("accuracy", "avg_change", "buy_accuracy", "sell_accuracy", "hold_accuracy")})
 
 
-@query("eval_walk_forward", f"""WITH {Q.BARS}, w0 AS (SELECT ticker, ts, CASE WHEN close > lag(close, 5) {Q.ROW} THEN 1 WHEN close < lag(close, 5) {Q.ROW} THEN -1 ELSE 0 END AS sg, lead(close) {Q.ROW} / nullif(close, 0) - 1 AS nr, lead(close) {Q.ROW} AS nc, min(ts) OVER (PARTITION BY ticker) AS t0 FROM b),
- w1 AS (SELECT *, CAST(floor((date_diff('day', t0, ts) - 90) / 20.0) AS INTEGER) AS split, greatest(sg * nr, -1.0 + 1e-12) AS sr FROM w0 WHERE nc IS NOT NULL AND date_diff('day', t0, ts) >= 90), w2 AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY ticker, split ORDER BY ts)) AS eq FROM w1),
- w3 AS (SELECT *, eq / greatest(1.0, max(eq) OVER (PARTITION BY ticker, split ORDER BY ts)) - 1 AS dd FROM w2)
+@query("eval_walk_forward", f"""WITH {Q.BARS}, w0 AS (SELECT ticker, ts, close / nullif(lag(close, 5) {Q.ROW}, 0) - 1 AS f, lead(close) {Q.ROW} / nullif(close, 0) - 1 AS nr, lead(ts) {Q.ROW} AS nts, min(ts) OVER (PARTITION BY ticker) AS t0 FROM b),
+ w1 AS (SELECT *, CAST(floor((date_diff('day', t0, ts) - 60) / 20.0) AS INTEGER) AS split, date_diff('day', t0, nts) AS nd FROM w0), sp AS (SELECT DISTINCT ticker, split FROM w1 WHERE split >= 0),
+ rl AS (SELECT sp.ticker, sp.split, CASE WHEN max(f) > min(f) THEN regr_slope(nr, f) END AS slope, avg(nr) AS my, avg(f) AS mx FROM sp JOIN w1 ON w1.ticker = sp.ticker AND f IS NOT NULL AND nr IS NOT NULL AND nd >= 60 + 20 * sp.split - 90 AND nd < 60 + 20 * sp.split GROUP BY 1, 2),
+ w2 AS (SELECT w1.*, my + slope * (f - mx) AS promise FROM w1 LEFT JOIN rl USING (ticker, split) WHERE w1.split >= 0 AND nr IS NOT NULL), w3 AS (SELECT *, CASE WHEN promise > 0.001 THEN 1 WHEN promise < -0.001 THEN -1 ELSE 0 END AS sg FROM w2),
+ w4 AS (SELECT *, greatest(sg * nr - abs(sg - coalesce(lag(sg) OVER (PARTITION BY ticker, split ORDER BY ts), 0)) * 0.001, -1.0 + 1e-12) AS sr FROM w3), w5 AS (SELECT *, exp(sum(ln(1 + sr)) OVER (PARTITION BY ticker, split ORDER BY ts)) AS eq FROM w4),
+ w6 AS (SELECT *, eq / greatest(1.0, max(eq) OVER (PARTITION BY ticker, split ORDER BY ts)) - 1 AS dd FROM w5)
  SELECT ticker, split, count(*) AS bars, count(*) FILTER (sg <> 0) AS trades, round(exp(sum(ln(1 + sr))) - 1, 4) AS total_return, round(avg(sr) / nullif(stddev_samp(sr), 0) * sqrt(252.0), 4) AS sharpe, round(min(dd), 4) AS max_drawdown,
- round(avg(CASE WHEN sr > 0 THEN 1 ELSE 0 END) FILTER (sg <> 0), 4) AS win_rate, round(sum(CASE WHEN sr > 0 THEN sr ELSE 0 END) / nullif(sum(CASE WHEN sr < 0 THEN -sr ELSE 0 END), 0), 4) AS profit_factor FROM w3 GROUP BY 1, 2""")
+ round(avg(CASE WHEN sr > 0 THEN 1 ELSE 0 END) FILTER (sg <> 0), 4) AS win_rate, round(sum(CASE WHEN sr > 0 THEN sr ELSE 0 END) / nullif(sum(CASE WHEN sr < 0 THEN -sr ELSE 0 END), 0), 4) AS profit_factor FROM w6 GROUP BY 1, 2""")
 def eval_walk_forward(spark, sf):
     df = S.blocked(V.bars_1d(spark, sf))
-    p5 = S.lag("close", 5)
-    nxt = F.try_divide(S.lead("close"), c("close")) - 1
-    df = df.withColumns({"signal": F.when(c("close") > p5, 1).when(c("close") < p5, -1).otherwise(0),
-                         "next_ret": nxt})
-    g = V2.walk_forward(S.unblock(df))
+    df = df.withColumns({"feature": F.try_divide(c("close"), S.lag("close", 5)) - 1, "next_ret": F.try_divide(S.lead("close"), c("close")) - 1, "next_ts": S.lead("ts")})
+    rows = S.unblock(df).select("ticker", "ts", "feature", "next_ret", "next_ts")
+    g = V2.walk_forward(V2.fitted_signals(rows, 90, 20, 60, 0.001), 0.001)
     return g.withColumns({x: r(c(x)) for x in ("total_return", "sharpe", "max_drawdown", "win_rate", "profit_factor")})
 
 

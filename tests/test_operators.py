@@ -145,6 +145,46 @@ def test_nearest_against_numpy(spark):
         assert got[h] == pytest.approx((lib[ok, j] / (lib[ok, 0] + 1e-8)).sum() / (1 / (lib[ok, 0] + 1e-8)).sum())
 
 
+def test_nearest_compares_few_and_loses_none(spark):
+    """Lower bounds: fewer pairs compared, the same neighbours as by comparing all; several queries, weights, a scale, ties."""
+    rng = np.random.default_rng(4)
+    n, k = 12, 5
+    walk = np.cumsum(rng.normal(size=(1500, n)), axis=1)
+    shapes = (walk - walk.mean(1, keepdims=True)) / walk.std(1, keepdims=True)
+    shapes[700:706] = shapes[3]            # ties
+    t0 = pd.Timestamp("2021-01-01")
+    lib = spark.createDataFrame(pd.DataFrame({"ticker": ["A"] * 1400 + ["B"] * 97 + ["C"] * 3, "ts": [t0 + pd.Timedelta(hours=7 * i) for i in range(1500)],
+                                              "shape": list(shapes), "f": np.arange(1500) % 2 + 1.0}))
+    ask = shapes[[3, 50, 1402, 1499]] + rng.normal(size=(4, n)) * [[0.0], [0.3], [0.1], [0.1]]
+    q = spark.createDataFrame(pd.DataFrame({"ticker": ["A", "A", "B", "C"], "at": [1, 2, 3, 4], "query": list(ask)}))
+    for weights, scale in ((None, None), (N.decay_weights(n), c("f"))):
+        w = np.array(weights or [1.0] * n)
+        got = N.nearest(lib, q, k, n, weights, by=("ticker", "at"), scale=scale, interval_s=900).collect()
+        for at, (x, part) in enumerate(zip(ask, (slice(0, 1400), slice(0, 1400), slice(1400, 1497), slice(1497, 1500))), 1):
+            d = np.sqrt((w * (shapes[part] - x) ** 2).sum(1)) * (np.arange(1500)[part] % 2 + 1 if scale is not None else 1)
+            want = sorted(zip(d, range(len(d))))[:k]
+            mine = sorted([r for r in got if r.at == at], key=lambda r: (r.dist, r.ts))
+            assert [(r.ts - t0) // pd.Timedelta(hours=7) - part.start for r in mine] == [i for _, i in want]
+            assert [r.dist for r in mine] == pytest.approx([x for x, _ in want]) and {r.library_size for r in mine} == {len(d)}
+    some = {r.at: r for r in N.pruning(lib, q, k, n, by=("ticker", "at")).collect()}
+    assert some[1].pairs == 1400 and some[1].compared < 400 and some[2].compared < 700 and some[4].compared == 3
+
+
+def test_asof_over_blocks(spark):
+    """Long gaps: the value known before and after is carried over blocks of buckets without bars."""
+    rng = np.random.default_rng(2)
+    t0 = pd.Timestamp("2020-01-01")
+    days = sorted({int(x) for x in np.concatenate([rng.integers(0, 40, 25), rng.integers(900, 910, 6), [2000, 5000]])})
+    bars = pd.DataFrame([(t, t0 + pd.Timedelta(days=d), float(d)) for t in ("T", "U") for d in days if t == "T" or d % 2], columns=["ticker", "ts", "close"])
+    at = [(t, t0 + pd.Timedelta(hours=int(h))) for t in ("T", "U", "none") for h in rng.integers(-2000, 130_000, 150)]
+    p = pd.DataFrame([(t, i, a) for i, (t, a) in enumerate(at)], columns=["ticker", "id", "at"])
+    for d in ("forward", "backward", "nearest"):
+        got = J.asof_join(spark.createDataFrame(p), spark.createDataFrame(bars), "at", ["close"], d, S.DAY, bucket_rows=4, block=8)
+        got = got.select("id", c("hit.close").alias("x")).toPandas().set_index("id").x
+        want = pd.merge_asof(p.sort_values("at"), bars.sort_values("ts"), left_on="at", right_on="ts", by="ticker", direction=d).set_index("id").close
+        pd.testing.assert_series_equal(got.astype(float).sort_index(), want.sort_index(), check_names=False)
+
+
 def test_asof_with_one_hot_bucket(spark):
     """A third of the probes in one bucket, probes before the first and after the last bar."""
     bars = bars_of([(i, i + 1, i - 1, float(i)) for i in range(100)])[::3]
