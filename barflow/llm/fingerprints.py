@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +34,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """The hash of each word that a worker has met, so far as they are ``MOST`` or fewer."""
+
+    MOST = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = WordHashes()
+
+
 def shingle_hashes(texts: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of all shingles, the texts' ends among them). A text with fewer words than ``width`` is one shingle, one without
     words has none."""
+    if len(_hashes) > _hashes.MOST:
+        _hashes.clear()
     split = [t.translate(_LOWER).split() for t in texts]
-    flat = [w for ws in split for w in ws]
-    known = dict.fromkeys(flat)
-    for w in known:
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+    h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, sum(map(len, split)))
     n = np.array([len(ws) for ws in split], np.int64)
     ends = np.cumsum(n)
     made = np.zeros(max(len(h) - width + 1, 0), np.uint64)
@@ -72,18 +85,38 @@ def binned(hashes: np.ndarray, ends: np.ndarray, bins: int = BINS) -> tuple[np.n
     return values.reshape(n_texts, bins), filled.reshape(n_texts, bins)
 
 
+#: Asks of each bin that a worker holds ready.
+ASKS = 256
+
+
+def asked(bins: int, col: np.ndarray, first: int, n: int) -> np.ndarray:
+    """The bins that each bin of ``col`` asks at its attempts first .. first + n - 1: a hash of both numbers."""
+    seed = mixed(col.astype(np.uint64) * _GAMMA + np.uint64(1))
+    return (mixed(seed[:, None] + np.arange(first + 1, first + n + 1, dtype=np.uint64) * _GAMMA) & np.uint64(bins - 1)).astype(np.int16 if bins <= 1 << 15 else np.int64)
+
+
+@lru_cache(4)
+def ask_table(bins: int) -> np.ndarray:
+    return asked(bins, np.arange(bins), 0, ASKS)
+
+
 def densified(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
-    """Empty bins of each row take the value of the first filled bin that they ask; rows without any stay as they are."""
-    bins = values.shape[1]
-    out = values.copy()
-    row, col = np.nonzero(~filled & filled.any(1)[:, None])
-    seed, attempt = mixed(col.astype(np.uint64) * _GAMMA + np.uint64(1)), 0
+    """Empty bins of each row take the value of the first filled bin that they ask; rows without any stay as they are. The fewer are left, the
+    more attempts are looked at together."""
+    bins, count, out = values.shape[1], filled.sum(1), values.copy()
+    one = np.flatnonzero(count == 1)
+    out[one] = values[one, filled[one].argmax(1)][:, None]        # wherever a bin asks, it ends there
+    row, col = np.nonzero(~filled & (count > 1)[:, None])
+    flat, at = filled.ravel(), 0
     while len(row):
-        attempt += 1
-        ask = (mixed(seed + np.array([attempt], np.uint64) * _GAMMA) & np.uint64(bins - 1)).astype(np.int64)
-        hit = filled[row, ask]
-        out[row[hit], col[hit]] = values[row[hit], ask[hit]]
-        row, col, seed = row[~hit], col[~hit], seed[~hit]
+        n = min(max(1, (1 << 16) // len(row)), ASKS - at % ASKS)
+        ask = ask_table(bins)[col, at:at + n] if at < ASKS else asked(bins, col, at, n)
+        hit = flat[(row * bins)[:, None] + ask]
+        best = hit.argmax(1)
+        found = hit[np.arange(len(row)), best]
+        r, k = row[found], ask[found, best[found]]
+        out[r, col[found]] = values[r, k]
+        row, col, at = row[~found], col[~found], at + n
     return out
 
 
