@@ -112,6 +112,18 @@ def test_exact_goes_on(spark, docs, tmp_path):
     assert (got.keep_id, got.group_size, got.kept) == (5, 2, False) and rows
 
 
+def test_exact_goes_on_with_unlike_texts_of_one_digest(spark, tmp_path):
+    """Hits on rows of earlier calls are compared with their bytes, and texts that share a digest are grouped apart over all calls."""
+    weak = lambda body: F.length(body).cast("string")
+    calls = [[(5, "abc"), (8, "long text"), (9, "abc")], [(6, "xyz"), (7, "abc"), (20, "long text")], [(1, "xyz"), (2, "uvw"), (30, "uvw"), (31, "abc"), (40, None)]]
+    seen = []
+    for k, rows in enumerate(calls):
+        got = exact.dedup(spark.createDataFrame(rows, "doc_id long, text string"), weak, str(tmp_path / "state")).collect()
+        seen += rows
+        want = {(i, keep, n, kept, digest) for i, keep, n, kept, digest in brute_exact(seen) if i in {x for x, _ in rows}}
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == want and len(got) == len(rows), k
+
+
 def brute_near(rows, width=5, percent=85):
     low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     sets = []
@@ -184,6 +196,14 @@ def test_token_counts(docs, empty, library, chunk, overlap):
     assert got.where("over_limit <> (n_tokens > 1024)").count() == 0 and counts.token_counts(empty, JSON, P.PATTERN).count() == 0
 
 
+def test_repeated_huge_rows_are_counted_one_by_one(spark, library):
+    """Equal ids and sizes, one text that finds no common cut and one that does."""
+    texts = ["x" * 7_000, ("abcdefg hij " * 600)[:7_000], "x" * 7_000, "é" * 3_500]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    got = counts.token_counts(docs, JSON, P.PATTERN, chunk=400, overlap=40).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == Counter((1, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for t in texts)
+
+
 def test_pieces_are_the_librarys(library):
     c = bpe.Coder(JSON, P.PATTERN)
     odd = "".join(f"a{chr(x)}1{chr(x)} {chr(x)}!{chr(x)}" for x in [*range(0x250), *range(0x2000, 0x2100), *range(0x3000, 0x3100), *range(0x1F600, 0x1F640)])
@@ -217,6 +237,13 @@ def test_bytes_both_ways(docs, empty):
             assert s == len(text.encode()[:at].decode(errors="ignore")) or text.encode()[at] & 0xC0 == 0x80
             at += len(other.decode_single_token_bytes(i))
     assert bytebpe.encode(empty, definition, P.PATTERN).count() == 0
+    # digests of the round trip, row by row
+    digest = lambda ids: hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    want = Counter((r.doc_id, len(r.ids), digest(r.ids), digest(r.starts)) for r in there.collect())
+    trip = bytebpe.round_trip(some, definition, P.PATTERN).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.starts_sha256) for r in trip) == want
+    assert all(r.decoded_sha256 == hashlib.sha256(text_of[r.doc_id].encode()).hexdigest() for r in trip if r.doc_id is not None)
+    assert bytebpe.round_trip(empty, definition, P.PATTERN).count() == 0
     # ids cut inside a character
     cut = some.sparkSession.createDataFrame([(other.encode_ordinary("漢\U0001f600")[:2],), (None,)], "ids array<int>")
     half = bytebpe.decode(cut, definition).collect()
