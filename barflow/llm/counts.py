@@ -11,13 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barflow.llm.bpe import Coder, coder
-from barflow.llm.common import query, read
+from barflow.llm.common import query, read, stored
 
 #: Characters at a chunk's end that may read otherwise with more text: the longest contraction and the longest added token.
 MARGIN = 32
@@ -63,7 +62,9 @@ def token_counts(docs: DataFrame, definition: str, pattern: str, limit: int = 10
     spec = docs.sparkSession.sparkContext.broadcast((definition, pattern))     # one vocabulary file, about 2 MB
     id_type = docs.schema["doc_id"].dataType
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    short, long = base.where(F.length("text") <= chunk), base.where(F.length("text") > chunk)
+    short = base.where(F.length("text") <= chunk)
+    # the huge texts are few; written once, so that each row keeps its number
+    long = stored(base.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "huge-texts")
     counted = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,16 +92,14 @@ def token_counts(docs: DataFrame, definition: str, pattern: str, limit: int = 10
                              T.StructField("start", T.LongType()), T.StructField("last", T.BooleanType()), T.StructField("part", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
         for b in batches:
             for i in range(b.num_rows):
-                text = b.column(1)[i].as_py()
+                text = b.column(2)[i].as_py()
                 starts = [max(0, s - overlap) for s in range(0, len(text), chunk)]
                 for k, s in enumerate(starts):
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(i, 1), pa.array([row], pa.int64()), pa.array([k], pa.int64()), pa.array([s], pa.int64()),
+                        [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([k], pa.int64()), pa.array([s], pa.int64()),
                          pa.array([k == len(starts) - 1]), pa.array([text[s:(k + 1) * chunk + overlap]])], names=cut_type.names)
-                row += 1
 
     zone = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("n", T.LongType())]))
     edge_type = T.StructType([*cut_type.fields[:3], T.StructField("last", T.BooleanType()), T.StructField("n", T.LongType()),
@@ -121,7 +120,7 @@ def token_counts(docs: DataFrame, definition: str, pattern: str, limit: int = 10
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(4), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64()),
                                               pa.array(heads, shape), pa.array(tails, shape)], names=edge_type.names)
 
-    chunks = long.select("doc_id", "text").mapInArrow(cut, cut_type).repartition("row", "k").mapInArrow(found, edge_type)
+    chunks = long.select("doc_id", "row", "text").mapInArrow(cut, cut_type).repartition("row", "k").mapInArrow(found, edge_type)
     after = Window.partitionBy("row").orderBy("k")
     joints = (chunks.withColumn("next", F.lead("head").over(after))
               .withColumn("p", F.array_min(F.array_intersect(F.transform("tail", lambda x: x["at"]), F.transform("next", lambda x: x["at"])))))
@@ -130,11 +129,10 @@ def token_counts(docs: DataFrame, definition: str, pattern: str, limit: int = 10
         F.first("doc_id").alias("doc_id"), F.sum("bytes").alias("n_bytes"),
         F.sum(F.when(F.col("last"), F.col("n")).when(F.col("p").isNotNull(), tokens_at("tail") - tokens_at("next"))).alias("n_tokens"),
         F.bool_and(F.col("last") | F.col("p").isNotNull()).alias("aligned"))
-    far = spliced.where("aligned").select("doc_id", "n_bytes", "n_tokens")
+    seen = stored(spliced, "spliced")
+    far = seen.where("aligned").select("doc_id", "n_bytes", "n_tokens")
     # whatever did not align: the whole document again, in one task, by chunks whose overlap widens
-    failed = spliced.where("NOT aligned").select(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n")).distinct()
-    again = (long.join(failed, long["doc_id"].eqNullSafe(failed["_id"]) & (F.octet_length("text") == F.col("_n")), "left_semi")
-             .select("doc_id", n_bytes, "text").mapInArrow(widened, counted))
+    again = long.join(seen.where("NOT aligned").select("row"), "row", "left_semi").select("doc_id", n_bytes, "text").mapInArrow(widened, counted)
     return near.unionByName(far).unionByName(again).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
