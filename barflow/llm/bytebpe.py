@@ -4,17 +4,19 @@ from __future__ import annotations
 import codecs
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barflow.llm.bpe import byte_chars, coder, ranks_to_json
-from barflow.llm.common import query, read
+from barflow.llm.common import query, read, slices, tidy
 
-_ROWS = 64     # texts whose ids are held at once
+_ROWS, _BYTES = 64, 1 << 19     # texts whose ids are held at once
 
 
 def encode(docs: DataFrame, definition: str, pattern: str, offsets: bool = True) -> DataFrame:
@@ -28,55 +30,59 @@ def encode(docs: DataFrame, definition: str, pattern: str, offsets: bool = True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(*spec.value)
-        widths = token_widths(c) if offsets else None
-        for b in batches:
-            for s in (b.slice(i, _ROWS) for i in range(0, b.num_rows, _ROWS)):
-                texts = s.column(1).to_pylist()
-                split = [c.pieces(t) for t in texts]
-                codes = c.codes([p for x in split for p in x])
-                ids = c.gather(codes)
-                per_piece = np.concatenate([[0], np.cumsum(c.n_ids[codes])])
-                ends = per_piece[np.cumsum([0, *map(len, split)])]
-                cols = [s.column(0), lists(ids, ends)]
-                if offsets:
-                    cols.append(lists(np.concatenate([starts_of(t, widths[ids[x:y]]) for t, x, y in zip(texts, ends, ends[1:])] or [np.zeros(0)]), ends))
-                yield pa.RecordBatch.from_arrays(cols, names=out.names)
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, out)
+        widths = np.diff(byte_table(spec.value[0])[1]) if offsets else None
+        for s in (b.slice(x, y - x) for b in batches for x, y in slices(b.column(1), _BYTES, _ROWS)):
+            texts = s.column(1).to_pylist()
+            ids, ends = encoded(c, texts)
+            yield pa.RecordBatch.from_arrays([s.column(0), lists(ids, ends)] + ([lists(starts_of(texts, ids, ends, widths), ends)] if offsets else []), names=out.names)
 
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), out)
 
-def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32)))
 
+def encoded(c, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, where each text's begin and end among them)."""
+    split = [c.pieces(t) for t in texts]
+    codes = c.codes([p for x in split for p in x])
+    per_piece = np.concatenate([[0], np.cumsum(c.n_ids[codes])])
+    return c.gather(codes), per_piece[np.cumsum([0, *map(len, split)])]
 
-def token_widths(c) -> np.ndarray:
-    """Bytes of each id."""
-    known = c.library.get_vocab(with_added_tokens=True)
-    out = np.zeros(max(known.values()) + 1, np.int64)
-    for token, i in known.items():
-        out[i] = len(token.encode()) if token in c.added else len(token)     # a byte is one character of the byte alphabet
-    return out
+
+def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(np.int32)))
 
 
-def starts_of(text: str, widths: np.ndarray) -> np.ndarray:
-    """Character of the text that holds the first byte of each token."""
-    raw = np.frombuffer(text.encode(), np.uint8)
+def starts_of(texts: list[str], ids: np.ndarray, ends: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Character of its text that holds the first byte of each token."""
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
     char_of = np.cumsum((raw & 0xC0) != 0x80) - 1           # continuation bytes belong to the character before
-    return char_of[np.cumsum(widths) - widths] if len(widths) else np.zeros(0, np.int64)
+    n = widths[ids]
+    before = np.cumsum([0, *map(len, texts)])[:-1]
+    return char_of[np.cumsum(n) - n] - np.repeat(before, np.diff(ends))
 
 
-def id_bytes(definition: str) -> list[bytes]:
-    """Bytes of each id: the byte table read backwards; added tokens stand for their own text."""
+@lru_cache(2)
+def byte_table(definition: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all ids one after another, where each id's begin and end): the byte table read backwards; added tokens stand for their own
+    text. Made once per worker."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(definition)
-    byte_of = {c: b for b, c in enumerate(byte_chars())}
+    byte_of = {x: b for b, x in enumerate(byte_chars())}
     added = {x.content for x in t.get_added_tokens_decoder().values()}
     known = t.get_vocab(with_added_tokens=True)
-    out = [b""] * (max(known.values()) + 1)
+    own = [b""] * (max(known.values()) + 1)
     for token, i in known.items():
-        out[i] = token.encode() if token in added else bytes(byte_of[c] for c in token)
-    return out
+        own[i] = token.encode() if token in added else bytes(byte_of[x] for x in token)
+    return np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
+
+
+def bytes_of(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of runs of ids one after another, where each run's begin and end among them)."""
+    flat, first = table
+    n = np.diff(first)[ids]
+    to = np.cumsum(n)
+    raw = flat[np.arange(to[-1] if len(to) else 0) + np.repeat(first[ids] - (to - n), n)]
+    return raw, np.concatenate([[0], to])[ends]
 
 
 def decode(rows: DataFrame, definition: str) -> DataFrame:
@@ -86,36 +92,42 @@ def decode(rows: DataFrame, definition: str) -> DataFrame:
     spec, at = rows.sparkSession.sparkContext.broadcast(definition), rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = id_bytes(spec.value).__getitem__
-        for b in batches:
-            for s in (b.slice(i, _ROWS) for i in range(0, b.num_rows, _ROWS)):
-                raw = [None if ids is None else b"".join(map(table, ids)) for ids in s.column(at).to_pylist()]
-                text = [r if r is None else codecs.decode(r, "utf-8", "replace") for r in raw]
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(raw, pa.binary()), pa.array(text, pa.string())], names=out.names)
-
-    return rows.mapInArrow(run, out)
-
-
-def with_id_digest(rows: DataFrame) -> DataFrame:
-    """Adds n_tokens and ids_sha256 (over the ids as little-endian unsigned 32-bit integers)."""
-    at = rows.columns.index("ids")
-    out = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())])
+        table = byte_table(spec.value)
+        for s in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
+            ids = s.column(at)
+            sizes = np.array([0 if x is None else x for x in pc.list_value_length(ids).to_pylist()], np.int64)
+            raw, ends = bytes_of(table, ids.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sizes]))
+            found = [raw[x:y].tobytes() if ok else None for x, y, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
+            text = [r if r is None else codecs.decode(r, "utf-8", "replace") for r in found]
+            yield pa.RecordBatch.from_arrays([*s.columns, pa.array(found, pa.binary()), pa.array(text, pa.string())], names=out.names)
+
+    return rows.mapInArrow(tidy(run), out)
+
+
+def round_trip(docs: DataFrame, definition: str, pattern: str) -> DataFrame:
+    """``docs`` (doc_id, text, ...) -> doc_id, n_tokens, ids_sha256 and starts_sha256 (over ids and ``encode``'s starts as little-endian unsigned 32-bit integers),
+    decoded_sha256 (over the bytes that ``decode`` makes of the ids). Ids and bytes never leave the worker. Awkward rows as in ``encode``."""
+    spec = docs.sparkSession.sparkContext.broadcast((definition, pattern))
+    names = ["doc_id", "n_tokens", "ids_sha256", "starts_sha256", "decoded_sha256"]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    digest = lambda values, ends: [hashlib.sha256(values[x:y].tobytes()).hexdigest() for x, y in zip(ends.tolist(), ends[1:].tolist())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(at)
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            spans = list(zip(ends[:b.num_rows], ends[1:b.num_rows + 1]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([int(y - x) for x, y in spans], pa.int64()),
-                                              pa.array([hashlib.sha256(flat[x:y].tobytes()).hexdigest() for x, y in spans], pa.string())], names=out.names)
+        c, table = coder(*spec.value), byte_table(spec.value[0])
+        widths = np.diff(table[1])
+        for s in (b.slice(x, y - x) for b in batches for x, y in slices(b.column(1), _BYTES, _ROWS)):
+            texts = s.column(1).to_pylist()
+            ids, ends = encoded(c, texts)
+            starts = starts_of(texts, ids, ends, widths)
+            cols = [pa.array(np.diff(ends), pa.int64()), *(pa.array(digest(v.astype("<u4"), ends), pa.string()) for v in (ids, starts)),
+                    pa.array(digest(*bytes_of(table, ids, ends)), pa.string())]
+            yield pa.RecordBatch.from_arrays([s.column(0), *cols], names=names)
 
-    return rows.mapInArrow(run, out)
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+            .mapInArrow(tidy(run), f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, starts_sha256 string, decoded_sha256 string"))
 
 
 @query("op6_byte_bpe")
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
-    definition = ranks_to_json(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    there = encode(read(spark, sf_dir, "documents"), definition, P.PATTERN, offsets=False)
-    back = decode(with_id_digest(there), definition)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    return round_trip(read(spark, sf_dir, "documents"), ranks_to_json(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), P.PATTERN)

@@ -1,6 +1,8 @@
 """Column helpers, tables in the shared folder, and the registry of the subpackage's queries."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,7 +53,7 @@ def slices(column: pa.Array, size: int, rows: int = 1 << 30) -> Iterator[tuple[i
     """Stretches of the texts (or binaries) of an Arrow column of about ``size`` bytes and at most ``rows`` rows together; a longer text
     stands alone."""
     a = total = 0
-    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
         if i > a and (total + n > size or i - a == rows):
             yield a, i
             a, total = i, 0
@@ -60,6 +62,19 @@ def slices(column: pa.Array, size: int, rows: int = 1 << 30) -> Iterator[tuple[i
         yield a, len(column)
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over Arrow batches, after which the worker gives back the memory it no longer uses: idle workers stay beside the next stages."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):       # another C library
+            pass
+    return wrapped
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
