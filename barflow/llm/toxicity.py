@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barflow.llm.common import query, read, stored
+from barflow.llm.common import query, read, slices, stored, tidy
 
 #: Hashed feature space; labelled documents per class in the sample; features that stay after selection.
 SPACE, PER_CLASS, SELECTED = 1 << 22, 6000, 4096
@@ -25,6 +25,8 @@ SPACE, PER_CLASS, SELECTED = 1 << 22, 6000, 4096
 TELLING = 6.0
 #: Words whose features a worker remembers: of selected features most words have none, all features of a word take far more room.
 _MEMORY, _MEMORY_ALL = 200_000, 30_000
+#: Feature counts that a task gathers before it hands them on; bytes of text and rows that are scored together.
+_COUNTS, _BYTES, _ROWS = 200_000, 1 << 20, 256
 _BAD = 1 << 32
 _WORD = re.compile(r"\w+").findall
 
@@ -128,16 +130,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
     def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feats, seen = Features(), {}
+
+        def handed() -> pa.RecordBatch:
+            n = np.fromiter(seen.values(), np.int64, len(seen))
+            return pa.RecordBatch.from_pydict({"f": np.fromiter(seen, np.int64, len(seen)), "clean": n % _BAD, "bad": n // _BAD})
+
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for f in {f for w in set(_WORD(text.lower())) for f in feats.of(w)}:
+            for toxic, text in zip(b.column(0).to_pylist(), b.column(1)):
+                for f in {f for w in set(_WORD(text.as_py().lower())) for f in feats.of(w)}:
                     seen[f] = seen.get(f, 0) + (_BAD if toxic > 0 else 1)         # both counts in one number
+                if len(seen) > _COUNTS:
+                    yield handed()
+                    seen.clear()
         if seen:
-            n = np.fromiter(seen.values(), np.int64, len(seen))
-            yield pa.RecordBatch.from_pydict({"f": np.fromiter(seen, np.int64, len(seen)), "clean": n % _BAD, "bad": n // _BAD})
+            yield handed()
 
     c, t = sizes[False], sizes[True]
-    freq = (sample.select("toxic", "text").mapInArrow(class_counts, "f long, clean long, bad long").groupBy("f")
+    freq = (sample.select("toxic", "text").mapInArrow(tidy(class_counts), "f long, clean long, bad long").groupBy("f")
             .agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")))
     # how far the shares of the two classes lie apart, in standard deviations of a pooled share
     pooled = (F.col("clean") + F.col("bad") + 1) / (c + t + 2)
@@ -152,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         feats = Features(keep)
         for b in batches:
             ids, at, val, mentions = b.column(0), [], [], []
-            for text in b.column(2).to_pylist():
-                found = feats.counts(text)
+            for text in b.column(2):
+                found = feats.counts(text.as_py())
                 x, v = values(found)
                 at.append(x)
                 val.append(v)
@@ -162,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                                              names=["doc_id", "toxic", "at", "val", "mentions"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, at array<bigint>, val array<double>, mentions bigint"
-    rows = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(vectors, schema).orderBy("doc_id").toPandas()
+    rows = sample.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(tidy(vectors), schema).orderBy("doc_id").toPandas()
     mentions, toxic = rows["mentions"].to_numpy(), rows["toxic"].to_numpy() > 0
     cuts = np.quantile(mentions[toxic], [1 / 3, 2 / 3])
     grade = np.where(toxic, 1 + (mentions > cuts[0]) + (mentions > cuts[1]), 0)
@@ -217,11 +226,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Scorer(shared.value)
-        for b in batches:
-            severity, p, kept = judge(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity, pa.float64()), pa.array(p, pa.float64()), pa.array(kept, pa.bool_())], names=out.names)
+        for s in (b.slice(x, y - x) for b in batches for x, y in slices(b.column(1), _BYTES, _ROWS)):
+            severity, p, kept = judge(s.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([s.column(0), pa.array(severity, pa.float64()), pa.array(p, pa.float64()), pa.array(kept, pa.bool_())], names=out.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), out)
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -230,10 +239,10 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Scorer(shared.value)
-        for b in batches:
-            yield b.filter(pa.array(judge(b.column(at).to_pylist())[2], pa.bool_()))
+        for s in (b.slice(x, y - x) for b in batches for x, y in slices(b.column(at), _BYTES, _ROWS)):
+            yield s.filter(pa.array(judge(s.column(at).to_pylist())[2], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 @query("op7_toxicity")
