@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barflow.llm.common import query, read, slices, stored
+from barflow.llm.common import query, read, slices, stored, tidy
 
 BINS, BITS, SHINGLE = 1024, 2, 5
 #: Bytes of text, and rows, that are hashed together (a longer text is hashed alone).
@@ -37,7 +37,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """The hash of each word that a worker has met, so far as they are ``MOST`` or fewer."""
 
-    MOST = 500_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -167,7 +167,7 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS, width: int
                 prints = packed_bits(*low_bits(b.column(1).slice(x, y - x).to_pylist(), bins, bits, width), bits)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(prints, pa.binary())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, f"doc_id {id_type}, fingerprint binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(tidy(run), f"doc_id {id_type}, fingerprint binary")
 
 
 def edited(text: str, other: str) -> str:
@@ -225,7 +225,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
         if first is not None:
             yield table(out, b.column(0).type, [[first[0], last[0]], *[[None, None]] * 6, [part, part], [1, 2], [first[1], last[1]]])
 
-    seen = stored(rows.mapInArrow(run, out), "fingerprint-neighbours")
+    seen = stored(rows.mapInArrow(tidy(run), out), "fingerprint-neighbours")
     heads, tails = seen.where("kind = 1"), seen.where("kind = 2").select("part", "doc_id", "text")
     parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)     # one small row per partition
     beside = (heads.select("part").withColumn("_first", F.first("part").over(parts))
@@ -239,7 +239,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 doc_id, text, after = (v.as_py() for v in row)
                 yield table(_OUT, b.column(0).type, with_next([doc_id, None], [text, after]))
 
-    return seen.where("kind = 0").drop("part", "kind", "text").unionByName(met.mapInArrow(close, _OUT.format(id=id_type)))
+    return seen.where("kind = 0").drop("part", "kind", "text").unionByName(met.mapInArrow(tidy(close), _OUT.format(id=id_type)))
 
 
 @query("op13_fingerprints")
