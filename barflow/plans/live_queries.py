@@ -86,14 +86,64 @@ def live_day_upsert(spark, sf):
     return spark.read.parquet(out).groupBy(c("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("live_prediction_join", """SELECT a.event_type AS ticker, a.event_id, b.ts, round((b.value - a.value) / nullif(a.value, 0) * 100, 4) AS actual_pct FROM events a JOIN events b ON a.event_type = b.event_type AND a.value > 30
+_LIVE_WM = "(SELECT least(max(ts) FILTER (value > 30), max(ts)) FROM events) - INTERVAL '30 minutes'"
+
+
+@query("live_prediction_join", f"""SELECT a.event_type AS ticker, a.event_id, b.ts, round((b.value - a.value) / nullif(a.value, 0) * 100, 4) AS actual_pct,
+ CASE WHEN b.ts IS NOT NULL THEN 'evaluated' WHEN a.ts + INTERVAL '75 minutes' < {_LIVE_WM} THEN 'expired' ELSE 'pending' END AS status FROM (SELECT * FROM events WHERE value > 30) a LEFT JOIN events b ON a.event_type = b.event_type
  AND b.ts >= a.ts + INTERVAL '1 hour' AND b.ts < a.ts + INTERVAL '1 hour' + INTERVAL '15 minutes'""")
 def live_prediction_join(spark, sf):
+    """Every prediction: evaluated by the bars of its interval, expired without one, or pending at the end of the stream."""
     p = _ticks(spark, sf).filter(c("price") > 30)
     b = _ticks(spark, sf).withColumn("close", c("price"))
-    j = _ntz(L.run_to_files(L.evaluate_predictions(p, b), _folder(spark, "pred")), "p_ts", "ts")
-    e = V.table(spark, sf, "events").select(c("event_type").alias("ticker"), c("ts").alias("p_ts"), "event_id")
-    return j.join(e, ["ticker", "p_ts"]).select("ticker", "event_id", "ts", r(c("actual_pct")).alias("actual_pct"))
+    j = L.run_to_files(L.evaluate_predictions(p, b, keep=("event_id",)), _folder(spark, "pred"))
+    e = V.event_ticks(spark, sf).filter(c("price") > 30).select("ticker", "event_id")
+    return _ntz(L.lifecycle(e, j, ["ticker", "event_id"]), "bar_ts").select("ticker", "event_id", c("bar_ts").alias("ts"), r(c("actual_pct")).alias("actual_pct"), "status")
+
+
+_LATE = "m AS (SELECT event_type AS ticker, max(ts) AS top FROM events WHERE event_id % 10 <> 0 GROUP BY 1), w AS (SELECT event_type AS ticker, ts, event_id % 10 = 0 AND ts < top - INTERVAL '2 hours' AS late FROM events LEFT JOIN m ON m.ticker = event_type)"
+
+
+def _feed(spark, sf):
+    """The event files in two parts, the second of which holds every tenth event: (folder, what writes the parts)."""
+    folder, e = _folder(spark, "feed"), V.table(spark, sf, "events")
+    tenth = c("event_id") % 10 == 0
+    return folder, [lambda: e.filter(~tenth).write.mode("append").parquet(folder), lambda: e.filter(tenth).write.mode("append").parquet(folder)]
+
+
+def _late(spark, sf):
+    """Both parts through one stream, the second one after the first: (rows in time, counts of late ones)."""
+    L.use_rocksdb(spark)
+    folder, parts = _feed(spark, sf)
+    for write in parts:
+        write()
+        out = L.split_to_files(L.mark_late(L.read_ticks(spark, folder), "ticker", "2 hours", "3650 days"), f"{folder}-split")
+    return out
+
+
+@query("live_late_rows", f"WITH {_LATE} SELECT ticker, date_trunc('hour', ts) AS hour, count(*) AS rows, min(ts) AS oldest FROM w WHERE late GROUP BY 1, 2")
+def live_late_rows(spark, sf):
+    _, late = _late(spark, sf)
+    return _ntz(late.groupBy("ticker", "hour").agg(F.sum("rows").alias("rows"), F.min("oldest").alias("oldest")), "hour", "oldest")
+
+
+@query("live_rows_in_time", f"WITH {_LATE} SELECT ticker, count(*) AS rows, min(ts) AS first, max(ts) AS last FROM w WHERE NOT late GROUP BY 1")
+def live_rows_in_time(spark, sf):
+    rows, _ = _late(spark, sf)
+    return _ntz(rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first"), F.max("ts").alias("last")), "first", "last")
+
+
+@query("live_retained", f"""WITH {Q.BARS_1H}, wm AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM b) SELECT ticker, count(*) AS bars, round(max(close), 4) AS high, round(min(close), 4) AS low
+ FROM b, wm WHERE ts + INTERVAL '1 hour' + INTERVAL '168 hours' > mark GROUP BY 1""")
+def live_retained(spark, sf):
+    """Hourly bars of the last 168 hours as the stream's state holds them at its end."""
+    L.use_rocksdb(spark)
+    folder = _folder(spark, "hours")
+    V.bars_1h(spark, sf).withColumn("ts", c("ts").cast("timestamp")).write.parquet(folder)
+    bars = spark.readStream.schema("ticker STRING, ts TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE").parquet(folder)
+    out = L.run_to_files(L.retained(bars), f"{folder}-out")
+    last = out.groupBy("ticker").agg(F.min_by(F.struct("bars", "high", "low"), "bars").alias("_x")).select("ticker", "_x.*")     # one batch: it only shrinks
+    return last.select("ticker", "bars", r(c("high")).alias("high"), r(c("low")).alias("low"))
 
 
 # ------------------------------------------------------------------ round trips
