@@ -1,26 +1,45 @@
 """Nearest-pattern forecasts.
 
 A library row is a window of closes (or returns) with what followed.  The current windows are few per ticker (one, or
-the bars of one session) and meet the library by an equi-join on ticker; the library itself is never gathered.  The
-k nearest are taken per salted slice of a ticker's library first, so a hot ticker is spread over tasks and only k rows per
-slice and query meet."""
+the bars of one session) and meet the library by an equi-join on (ticker, slice of the clock); the library itself is never gathered.
+
+Few pairs are compared in full. Each window also carries the means of its segments, and for positive weights the weighted distance
+of those means is a lower bound of the distance itself (Cauchy and Schwarz, segment by segment). The closest bound of each of ``CELLS``
+times k cells of the library gives rows enough to know an upper bound of the k-th distance; pairs whose lower bound exceeds it
+are out, the rest are ranked exactly. Cells are minima of a hash aggregation, so no pair is sorted before the last few."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from barflow.functions.scalar import clamp, div, flag, pick
 from barflow.operators import indicators as I, series as S
-from barflow.operators.salting import every_salt, salt, salted_join
+from barflow.operators.salting import salted_join
 
 c = F.col
 HORIZONS = ("h1", "h3", "eod")
 
 
-def zscored(arr: str) -> Column:
-    """Window minus its mean (_m) over its population deviation (_sd); NULL for a flat window."""
-    return F.when(c("_sd") > 1e-12, F.transform(arr, lambda x: (x - c("_m")) / c("_sd")))
+def window_values(x: str, n: int, skip: int = 0, over: WindowSpec | None = None) -> Column:
+    """The last n values of ``x``, ending ``skip`` rows before the current one, oldest first: n lags, so a row costs n steps and nothing is
+    gathered. Values before the start of the series are NULL."""
+    back = lambda k: F.lag(x, k).over(over) if over is not None else S.lag(x, k)
+    return F.array(*[back(k) if k else c(x) for k in range(skip + n - 1, skip - 1, -1)])
+
+
+def with_shape(df: DataFrame, arr: str, n: int, out: str = "shape") -> DataFrame:
+    """Adds the window ``arr`` of n values minus its mean over its population deviation; NULL for a flat or incomplete one. Written out term by
+    term, so that it is compiled; values are taken from the first one before they are summed, so a flat window has deviation 0."""
+    x = [c(arr)[i] - c(arr)[0] for i in range(n)]
+    df = df.withColumn("_m", _total(x) / n)
+    df = df.withColumn("_sd", F.sqrt(_total([(v - c("_m")) * (v - c("_m")) for v in x]) / n))
+    return df.withColumn(out, F.when(c("_sd") > 1e-12, F.array(*[(v - c("_m")) / c("_sd") for v in x]))).drop("_m", "_sd")
+
+
+def _total(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
 
 
 def decay_weights(n: int, rate: float = 0.1, focus: int = 3) -> list[float]:
@@ -57,69 +76,132 @@ def session_library(bars: DataFrame, n: int, step: int = 1, per_hour: int = 4) -
     df = bars.select("ticker", "ts", "close", F.to_date("ts").alias("date"))
     df = df.withColumns({
         "_no": F.row_number().over(ws) - 1, "_n": F.count(F.lit(1)).over(key),
-        "_w": F.collect_list("close").over(ws.rowsBetween(-(n - 1), 0)),
-        "_m": F.avg("close").over(ws.rowsBetween(-(n - 1), 0)), "_sd": F.stddev_pop("close").over(ws.rowsBetween(-(n - 1), 0)),
-        "_h1": F.lead("close", per_hour).over(ws), "_h3": F.lead("close", 3 * per_hour).over(ws),
+        "_w": window_values("close", n, over=ws), "_h1": F.lead("close", per_hour).over(ws), "_h3": F.lead("close", 3 * per_hour).over(ws),
         "_eod": F.last("close").over(ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     start = c("_no") - (n - 1)
     room = F.when(c("_n") >= n + 3 * per_hour, 3 * per_hour).otherwise(per_hour)
     ok = (c("_n") >= n + per_hour) & (start >= 0) & (start < c("_n") - n - room) & (start % step == 0)
-    return df.filter(ok).select("ticker", "ts", zscored("_w").alias("shape"), *[
+    return with_shape(df.filter(ok), "_w", n).select("ticker", "ts", "shape", *[
         (div(c(f"_{h}"), c("close")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
 
 
 def cross_library(bars: DataFrame, n: int = 20, ahead=(4, 12, 26), interval_s: int = 900, room: int = 20) -> DataFrame:
     """Windows of n closes across sessions; returns run from the bar after the window, ``room`` bars must follow that one."""
     df = S.blocked(bars, interval_s)
-    df = df.withColumns({"_w": F.collect_list("close").over(S.w(n, 1)), "_m": F.avg("close").over(S.w(n, 1)),
-                         "_sd": F.stddev_pop("close").over(S.w(n, 1)), "_end": S.lag("ts"), "_room": S.lead("close", room),
+    df = df.withColumns({"_w": window_values("close", n, 1), "_end": S.lag("ts"), "_room": S.lead("close", room),
                          **{f"_{h}": S.lead("close", k) for h, k in zip(HORIZONS, ahead)}})
-    df = S.unblock(df).filter((F.size("_w") == n) & c("_room").isNotNull())
-    return df.select("ticker", c("_end").alias("ts"), zscored("_w").alias("shape"), *[
+    df = S.unblock(df.filter((c(S.POS) >= n) & c("_room").isNotNull()))
+    return with_shape(df, "_w", n).select("ticker", c("_end").alias("ts"), "shape", *[
         (div(c(f"_{h}"), c("close")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
 
 
+def regime_library(bars: DataFrame, regimes: DataFrame, n: int = 20, ahead: tuple[int, int, int] = (4, 12, 24), interval_s: int = 900) -> DataFrame:
+    """Windows of the n closes before each bar whose regime (ticker, ts, regime) is known. Returns run from the last close of the window to the bars ``ahead``
+    of the bar after it; the middle one must exist, the longest ends with the data at the latest."""
+    df = S.blocked(bars, interval_s)
+    h1, h3, eod = ahead
+    df = df.withColumns({"_w": window_values("close", n, 1), "_base": S.lag("close"), "_h1": S.lead("close", h1), "_h3": S.lead("close", h3),
+                         "_eod": F.last("close").over(S.ahead(0, eod))})
+    df = S.unblock(df.filter((c(S.POS) >= n) & c("_h3").isNotNull())).join(regimes, ["ticker", "ts"])
+    return with_shape(df, "_w", n).select("ticker", "ts", "regime", "shape", *[
+        (div(c(f"_{h}"), c("_base")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
+
+
+def last_bars(bars: DataFrame, n: int) -> DataFrame:
+    """The last n bars of each ticker (n per ticker and task meet, the rest is dropped before the shuffle)."""
+    w = Window.partitionBy("ticker").orderBy(c("ts").desc())
+    return bars.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= n).drop("_rn")
+
+
 def current_shape(last: DataFrame, n: int) -> DataFrame:
     """One query row per ticker from its last n bars (n values per ticker, bounded)."""
-    g = last.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("_b"), F.max_by("close", "ts").alias("price"),
-                                   F.avg("close").alias("_m"), F.stddev_pop("close").alias("_sd"))
+    g = last.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("_b"), F.max_by("close", "ts").alias("price"))
     g = g.filter(F.size("_b") == n).withColumn("_w", F.transform("_b", lambda x: x["close"]))
-    return g.select("ticker", "price", zscored("_w").alias("query")).filter(c("query").isNotNull())
+    return with_shape(g, "_w", n, "query").select("ticker", "price", "query").filter(c("query").isNotNull())
+
+
+def distance(a: str, b: str, n: int, weights: list[float] | None = None) -> Column:
+    """Weighted Euclidean distance of two arrays of n values, written out so that it is compiled."""
+    w = weights or [1.0] * n
+    return F.sqrt(_total([(c(a)[i] - c(b)[i]) * (c(a)[i] - c(b)[i]) * F.lit(w[i]) for i in range(n)]))
+
+
+#: Segments of a window in the lower bound, cells of the library for each neighbour wanted, rows of a slice of the clock.
+SEGMENTS, CELLS, SLICE_ROWS = 5, 4, 4096
+
+
+def _segments(n: int) -> list[range]:
+    cuts = [round(i * n / SEGMENTS) for i in range(SEGMENTS + 1)]
+    return [range(x, y) for x, y in zip(cuts, cuts[1:]) if y > x]
+
+
+def segment_means(arr: str, n: int, weights: list[float] | None = None) -> Column:
+    """Weighted mean of each segment."""
+    w = weights or [1.0] * n
+    return F.array(*[_total([c(arr)[i] * F.lit(w[i] / sum(w[j] for j in seg)) for i in seg]) for seg in _segments(n)])
+
+
+def lower_bound(a: str, b: str, n: int, weights: list[float] | None = None) -> Column:
+    """Distance of the segment means of two windows: never more than the windows' own ``distance``."""
+    w = weights or [1.0] * n
+    return distance(a, b, len(_segments(n)), [sum(w[i] for i in seg) for seg in _segments(n)])
+
+
+def _compared(library: DataFrame, queries: DataFrame, k: int, n: int, weights: list[float] | None, by: tuple[str, ...], scale: Column | None,
+              only: Column | None, times: DataFrame | None, interval_s: int) -> tuple[DataFrame, DataFrame]:
+    """(``by``, _limit, library_size: an upper bound of the k-th distance, NULL where fewer than k cells have rows, and the number of pairs;
+    the pairs whose lower bound is within it, with ``dist``)."""
+    slice_ = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / F.lit(interval_s * SLICE_ROWS)).alias("_slice")
+    #: one shuffle of the library, into slices of at most SLICE_ROWS rows; both passes read it
+    lib = library.select("*", slice_, segment_means("shape", n, weights).alias("_ls")).repartition("ticker", "_slice")
+    slices = (library if times is None else times).select("ticker", slice_).distinct()
+    asked = queries.withColumn("_qs", segment_means("query", n, weights))
+    scale = F.lit(1.0) if scale is None else scale
 
+    def pairs(q: DataFrame) -> DataFrame:
+        j = lib.join(q.join(slices, "ticker"), ["ticker", "_slice"])
+        return (j if only is None else j.filter(only)).withColumn("_lb", lower_bound("_ls", "_qs", n, weights) * scale)
 
-def distance(a: str, b: str, weights: list[float] | None = None) -> Column:
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    if weights:
-        sq = F.zip_with(sq, F.array(*[F.lit(w) for w in weights]), lambda s, w: s * w)
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
+    first = pairs(asked)
+    rest = [x for x in first.columns if x not in by]
+    cells = first.groupBy(*by, F.pmod(F.xxhash64("ts"), F.lit(CELLS * k)).alias("_cell")).agg(
+        F.min_by(F.struct(*rest), F.struct("_lb", "ts")).alias("_x"), F.count(F.lit(1)).alias("_n"))
+    near = cells.select(*by, "_n", "_x.*").withColumn("_d", distance("query", "shape", n, weights) * scale)
+    limits = near.groupBy(*by).agg(F.try_element_at(F.array_sort(F.collect_list("_d")), F.lit(k)).alias("_limit"), F.sum("_n").alias("library_size"))
+    room = c("_limit") * (1 + 1e-9) + 1e-12          # sums of segments and of single values differ in their last bits
+    close = pairs(asked.join(limits, list(by))).filter(c("_limit").isNull() | (c("_lb") <= room))
+    return limits, close.withColumn("dist", distance("query", "shape", n, weights) * scale)
 
 
-def nearest(library: DataFrame, queries: DataFrame, k: int, weights: list[float] | None = None, by: tuple[str, ...] = ("ticker",),
-            scale: Column | None = None) -> DataFrame:
-    """The k nearest library rows of every query row (ties by time); ``scale`` multiplies the distance."""
-    j = salt(library, ["ts"]).join(every_salt(queries), ["ticker", "_salt"]).withColumn("dist", distance("query", "shape", weights))
-    if scale is not None:
-        j = j.withColumn("dist", c("dist") * scale)
-    for part in ((*by, "_salt"), by):      # k per slice of a ticker's library, then k of those
-        w = Window.partitionBy(*part).orderBy("dist", "ts")
-        j = j.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= k).drop("_rn")
-    return j.drop("query", "shape", "_salt")
+def nearest(library: DataFrame, queries: DataFrame, k: int, n: int, weights: list[float] | None = None, by: tuple[str, ...] = ("ticker",),
+            scale: Column | None = None, only: Column | None = None, times: DataFrame | None = None, interval_s: int = 900) -> DataFrame:
+    """The k nearest library rows (ticker, ts, shape of n values, ...) of every query row (``by``, query, ...), ties by time, with ``dist`` and ``library_size``, the
+    number of rows that a query met. ``scale`` multiplies the distance, ``only`` keeps pairs out; ``times`` (ticker, ts) has every time of the library,
+    where that is cheaper to read than the library itself."""
+    _, close = _compared(library, queries, k, n, weights, by, scale, only, times, interval_s)
+    close = close.filter(c("_limit").isNull() | (c("dist") <= c("_limit") * (1 + 1e-9) + 1e-12))
+    w = Window.partitionBy(*by).orderBy("dist", "ts")
+    j = close.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= k)
+    return j.drop("query", "shape", "_slice", "_ls", "_qs", "_lb", "_limit", "_rn")
 
 
-def library_size(library: DataFrame) -> DataFrame:
-    return library.groupBy("ticker").agg(F.count(F.lit(1)).alias("library_size"))
+def pruning(library: DataFrame, queries: DataFrame, k: int, n: int, weights: list[float] | None = None, by: tuple[str, ...] = ("ticker",),
+            interval_s: int = 900) -> DataFrame:
+    """What ``nearest`` compares in full: ``by``, pairs, compared."""
+    limits, close = _compared(library, queries, k, n, weights, by, None, None, None, interval_s)
+    some = close.groupBy(*by).agg(F.count(F.lit(1)).alias("compared"))
+    return limits.join(some, list(by), "left").select(*by, c("library_size").alias("pairs"), F.coalesce("compared", F.lit(0)).alias("compared"))
 
 
 def session_forecast(bars: DataFrame, n: int, k: int, step: int = 1) -> DataFrame:
     """Inverse-distance forecast from the session library with emphasis on the last bars and a confidence score."""
     past, last = split_last(bars, n)
     lib = session_library(past, n, step)
-    near = nearest(lib, current_shape(last, n), k, decay_weights(n))
+    near = nearest(lib, current_shape(last, n), k, n, decay_weights(n), times=bars)
     near = near.withColumn("_w", 1 / (1 + c("dist")))
     g = near.groupBy("ticker").agg(
         F.first("price").alias("price"), *[div(F.sum(c("_w") * c(h)), F.sum("_w")).alias(h) for h in HORIZONS],
-        F.when(F.count(F.lit(1)) > 1, 1 / (1 + F.stddev_pop("dist"))).otherwise(0.5).alias("confidence_score"))
-    g = g.join(library_size(lib), "ticker")
+        F.when(F.count(F.lit(1)) > 1, 1 / (1 + F.stddev_pop("dist"))).otherwise(0.5).alias("confidence_score"), F.first("library_size").alias("library_size"))
     base = pick((c("library_size") > 10000, "HIGH"), (c("library_size") > 1000, "MEDIUM"), default="LOW")
     mod = pick((c("confidence_score") > 0.8, "+"), (c("confidence_score") < 0.3, "-"), default="")
     return g.withColumn("confidence", F.concat(base, mod))
@@ -128,21 +210,20 @@ def session_forecast(bars: DataFrame, n: int, k: int, step: int = 1) -> DataFram
 def plain_forecast(bars: DataFrame, n: int, k: int) -> DataFrame:
     """Unweighted mean of the k nearest (no emphasis)."""
     past, last = split_last(bars, n)
-    near = nearest(session_library(past, n), current_shape(last, n), k)
+    near = nearest(session_library(past, n), current_shape(last, n), k, n, times=bars)
     return near.groupBy("ticker").agg(*[F.avg(h).alias(h) for h in HORIZONS])
 
 
 def cross_forecast(bars: DataFrame, n: int = 20, k: int = 10, min_confidence: float = 0.0,
-                   vol_mult: float | dict[str, float] = 1.0) -> DataFrame:
+                   vol_mult: float | dict[str, float] = 1.0, interval_s: int = 900) -> DataFrame:
     """Cross-session forecast: weights 1/d renormalised over present horizons, confidence from size and closeness.
 
     ``vol_mult``: one multiplier of the direction threshold, or a setting per ticker (1 for tickers without one)."""
-    _, last = split_last(bars, n)
-    lib = cross_library(bars, n)
-    near = nearest(lib, current_shape(last, n), k, exponential_weights(n)).withColumn("_w", 1 / (c("dist") + 1e-8))
-    g = near.groupBy("ticker").agg(F.avg("dist").alias("avg_distance"), *[
-        div(F.sum(c("_w") * c(h)), F.sum(F.when(c(h).isNotNull(), c("_w")))).alias(h) for h in HORIZONS])
-    g = g.join(library_size(lib), "ticker")
+    lib = cross_library(bars, n, interval_s=interval_s)
+    near = nearest(lib, current_shape(last_bars(bars, n), n), k, n, exponential_weights(n), times=bars, interval_s=interval_s)
+    g = near.withColumn("_w", 1 / (c("dist") + 1e-8)).groupBy("ticker").agg(
+        F.avg("dist").alias("avg_distance"), F.first("library_size").alias("library_size"),
+        *[div(F.sum(c("_w") * c(h)), F.sum(F.when(c(h).isNotNull(), c("_w")))).alias(h) for h in HORIZONS])
     g = g.withColumn("confidence", F.least(F.lit(1.0), c("library_size") / 100.0) / (1 + c("avg_distance")))
     t = adaptive_direction_threshold(vol_mult)
     low = c("confidence") < min_confidence
@@ -183,12 +264,12 @@ def return_shapes(bars: DataFrame, p: dict, interval_s: int = 900) -> DataFrame:
     """Returns of the n bars before each bar over its volatility, with momentum, volume ratio and what followed."""
     n = p["n"]
     df = I.add_change(S.blocked(bars, interval_s))
-    df = df.withColumns({"vol": S.std(c("ret"), p["vol"]), "_r": F.collect_list("ret").over(S.w(n, 1)), "mom": I.roc(p["mom"]),
+    df = df.withColumns({"vol": S.std(c("ret"), p["vol"]), "_r": window_values("ret", n, 1), "mom": I.roc(p["mom"]),
                          "p_ret": S.lag("ret"), "volume_ratio": div(c("volume"), S.mean(c("volume"), p["vol"])),
                          "future": div(S.lead("close", p["ahead"]), c("close")) - 1,
                          "range_pct": div(c("high") - c("low"), c("close"))})
-    ok = (F.size("_r") == n) & (c("vol") > 0)
-    return S.unblock(df.withColumn("shape", F.when(ok, F.transform("_r", lambda x: x / c("vol"))))).filter(c("shape").isNotNull())
+    ok = reduce(lambda x, y: x & y, [c("_r")[i].isNotNull() for i in range(n)]) & (c("vol") > 0)
+    return S.unblock(df.withColumn("shape", F.when(ok, F.array(*[c("_r")[i] / c("vol") for i in range(n)])))).filter(c("shape").isNotNull()).drop("_r")
 
 
 def shape_signals(bars: DataFrame, model: str = "steady", test_bars: int = 26, interval_s: int = 900) -> DataFrame:
@@ -196,10 +277,12 @@ def shape_signals(bars: DataFrame, model: str = "steady", test_bars: int = 26, i
 
     The current windows per ticker are ``test_bars``, a constant, so the join grows with the library only."""
     p = SHAPE_MODELS[model]
-    past, test = split_last(return_shapes(bars, p, interval_s), test_bars)
-    lib = past.filter(c("future").isNotNull()).select("ticker", c("ts").alias("ts"), "shape", "future")
-    queries = test.select("ticker", c("ts").alias("at"), c("shape").alias("query"))
-    near = nearest(lib, queries, p["k"], by=("ticker", "at")).withColumn("_w", 1 / (c("dist") + 0.1))
+    shapes = return_shapes(bars, p, interval_s)
+    lib = shapes.filter(c("future").isNotNull()).select("ticker", "ts", "shape", "future")
+    test = last_bars(shapes, test_bars).withColumn("_cut", F.min("ts").over(Window.partitionBy("ticker")))      # test_bars rows per ticker
+    queries = test.select("ticker", c("ts").alias("at"), c("shape").alias("query"), "_cut")
+    near = nearest(lib, queries, p["k"], p["n"], by=("ticker", "at"), only=c("ts") < c("_cut"), times=bars, interval_s=interval_s)
+    near = near.withColumn("_w", 1 / (c("dist") + 0.1))
     exp = near.groupBy("ticker", "at").agg((F.sum(c("_w") * c("future")) / F.sum("_w")).alias("shape_return"))
     df = test.join(exp, (test["ticker"] == exp["ticker"]) & (test["ts"] == exp["at"])).drop(exp["ticker"]).drop("at")
     s, m = c("shape_return"), F.coalesce(c("mom"), F.lit(0.0))
@@ -233,9 +316,10 @@ def regime_similarity(weight: float = 0.7) -> Column:
     return pick((c("regime") == c("current_regime"), 1.0), default=1.0 - weight)
 
 
-def regime_forecast(library: DataFrame, queries: DataFrame, k: int = 10, weight: float = 0.7) -> DataFrame:
+def regime_forecast(library: DataFrame, queries: DataFrame, k: int = 10, weight: float = 0.7, n: int = 20, times: DataFrame | None = None,
+                    interval_s: int = 900) -> DataFrame:
     """Nearest patterns with the distance divided by the regime similarity (1, or 1 - weight for another regime)."""
-    near = nearest(library, queries, k, scale=1 / regime_similarity(weight))
+    near = nearest(library, queries, k, n, scale=1 / regime_similarity(weight), times=times, interval_s=interval_s)
     w = regime_similarity(weight) / (1 + c("dist"))
     near = near.withColumn("_w", w)
     g = near.groupBy("ticker").agg(*[

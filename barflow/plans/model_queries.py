@@ -72,7 +72,7 @@ CROSS_SQL = f"""{_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)
  {', '.join(f"CASE WHEN {h} > thr THEN 'BUY' WHEN {h} < -thr THEN 'SELL' ELSE 'HOLD' END AS {h}_dir" for h in H3)} FROM xf JOIN xz USING (ticker)
  JOIN (SELECT ticker, CASE ticker WHEN '1' THEN 0.00075 WHEN '7' THEN 0.005 WHEN '50' THEN 0.002 WHEN '63' THEN 0.004 WHEN '88' THEN 0.00125 ELSE 0.0005 END AS thr FROM xz) th USING (ticker)""")
 def knn_cross_forecast(spark, sf):
-    f = N.cross_forecast(V.bars_1d(spark, sf), 20, 10, vol_mult={"1": 1.5, "7": 20.0, "50": 4.0, "63": 8.0, "88": 2.5})
+    f = N.cross_forecast(V.bars_1d(spark, sf), 20, 10, vol_mult={"1": 1.5, "7": 20.0, "50": 4.0, "63": 8.0, "88": 2.5}, interval_s=S.DAY)
     return f.select("ticker", *[r(c(h), 6).alias(h) for h in H3], r(c("avg_distance")).alias("avg_distance"), "library_size", r(c("confidence")).alias("confidence"), *[f"{h}_dir" for h in H3])
 
 
@@ -176,8 +176,9 @@ def regime_clusters(spark, sf):
     return G.cluster_summary(G.cluster(f))
 
 
-_RK = f"""{_TER}, cur AS (SELECT ticker, arg_max(regime, ts) AS cr FROM vt GROUP BY 1), {_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)} AS w, lag(ts) {Q.ROW} AS te, lead(close, 20) {Q.ROW} AS room, lead(close, 4) {Q.ROW} AS x1, lead(close, 12) {Q.ROW} AS x3, lead(close, 26) {Q.ROW} AS xe FROM b),
- xl AS (SELECT xs.ticker, te AS ts, {_zs('w', 20)} AS shape, x1 / xs.close - 1 AS h1, x3 / xs.close - 1 AS h3, xe / xs.close - 1 AS eod, vt.regime, cr FROM xs JOIN vt ON vt.ticker = xs.ticker AND vt.ts = te JOIN cur ON cur.ticker = xs.ticker WHERE len(w) = 20 AND room IS NOT NULL),
+_RK = f"""{_TER}, cur AS (SELECT ticker, arg_max(regime, ts) AS cr FROM vt GROUP BY 1), {_cut_sql(20, 'x')}, xs AS (SELECT *, list(close) {Q.over(20, 1)} AS w, lag(close) {Q.ROW} AS base, lead(close, 4) {Q.ROW} AS x1, lead(close, 12) {Q.ROW} AS x3,
+ last(close) OVER ({Q.PART} ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING) AS xe FROM b),
+ xl AS (SELECT xs.ticker, xs.ts, {_zs('w', 20)} AS shape, x1 / base - 1 AS h1, x3 / base - 1 AS h3, xe / base - 1 AS eod, vt.regime, cr FROM xs JOIN vt ON vt.ticker = xs.ticker AND vt.ts = xs.ts JOIN cur ON cur.ticker = xs.ticker WHERE len(w) = 20 AND x3 IS NOT NULL),
  xd AS (SELECT *, {_dist(20, [1.0] * 20)} / CASE WHEN regime = cr THEN 1.0 ELSE 1.0 - 0.7 END AS dist, CASE WHEN regime = cr THEN 1.0 ELSE 1.0 - 0.7 END AS sim FROM xl JOIN xq USING (ticker) WHERE shape IS NOT NULL),
  xk AS (SELECT *, sim / (1 + dist) AS w FROM xd QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY dist, ts) <= 10)"""
 
@@ -188,9 +189,8 @@ def regime_weighted_forecast(spark, sf):
     bars = V.bars_1d(spark, sf)
     ter = G.volatility_terciles(bars, 120, S.DAY).select("ticker", "ts", "regime")
     current = ter.groupBy("ticker").agg(F.max_by("regime", "ts").alias("current_regime"))
-    lib = N.cross_library(bars, 20, interval_s=S.DAY).join(ter, ["ticker", "ts"])
-    _, last = N.split_last(bars, 20)
-    f = N.regime_forecast(lib, N.current_shape(last, 20).join(current, "ticker"), 10)
+    lib = N.regime_library(bars, ter, interval_s=S.DAY)
+    f = N.regime_forecast(lib, N.current_shape(N.last_bars(bars, 20), 20).join(current, "ticker"), 10, times=bars, interval_s=S.DAY)
     return f.select("ticker", *[r(c(h), 6).alias(h) for h in H3], "current_regime", r(c("match_ratio")).alias("match_ratio"), r(c("confidence")).alias("confidence"))
 
 
