@@ -57,10 +57,13 @@ def arbitrate() -> Column:
 
 
 def combine(df: DataFrame, config: DataFrame) -> DataFrame:
-    """Needs profile, momentum_signal, technical_signal, regime_score, regime_label.  ``config`` is the four-row profile
-    table, so its broadcast is bounded by construction.  A profile it does not have takes the settings of the first fixed one."""
+    """Needs profile, momentum_signal, technical_signal, regime_score, regime_label.  A profile it does not have takes the settings of the first fixed one."""
     names = [x.split()[0] for x in PROFILE_COLUMNS.split(", ")]
-    df = with_config(df, config, "profile", dict(zip(names[1:], PROFILES[0][1:])))
+    return decide(with_config(df, config, "profile", dict(zip(names[1:], PROFILES[0][1:]))))
+
+
+def decide(df: DataFrame) -> DataFrame:
+    """``combine`` for rows that carry the settings of their profile already."""
     df = df.withColumns({"momentum_prob": probability(c("momentum_signal"), c("strength")),
                          "technical_prob": probability(c("technical_signal"), c("strength")),
                          "w_momentum": F.when(c("version") == 1, R.linear_weight(c("regime_score"))).otherwise(

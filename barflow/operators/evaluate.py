@@ -61,7 +61,7 @@ def win_rates(outcomes: DataFrame, keys: list[str]) -> DataFrame:
                                        F.avg("max_adverse").alias("avg_adverse"))
 
 
-def trade_outcomes(trades: DataFrame, key: list[str], bars: DataFrame, now: Column, horizon_s: int | None = None, interval_s: int = S.DAY,
+def trade_outcomes(trades: DataFrame, bars: DataFrame, now: Column, horizon_s: int | None = None, interval_s: int = S.DAY,
                    expiry_s: int = S.DAY) -> DataFrame:
     """Status of each trade (action, entry, stop_loss, target): pending, triggered, hit_target, hit_stop or expired.
 
@@ -69,16 +69,10 @@ def trade_outcomes(trades: DataFrame, key: list[str], bars: DataFrame, now: Colu
     or for ``horizon_s`` if it is given."""
     buy = F.coalesce(c("action") == "BUY", F.lit(False))
     near = lambda x: c(x) if horizon_s is None else F.when(c(x) <= c("ts") + F.make_dt_interval(secs=F.lit(horizon_s)), c(x))
-    entry = trades.select(*{*key, "ticker", "ts"}, buy.alias("up"), c("entry").alias("level"))
     tree = J.touch_tree(bars, interval_s)
-    entry = J.first_touch(entry, key, tree, "ts", interval_s, out="trigger_ts").select(*key, near("trigger_ts").alias("trigger_ts"))
-    df = trades.join(entry, key, "left")
-    sides = F.array(F.struct(F.lit("stop").alias("_side"), (~buy).alias("up"), c("stop_loss").alias("level")),
-                    F.struct(F.lit("target").alias("_side"), buy.alias("up"), c("target").alias("level")))
-    out = df.where("trigger_ts IS NOT NULL").select(*{*key, "ticker", "ts"}, "trigger_ts", F.explode(sides).alias("_s")).select("*", "_s.*").drop("_s")
-    out = J.first_touch(out, [*key, "_side"], tree, "trigger_ts", interval_s, True).withColumn("touch_ts", near("touch_ts"))
-    ends = out.groupBy(*key).agg(*[F.max(F.when(c("_side") == x, c("touch_ts"))).alias(f"{x}_ts") for x in ("stop", "target")])
-    df = df.join(ends, key, "left")
+    df = J.first_touch(trades, tree, "ts", buy, c("entry"), interval_s, out="trigger_ts").withColumn("trigger_ts", near("trigger_ts"))
+    df = J.first_touch(df, tree, "trigger_ts", ~buy, c("stop_loss"), interval_s, True, "stop_ts").withColumn("stop_ts", near("stop_ts"))
+    df = J.first_touch(df, tree, "trigger_ts", buy, c("target"), interval_s, True, "target_ts").withColumn("target_ts", near("target_ts"))
     old = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(c("ts").cast("timestamp")) > expiry_s
     status = pick((c("trigger_ts").isNull() & old, "expired"), (c("trigger_ts").isNull(), "pending"),
                   (c("stop_ts").isNotNull() & (c("target_ts").isNull() | (c("stop_ts") <= c("target_ts"))), "hit_stop"),

@@ -5,8 +5,6 @@ other side meets that one row per bucket: no range join, no pairs, and a hot buc
 execution because the right side has one row per key."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.session import cut_lineage
@@ -105,52 +103,53 @@ def bars_after(left: DataFrame, key: list[str], bars: DataFrame, cols: list[str]
 FANOUT, EPOCH_S = 256, 1 << 36
 
 
-def touch_tree(bars: DataFrame, interval_s: int) -> tuple[DataFrame, int]:
-    """(ticker, _l, _p, _kids): a tree over the clock. The children of a node of level 1 are its bars, those of a higher one the nodes of
-    the level below, each with its highest high and lowest low; FANOUT of them at most."""
+def touch_tree(bars: DataFrame, interval_s: int) -> list[DataFrame]:
+    """Levels (ticker, _p, _kids) of a tree over the clock, lowest first. The children of a node of the lowest level are its bars, those of a higher one the
+    nodes of the level below, each with its highest high and lowest low; FANOUT of them at most. A level has 1/FANOUT of the rows of the one
+    below; all are cut from their lineage, since a search reads each several times."""
     kid = F.struct(F.unix_micros(c("ts").cast("timestamp")).alias("id"), c("high").alias("hi"), c("low").alias("lo"), "ts")
     row = bars.select("ticker", _clock("ts", interval_s * FANOUT).alias("_p"), kid.alias("_kid"))
     ts_type, levels, depth = bars.schema["ts"].dataType, [], 1
     while True:
-        level = row.groupBy("ticker", "_p").agg(F.array_sort(F.collect_list("_kid")).alias("_kids"))
-        levels.append(level.select("ticker", F.lit(depth).alias("_l"), "_p", "_kids"))
+        levels.append(cut_lineage(row.groupBy("ticker", "_p").agg(F.array_sort(F.collect_list("_kid")).alias("_kids"))))
         if interval_s * FANOUT ** depth > 1 << 40:      # one node holds the whole calendar
-            break
+            return levels
         kid = F.struct(c("_p").alias("id"), F.array_max("_kids.hi").alias("hi"), F.array_min("_kids.lo").alias("lo"), F.lit(None).cast(ts_type).alias("ts"))
-        row = level.select("ticker", F.floor(c("_p") / FANOUT).alias("_p"), kid.alias("_kid"))
+        row = levels[-1].select("ticker", F.floor(c("_p") / FANOUT).alias("_p"), kid.alias("_kid"))
         depth += 1
-    return cut_lineage(reduce(DataFrame.unionByName, levels)), depth
 
 
 def _clock(at: str, span_s: int) -> Column:
     return F.floor((F.unix_seconds(c(at).cast("timestamp")) + F.lit(EPOCH_S)) / F.lit(span_s))
 
 
-def first_touch(searches: DataFrame, key: list[str], tree: tuple[DataFrame, int], at: str, interval_s: int = 86400,
-                inclusive: bool = False, out: str = "touch_ts") -> DataFrame:
-    """Time of the first bar of a ``touch_tree`` after ``at`` (or at it, ``inclusive``) with high >= level where ``up``, else low <= level, however far off;
-    NULL where there is none. ``key`` identifies a search (ticker, at, up, level).
-
-    Up the tree for the first node that touches, then down to its bar: a search meets one bounded row per level, never the history."""
-    nodes, depth = tree
-    touches = lambda k: F.when(c("up"), k["hi"] >= c("level")).otherwise(k["lo"] <= c("level"))
-    own = F.unix_micros(c(at).cast("timestamp"))
-    asked = searches.select("ticker", *[x for x in key if x != "ticker"], "up", "level", own.alias("_own"), F.explode(F.array(*[
-        F.struct(F.lit(n).alias("_l"), _clock(at, interval_s * FANOUT ** n).alias("_p"), _clock(at, interval_s * FANOUT ** (n - 1)).alias("_from"))
-        for n in range(1, depth + 1)])).alias("_x")).select("*", "_x.*").drop("_x")
-    after = lambda k: F.when(c("_l") > 1, k["id"] > c("_from")).otherwise(k["id"] >= c("_own") if inclusive else k["id"] > c("_own"))
-    met = asked.join(nodes, ["ticker", "_l", "_p"]).withColumn("_kid", F.try_element_at(F.filter("_kids", lambda k: after(k) & touches(k)), F.lit(1)))
-    rest = [x for x in key if x != "ticker"]
-    now = met.where("_kid IS NOT NULL").groupBy("ticker", *rest).agg(F.min_by(F.struct("_l", "_kid", "up", "level"), "_l").alias("_x"))
-    now = now.select("ticker", *rest, "_x.*")
-    for _ in range(depth - 1):
-        down = now.withColumns({"_at": c("_l") - 1, "_in": c("_kid.id")})
-        below = nodes.select("ticker", c("_l").alias("_at"), c("_p").alias("_in"), "_kids")
-        down = down.join(below, ["ticker", "_at", "_in"], "left")
-        first = F.try_element_at(F.filter("_kids", touches), F.lit(1))
-        now = down.withColumn("_kid", F.when(c("_l") > 1, first).otherwise(c("_kid"))).withColumn("_l", F.greatest(c("_at"), F.lit(1))).drop("_at", "_in", "_kids")
-    found = now.select("ticker", *rest, c("_kid.ts").alias(out))
-    return searches.join(found, ["ticker", *rest], "left")
+def first_touch(searches: DataFrame, tree: list[DataFrame], at: str, up: Column, level: Column, interval_s: int = 86400, inclusive: bool = False,
+                out: str = "touch_ts") -> DataFrame:
+    """Adds the time of the first bar of a ``touch_tree`` after ``at`` (or at it, ``inclusive``) with high >= level where ``up``, else low <= level, however far
+    off; NULL where there is none, or no ``at``.
+
+    The own node of the lowest level is asked first, most searches end there; the others go up until a node touches and down to its bar. A search
+    meets one bounded row per level, never the history. A search that is not asking carries a key of its own that no node has, so those spread."""
+    depth = len(tree)
+    df = searches.withColumns({"_up": up, "_level": level, "_own": F.unix_micros(c(at).cast("timestamp")), "_kid": F.lit(None).cast(tree[0].schema["_kids"].dataType.elementType),
+                               "_at": F.lit(0)})
+    touches = lambda k: F.when(c("_up"), k["hi"] >= c("_level")).otherwise(k["lo"] <= c("_level"))
+    idle = -1 - F.pmod(F.xxhash64("_own", "_level", at), F.lit(1 << 30))
+
+    def ask(df: DataFrame, n: int, asking: Column, node: Column, fits) -> DataFrame:
+        df = df.withColumn("_asks", asking).withColumn("_p", F.when(c("_asks"), node).otherwise(idle)).join(tree[n - 1], ["ticker", "_p"], "left")
+        kid = F.when(c("_asks"), F.try_element_at(F.filter("_kids", fits), F.lit(1)))
+        return df.withColumn("_new", kid).drop("_kids", "_p")
+
+    for n in range(1, depth + 1):
+        here = c("_own") if n == 1 else _clock(at, interval_s * FANOUT ** (n - 1))
+        later = (lambda k: k["id"] >= here) if n == 1 and inclusive else (lambda k: k["id"] > here)
+        df = ask(df, n, c("_kid").isNull() & c("_own").isNotNull(), _clock(at, interval_s * FANOUT ** n), lambda k: later(k) & touches(k))
+        df = df.withColumns({"_at": F.when(c("_new").isNotNull(), F.lit(n)).otherwise(c("_at")), "_kid": F.coalesce("_kid", "_new")}).drop("_new", "_asks")
+    for n in range(depth - 1, 0, -1):
+        df = ask(df, n, c("_at") == n + 1, c("_kid.id"), touches)
+        df = df.withColumns({"_kid": F.when(c("_asks"), c("_new")).otherwise(c("_kid")), "_at": F.when(c("_asks"), F.lit(n)).otherwise(c("_at"))}).drop("_new", "_asks")
+    return df.withColumn(out, c("_kid.ts")).drop("_up", "_level", "_own", "_kid", "_at")
 
 
 def latest_rows(df: DataFrame, keep: list[str]) -> DataFrame:

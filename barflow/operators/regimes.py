@@ -12,8 +12,8 @@ from barflow.session import cut_lineage
 c = F.col
 
 
-def add_regime(df: DataFrame, adx_min: float = 25, hurst_max: float = 0.45, keltner_min: float = 0.2) -> DataFrame:
-    """Score in (-1, 1) from z-scored ADX, Hurst and Keltner flags; label by +-0.3.  Blocked frame."""
+def add_regime(df: DataFrame, adx_min: float | Column = 25, hurst_max: float | Column = 0.45, keltner_min: float | Column = 0.2) -> DataFrame:
+    """Score in (-1, 1) from z-scored ADX, Hurst and Keltner flags; label by +-0.3.  Blocked frame; thresholds may be columns, such as settings per ticker."""
     df = I.add_hurst(I.add_keltner(I.add_adx(I.add_change(df))))
     df = df.withColumns({"_a": F.when(c("adx") > adx_min, 1.0).otherwise(0.0), "_h": F.when(c("hurst") < hurst_max, 0.0).otherwise(1.0),
                          "_k": F.when(c("keltner_pct") > keltner_min, 1.0).otherwise(0.0)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barflow.functions.scalar import r
-from barflow.operators import charts as H, indicators as I, joins as J, series as S
+from barflow.operators import charts as H, indicators as I, joins as J, plugins as P, series as S
 from barflow.plans import sql as Q
 from barflow.plans.indicator_queries import VOLB_SQL, sel
 from barflow.plans.registry import query
@@ -150,16 +150,25 @@ def chart_volume_scores(spark, sf):
     return df.select("ticker", "ts", r(c("interval_score")).alias("interval_score"), r(c("daily_score")).alias("daily_score"), "volume_breakout", "admissible")
 
 
-@query("chart_volume_attached", f"""WITH {Q.BARS}, {STR_SQL}, pt AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, l_shipdate + INTERVAL '36 hours' AS att, l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity > 45),
+@query("chart_volume_attached", f"""WITH {Q.BARS}, {STR_SQL}, pt AS (SELECT CAST(l_suppkey AS VARCHAR) AS ticker, l_shipdate + INTERVAL '36 hours' AS att, l_orderkey, l_linenumber, l_partkey FROM lineitem),
  a AS (SELECT pt.*, g2.ts AS t0, bull AS s0 FROM pt ASOF LEFT JOIN g2 ON pt.ticker = g2.ticker AND pt.att >= g2.ts), z AS (SELECT a.*, g2.ts AS t1, g2.bull AS s1 FROM a ASOF LEFT JOIN g2 ON a.ticker = g2.ticker AND a.att <= g2.ts),
  x AS (SELECT ticker, CASE WHEN t1 IS NULL OR att - t0 <= t1 - att THEN s0 ELSE s1 END AS score FROM z), y AS (SELECT *, ({_adj_sql('score')}) * 100 AS conf, CASE WHEN score > 0.6 THEN 'high' WHEN score < 0.4 THEN 'low' ELSE 'medium' END AS q FROM x)
  SELECT ticker, count(*) AS patterns, round(avg(score), 4) AS avg_score, round(avg(conf), 4) AS avg_confidence, count(*) FILTER (q = 'high') AS high, count(*) FILTER (q = 'medium') AS medium, count(*) FILTER (q = 'low') AS low FROM y WHERE score >= 0.4 - 1e-9 AND conf >= 40 GROUP BY 1""")
 def chart_volume_attached(spark, sf):
     """Scores attached to patterns by the nearest bar, filtered, and summed up per ticker."""
     scored = S.unblock(H.add_signal_strength(I.volume_bundle(V.bars_1d(spark, sf)))).select("ticker", "ts", "score_bullish")
-    pats = V.line_ticks(spark, sf).filter(c("size") > 45).select("ticker", (c("ts") + F.expr("INTERVAL 36 HOURS")).alias("at"))
+    pats = V.line_ticks(spark, sf).select("ticker", (c("ts") + F.expr("INTERVAL 36 HOURS")).alias("at"))
     x = J.asof_join(pats, scored, "at", ["score_bullish"], "nearest", S.DAY).select("ticker", c("hit.score_bullish").alias("score"))
     x = x.withColumn("conf", H.adjust_confidence(F.lit(0.6), c("score")) * 100).filter((c("score") >= 0.4 - 1e-9) & (c("conf") >= 40))
     return x.groupBy("ticker").agg(F.count(F.lit(1)).alias("patterns"), r(F.avg("score")).alias("avg_score"), r(F.avg("conf")).alias("avg_confidence"),
                                    F.count_if(c("score") > 0.6).alias("high"), F.count_if((c("score") <= 0.6) & (c("score") >= 0.4)).alias("medium"),
                                    F.count_if(c("score") < 0.4).alias("low"))
+
+
+@query("chart_volume_wrapped", f"""WITH {Q.BARS}, {STR_SQL}, x AS (SELECT ticker, bull AS score FROM g2 WHERE close > open * 1.05), y AS (SELECT *, ({_adj_sql('score')}) * 100 AS conf FROM x)
+ SELECT ticker, count(*) AS patterns, round(avg(score), 4) AS avg_score, round(avg(conf), 4) AS avg_confidence, count(*) FILTER (score > 0.6) AS high, count(*) FILTER (score <= 0.6 AND score >= 0.4) AS medium, count(*) FILTER (score < 0.4) AS low FROM y WHERE score >= 0.4 - 1e-9 AND conf >= 40 GROUP BY 1""")
+def chart_volume_wrapped(spark, sf):
+    """A caller's scanner (bars that close 5 % above their open) with volume scores, filtered and summed up by the wrapper."""
+    surge = P.with_volume(lambda bars: bars.filter(c("close") > c("open") * 1.05).select("ticker", "ts", F.lit("surge").alias("pattern")), interval_s=S.DAY)
+    s = surge(V.bars_1d(spark, sf))["summary"]
+    return s.select("ticker", "patterns", r(c("avg_score")).alias("avg_score"), r(c("avg_confidence")).alias("avg_confidence"), "high", "medium", "low")

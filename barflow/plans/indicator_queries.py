@@ -206,11 +206,6 @@ def keltner(spark, sf):
     return out(I.add_keltner(changed(spark, sf)), "keltner_pos", "keltner_pct")
 
 
-@query("hurst")
-def hurst(spark, sf):
-    return out(I.add_hurst(day(spark, sf)), "hurst")
-
-
 @query("rolling_zscore", f"""WITH {Q.BARS} SELECT ticker, ts, round(coalesce(CASE WHEN count(close) {Q.over(60)} >= 20 THEN
  (close - avg(close) {Q.over(60)}) / (stddev_samp(close) {Q.over(60)} + 1e-10) END, 0), 4) AS z FROM b""")
 def rolling_zscore(spark, sf):

@@ -1,10 +1,12 @@
 """Nearest patterns, regimes, models, ensembles and sizes: queries and their SQL."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from barflow.functions.scalar import r
-from barflow.operators import ensemble as E, indicators as I, knn as N, models as M, quantiles as U, regimes as G, scanners as C, series as S
+from barflow.operators import ensemble as E, indicators as I, knn as N, models as M, plugins as P, quantiles as U, regimes as G, scanners as C, series as S
 from barflow.plans import sql as Q
 from barflow.plans.indicator_queries import ADX_SQL, KELT_SQL, sel
 from barflow.plans.registry import query
@@ -108,7 +110,31 @@ def model_shape_fast(spark, sf):
 
 # ------------------------------------------------------------------ regimes
 
-@query("regime_composite")
+_LAGS = range(2, 60)
+_LN = [math.log(k) for k in _LAGS]
+_LN_MEAN = sum(_LN) / len(_LN)
+HURST_SQL = f"""hq AS (SELECT *, list(close) {Q.over(120, 1)} AS hw FROM {{src}}),
+ hh AS (SELECT *, CASE WHEN len(hw) = 120 AND list_aggregate(hw, 'stddev_pop') > 0 THEN 2 * list_sum(list_transform(range(2, 60), lambda k: (ln(k) - {_LN_MEAN!r}) * ln(greatest(list_aggregate(list_transform(range(1, 121 - k), lambda i: hw[i + k] - hw[i]), 'stddev_pop'), 1e-300)) / 2))
+ / {sum((x - _LN_MEAN) ** 2 for x in _LN)!r} ELSE 0.5 END AS hurst FROM hq)"""
+
+
+def _flag_z(x):
+    return f"coalesce(CASE WHEN count({x}) {Q.over(60)} >= 20 THEN ({x} - avg({x}) {Q.over(60)}) / (stddev_samp({x}) {Q.over(60)} + 1e-10) END, 0)"
+
+
+def _regime_sql(adx="25", hurst="0.45", keltner="0.2", src="hh"):
+    """rz: the bars with the composite score and its label; thresholds may be columns of ``src``."""
+    return f"""rf AS (SELECT *, CASE WHEN adx > {adx} THEN 1.0 ELSE 0.0 END AS fa, CASE WHEN hurst < {hurst} THEN 0.0 ELSE 1.0 END AS fh, CASE WHEN keltner_pct > {keltner} THEN 1.0 ELSE 0.0 END AS fk FROM {src}),
+ ry AS (SELECT *, tanh((0.4 * {_flag_z('fa')} + 0.4 * {_flag_z('fh')} + 0.2 * {_flag_z('fk')}) / 3) AS score FROM rf), rz AS (SELECT *, CASE WHEN score > 0.3 THEN 'trending' WHEN score < -0.3 THEN 'ranging' ELSE 'uncertain' END AS label FROM ry)"""
+
+
+@query("hurst", f"WITH {Q.BARS}, {HURST_SQL.format(src='b')} SELECT ticker, ts, round(hurst, 4) AS hurst FROM hh")
+def hurst(spark, sf):
+    return S.unblock(I.add_hurst(S.blocked(V.bars_1d(spark, sf)))).select("ticker", "ts", r(c("hurst")).alias("hurst"))
+
+
+@query("regime_composite", f"""WITH {Q.BARS}, {Q.numbered()}, {ADX_SQL}, {KELT_SQL.format(src='ax')}, {HURST_SQL.format(src='kk')}, {_regime_sql()}
+ SELECT label AS regime_label, count(*) AS bars, round(avg(score), 4) AS score, round(avg(adx), 4) AS adx FROM rz GROUP BY 1""")
 def regime_composite(spark, sf):
     df = S.unblock(G.add_regime(S.blocked(V.bars_1d(spark, sf))))
     return df.groupBy("regime_label").agg(F.count(F.lit(1)).alias("bars"), r(F.avg("regime_score")).alias("score"), r(F.avg("adx")).alias("adx"))
@@ -331,6 +357,27 @@ def ensemble_signals(spark, sf):
     return df.select("ticker", "ts", "profile", "signal", *[r(c(x)).alias(x) for x in ("size", "ensemble_prob", "w_momentum", "stop_price", "trailing_stop")])
 
 
+_MODEL_PROFILE = "CASE ticker WHEN 'click' THEN 'NVDA' WHEN 'view' THEN 'TSLA' WHEN 'error' THEN 'MSFT' ELSE 'AAPL' END"
+_SMOOTH = " ".join(f"WHEN {n} THEN median(score) {Q.over(n)}" for n in (2, 3, 10, 15))
+MODELS_SQL = f"""{_shape_sql('steady')}, fb AS (SELECT ticker, ts, CASE WHEN max(abs(signal)) OVER (PARTITION BY ticker) = 0 AND no >= 12 AND no % 13 = 0 AND abs(mom) > 0.002 THEN CAST(sign(mom) AS INTEGER) ELSE signal END AS ms
+ FROM (SELECT ps.*, pz.mom, row_number() OVER (PARTITION BY ps.ticker ORDER BY ps.ts) - 1 AS no FROM ps JOIN pz USING (ticker, ts))), {_PAT.replace(Q.numbered() + ', ', '', 1)}, tm AS (SELECT ticker, ts, {_ONE.format(x='raw', p='CAST(ts AS DATE)', n=1)} AS tsg FROM b0),
+ {ADX_SQL}, {KELT_SQL.format(src='ax')}, {HURST_SQL.format(src='kk')}, hp AS (SELECT hh.*, {_MODEL_PROFILE} AS profile FROM hh), hs AS (SELECT hp.*, p.adx_min, p.hurst_max, p.keltner_min, p.smoothing FROM hp JOIN {_P} ON hp.profile = p.profile),
+ {_regime_sql('CAST(adx_min AS DOUBLE)', 'CAST(hurst_max AS DOUBLE)', 'CAST(keltner_min AS DOUBLE)', 'hs')}, g1 AS (SELECT *, CASE smoothing {_SMOOTH} END AS regime_score, {Q.mean('tr', 14)} AS atr FROM rz),
+ g2 AS (SELECT g1.ticker, g1.ts, g1.close, g1.profile, g1.label AS rl, g1.regime_score, g1.atr, fb.ms, tm.tsg FROM g1 JOIN fb USING (ticker, ts) JOIN tm USING (ticker, ts)), {ENS_SQL[len(_SIGS) + 2:]}"""
+
+
+@query("ensemble_models", f"""WITH {Q.BARS_15M}, {MODELS_SQL} SELECT ticker, ts, profile, rl AS regime_label, ms AS momentum_signal, tsg AS technical_signal, sg AS signal, {sel(regime_score='regime_score', size='sz', ensemble_prob='ep', w_momentum='wmo',
+    stop_price='CASE WHEN sg <> 0 AND sz > 0 THEN close - sg * stop_mult * coalesce(atr, close * 0.01) ELSE 0 END')} FROM en""")
+def ensemble_models(spark, sf):
+    """The momentum-and-shape and the patient reversion model on 15-minute bars, every setting of the profiles in use."""
+    t = c("ticker")
+    profile = F.when(t == "click", "NVDA").when(t == "view", "TSLA").when(t == "error", "MSFT").otherwise("AAPL")
+    df = P.ensemble(V.bars_15m(spark, sf), lambda b: N.momentum_fallback(N.shape_signals(b, "steady")), lambda b: M.patient_reversion(b, hours=(0, 14, 15, 20)),
+                    E.profiles(spark), profile)
+    return df.select("ticker", "ts", "profile", "regime_label", "momentum_signal", "technical_signal", "signal",
+                     *[r(c(x)).alias(x) for x in ("regime_score", "size", "ensemble_prob", "w_momentum", "stop_price")])
+
+
 _VZ = f"(volume - {Q.mean('volume', 50)}) / nullif({Q.std('volume', 50)}, 0) > 3"
 _FLT = f"""f0 AS (SELECT *, {Q.std('ret', 20)} AS vol FROM en), f1 AS (SELECT *, CASE WHEN vol > ({Q.mean('vol', 20)}) * 1.5 THEN 1 ELSE 0 END AS vh, CASE WHEN {_VZ} THEN 1 ELSE 0 END AS vs FROM f0),
  f2 AS (SELECT *, sz * CASE WHEN profile = 'NVDA' AND vh = 1 THEN 0.8 WHEN profile = 'TSLA' AND vs = 1 THEN 0.7 ELSE 1.0 END AS z FROM f1)"""

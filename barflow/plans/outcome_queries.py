@@ -76,7 +76,7 @@ def _trades(spark, sf):
     t = b.select("ticker", "ts", F.when(up, "BUY").otherwise("SELL").alias("action"), (c("close") * F.when(up, 1.05).otherwise(0.95)).alias("entry"),
                  (c("close") * F.when(up, 0.8).otherwise(1.2)).alias("stop_loss"), (c("close") * F.when(up, 1.5).otherwise(0.5)).alias("target"))
     t = t.crossJoin(F.broadcast(b.agg(F.max("ts").alias("now"))))
-    return V2.trade_outcomes(t, ["ticker", "ts"], b, c("now"))
+    return V2.trade_outcomes(t, b, c("now"))
 
 
 @query("eval_trade_outcomes", f"WITH {Q.BARS}, {_TRADES} SELECT ticker, ts, action, trig AS trigger_ts, status FROM to_")

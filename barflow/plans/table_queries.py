@@ -173,16 +173,12 @@ def log_newest_per_key(spark, sf):
 
 # ------------------------------------------------------------------ joins
 
-_SIG = "sg AS (SELECT ticker, ts, close AS price FROM b WHERE volume > 45)"
-
 
 def _signals(spark, sf):
-    return V.bars_15m(spark, sf).filter(c("volume") > 150).select("ticker", "ts", c("close").alias("price"))
+    return V.bars_15m(spark, sf).select("ticker", "ts", c("close").alias("price"))
 
 
-@query("join_asof_forward", f"""WITH {Q.BARS_15M}, sg AS (SELECT ticker, ts, close AS price FROM b WHERE volume > 150)
- SELECT s.ticker, s.ts, (SELECT min(x.ts) FROM b x WHERE x.ticker = s.ticker AND x.ts >= s.ts + INTERVAL '1 hour') AS hit_ts,
- (SELECT round(arg_min(x.close, x.ts), 4) FROM b x WHERE x.ticker = s.ticker AND x.ts >= s.ts + INTERVAL '1 hour') AS hit_close FROM sg s""")
+@query("join_asof_forward", f"""WITH {Q.BARS_15M} SELECT s.ticker, s.ts, b.ts AS hit_ts, round(b.close, 4) AS hit_close FROM b s ASOF LEFT JOIN b ON s.ticker = b.ticker AND s.ts + INTERVAL '1 hour' <= b.ts""")
 def join_asof_forward(spark, sf):
     s = _signals(spark, sf).withColumn("target", c("ts") + F.expr("INTERVAL 1 HOUR"))
     return J.asof_join(s, V.bars_15m(spark, sf), "target", ["close"], "forward").select(
@@ -207,10 +203,10 @@ def join_asof_nearest(spark, sf):
 
 
 @query("join_range_after", f"""WITH {Q.BARS} SELECT s.ticker, s.ts, count(x.ts) AS bars, round(max(x.high), 4) AS top, round(min(x.low), 4) AS bottom
- FROM (SELECT * FROM b WHERE volume > 45) s LEFT JOIN b x ON x.ticker = s.ticker AND x.ts > s.ts AND x.ts <= s.ts + INTERVAL '60 days' GROUP BY 1, 2""")
+ FROM b s LEFT JOIN b x ON x.ticker = s.ticker AND x.ts > s.ts AND x.ts <= s.ts + INTERVAL '60 days' GROUP BY 1, 2""")
 def join_range_after(spark, sf):
     b = V.bars_1d(spark, sf)
-    f = J.bars_after(b.filter(c("volume") > 45), ["ticker", "ts"], b, ["high", "low"], 60 * S.DAY)
+    f = J.bars_after(b, ["ticker", "ts"], b, ["high", "low"], 60 * S.DAY)
     arr = F.coalesce(c("future"), F.array().cast("array<struct<ts:timestamp_ntz,high:double,low:double>>"))
     return f.select("ticker", "ts", F.size(arr).cast("long").alias("bars"), r(F.array_max(F.transform(arr, lambda x: x["high"]))).alias("top"),
                     r(F.array_min(F.transform(arr, lambda x: x["low"]))).alias("bottom"))
@@ -292,10 +288,10 @@ def top_k_global(spark, sf):
     return V.bars_1d(spark, sf).select("ticker", "ts", "volume").orderBy(c("volume").desc(), "ts", "ticker").limit(20)
 
 
-@query("set_operations", """SELECT 'both' AS side, count(*) AS n FROM (SELECT l_partkey FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT p_partkey FROM part)
- UNION ALL SELECT 'only' AS side, count(*) AS n FROM (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49)""")
+@query("set_operations", """SELECT 'both' AS side, count(*) AS n FROM (SELECT l_partkey FROM lineitem INTERSECT SELECT p_partkey FROM part)
+ UNION ALL SELECT 'only' AS side, count(*) AS n FROM (SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem)""")
 def set_operations(spark, sf):
-    used = V.table(spark, sf, "lineitem").filter(c("l_quantity") > 49).select(c("l_partkey").alias("p_partkey"))
+    used = V.table(spark, sf, "lineitem").select(c("l_partkey").alias("p_partkey"))
     parts = V.table(spark, sf, "part").select("p_partkey")
     return used.intersect(parts).agg(F.count(F.lit(1)).alias("n")).select(F.lit("both").alias("side"), "n").unionByName(
         parts.subtract(used).agg(F.count(F.lit(1)).alias("n")).select(F.lit("only").alias("side"), "n"))

@@ -45,7 +45,7 @@ def test_trade_outcomes(spark, path, status):
     """Entry 104, stop 80, target 120; each pair is the (high, low) of a later day."""
     bars = pd.DataFrame([dict(ticker="T", ts=pd.Timestamp("2020-01-01") + pd.Timedelta(days=i), high=float(h), low=float(lo)) for i, (h, lo) in enumerate([(100, 99)] + path)])
     t = spark.createDataFrame(pd.DataFrame([dict(ticker="T", ts=pd.Timestamp("2020-01-01"), action="BUY", entry=104.0, stop_loss=80.0, target=120.0)]))
-    out = V.trade_outcomes(t, ["ticker", "ts"], spark.createDataFrame(bars), F.lit("2020-02-01").cast("timestamp"), 30 * S.DAY).first()
+    out = V.trade_outcomes(t, spark.createDataFrame(bars), F.lit("2020-02-01").cast("timestamp"), 30 * S.DAY).first()
     assert out.status == status
 
 
@@ -58,7 +58,7 @@ def test_trade_outcomes_to_the_end(spark, entry_day, touch_day, touch, status):
     bars = pd.DataFrame([dict(ticker="T", ts=pd.Timestamp("2010-01-01") + pd.Timedelta(days=i), high=float(h), low=float(lo))
                          for i in range(touch_day + 3) for h, lo in [rows.get(i, (101, 99))]])
     t = spark.createDataFrame(pd.DataFrame([dict(ticker="T", ts=pd.Timestamp("2010-01-01"), action="BUY", entry=104.0, stop_loss=80.0, target=120.0)]))
-    out = V.trade_outcomes(t, ["ticker", "ts"], spark.createDataFrame(bars), F.lit("2024-02-01").cast("timestamp")).first()
+    out = V.trade_outcomes(t, spark.createDataFrame(bars), F.lit("2024-02-01").cast("timestamp")).first()
     assert out.status == status
     assert out.trigger_ts == pd.Timestamp("2010-01-01") + pd.Timedelta(days=entry_day)
 
