@@ -95,6 +95,20 @@ def double_extreme(ex: DataFrame, bottom: bool = False, near: float = 0.05, prom
         c("_s.m.v").alias("neckline"), c("_s.a.v").alias("twin"), "current_price", "bars", "vols")
 
 
+def add_point_volume(p: DataFrame) -> DataFrame:
+    """Volume checks at a pattern's own points (rows of ``head_and_shoulders`` or ``double_extreme``): at the left shoulder, head and right shoulder, or at both
+    extremes, against the mean of the bars from the first point to the last. Adds hs_reliability or dt_reliability (shares of three) and ``no``,
+    the bar of the last point."""
+    first, last = c("points")[0], F.try_element_at("points", F.lit(-1))
+    at = lambda i: F.try_element_at("vols", i + 1)["v"]  # noqa: E731  (the session's bars in order, counted from 0)
+    inside = F.filter("vols", lambda x: (x["i"] >= first) & (x["i"] <= last))
+    avg = F.aggregate(inside, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(inside)
+    double, head = c("twin").isNotNull(), c("points")[2]
+    hs = flag(at(head) > avg * 1.2) + flag(at(last) < at(first) * 0.9) + flag(at(last) < avg)
+    dt = flag(at(last) < at(first) * 0.85) + flag(at(first) > avg) + flag(at(last) < avg * 0.9)
+    return p.withColumns({"hs_reliability": F.when(~double, hs / 3.0), "dt_reliability": F.when(double, dt / 3.0), "no": last})
+
+
 def trade_levels(p: DataFrame) -> DataFrame:
     """Entry 1 % beyond the neckline, stop 1 % beyond the shoulder or twin level, target one height (0.8 for doubles)."""
     sell = c("pattern").isin("Head and Shoulders", "Double Top")
@@ -169,9 +183,11 @@ def add_context(df: DataFrame) -> DataFrame:
                            "volatility_threshold": F.greatest(pct * 0.25, F.lit(0.1)), "atr_pct": pct})
 
 
-def enhance_patterns(patterns: DataFrame, context: DataFrame) -> DataFrame:
-    """Equi-join on (ticker, ts); validated chart patterns gain ten times the reliability, others lose a fifth."""
-    df = patterns.join(context, ["ticker", "ts"])
+def enhance_patterns(patterns: DataFrame, context: DataFrame, on: tuple[str, ...] = ("ticker", "ts")) -> DataFrame:
+    """Equi-join on (ticker, ts), or ``on``; validated chart patterns gain ten times the reliability, others lose a fifth. Patterns may bring the reliabilities of
+    their own points, which come before those of ``context``."""
+    own = [x for x in ("hs_reliability", "dt_reliability") if x in patterns.columns]
+    df = patterns.join(context.drop(*own), list(on))
     hs, dbl = c("pattern").contains("Head and Shoulder"), c("pattern").rlike("Double (Top|Bottom)")
     rel = pick((hs, c("hs_reliability")), (dbl, c("dt_reliability")))
     valid = F.coalesce((hs & (c("hs_reliability") > 0.6)) | (dbl & (c("dt_reliability") > 0.5)), F.lit(False))

@@ -48,7 +48,8 @@ def profile_weight(profile: Column, s: Column) -> Column:
 
 def volatility_terciles(bars: DataFrame, window: int = 780, interval_s: int = 900) -> DataFrame:
     """Annualised volatility, exact 33 % and 67 % cuts of the ticker, and the tercile 0/1/2 of each bar."""
-    df = I.add_change(S.blocked(bars, interval_s)).withColumn("vol", I.realised_vol(S.std(c("ret"), window)))
+    df = S.sliding(I.add_change(S.blocked(bars, interval_s)), {"_sd": (c("ret"), window, 0, "std")})
+    df = df.withColumn("vol", F.when(c(S.POS) >= window, I.realised_vol(c("_sd"))))      # the first bar has no return
     df = cut_lineage(S.unblock(df).filter(c("vol").isNotNull()).select("ticker", "ts", "close", "vol"))   # read three times below
     cuts = exact_quantiles(df, ["ticker"], "vol", {"low_cut": 0.33, "high_cut": 0.67})
     return salted_join(df, cuts, ["ticker"], ["ts"]).withColumn("regime", pick((c("vol") <= c("low_cut"), 0), (c("vol") <= c("high_cut"), 1), default=2))
@@ -60,8 +61,8 @@ def regime_features(bars: DataFrame, days: int = 30, per_day: int = 26, interval
     n = days * per_day
     df = I.add_change(S.blocked(bars, interval_s))
     df = df.withColumns({"_rng": div(F.max("high").over(S.w(per_day)) - F.min("low").over(S.w(per_day)), c("close")),
-                         "_first": S.lag("close", n), "_vol": F.stddev_samp("ret").over(S.w(n - 1, 1)),
-                         "_v": F.avg("volume").over(S.w(n, 1)), "_v90": F.avg("volume").over(S.w(90 * per_day, 1))})
+                         "_first": S.lag("close", n)})
+    df = S.sliding(df, {"_vol": (c("ret"), n - 1, 1, "std"), "_v": (c("volume"), n, 1, "mean"), "_v90": (c("volume"), 90 * per_day, 1, "mean")})
     ranges = F.lit(0.0)
     for k in range(days):
         ranges = ranges + F.coalesce(S.lag("_rng", 1 + per_day * k), F.lit(0.0))

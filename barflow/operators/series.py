@@ -169,6 +169,35 @@ def std(x: Column, n: int, ddof: int = 1) -> Column:
     return full(F.stddev_samp(x) if ddof else F.stddev_pop(x), x, n)
 
 
+def sliding(df: DataFrame, specs: Mapping[str, tuple[Column, int, int, str]]) -> DataFrame:
+    """Means (``mean``) and sample deviations (``std``) of long windows: name -> (x, n, skip, kind), over the values of x in the last n rows that end ``skip`` rows
+    before the current one, NULL until there is one (two for a deviation). A window costs the same whatever its length: sums that run along the block,
+    taken from each other n rows apart. Values are first taken from the block's own mean, so that large levels do not swallow small changes."""
+    reach = max(n + skip for _, n, skip, _ in specs.values())
+    halo = df.schema[BLK].metadata.get("halo")
+    if halo is not None and reach > halo:
+        raise ValueError(f"a window reaches {reach} rows, but blocks carry {halo} rows before them")
+    whole, own = Window.partitionBy("ticker", BLK), {f"_v{i}": (name, *spec) for i, (name, spec) in enumerate(specs.items())}
+    df = df.withColumns({v: x - F.avg(x).over(whole) for v, (_, x, _, _, _) in own.items()})
+    sums = {}
+    for v in own:
+        present = F.col(v).isNotNull().cast("long")
+        sums |= {f"{v}n": F.sum(present).over(running()), f"{v}s": F.coalesce(F.sum(v).over(running()), F.lit(0.0)),
+                 f"{v}q": F.coalesce(F.sum(F.col(v) * F.col(v)).over(running()), F.lit(0.0)), f"{v}m": F.avg(own[v][1]).over(whole)}
+    df = df.withColumns(sums)
+    out = {}
+    for v, (name, _, n, skip, kind) in own.items():
+        def part(k: str) -> Column:
+            end = lag(f"{v}{k}", skip) if skip else F.col(f"{v}{k}")
+            return F.coalesce(end, F.lit(0)) - F.coalesce(lag(f"{v}{k}", n + skip), F.lit(0))
+        count, total, squares = part("n"), part("s"), part("q")
+        if kind == "mean":
+            out[name] = F.when(count > 0, F.col(f"{v}m") + total / count)
+        else:
+            out[name] = F.when(count > 1, F.sqrt(F.greatest(squares - total * total / count, F.lit(0.0)) / (count - 1)))
+    return df.withColumns(out).drop(*own, *sums)
+
+
 # ---------------------------------------------------------------- linear recurrences
 
 _FORGET = 37.0     # e^-37: what an older value still weighs is below double precision

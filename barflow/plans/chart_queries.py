@@ -1,10 +1,12 @@
 """Chart patterns and volume confirmation: queries and their SQL."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barflow.functions.scalar import r
-from barflow.operators import charts as H, indicators as I, joins as J, plugins as P, series as S
+from barflow.operators import candles as K, charts as H, indicators as I, joins as J, plugins as P, series as S
 from barflow.plans import sql as Q
 from barflow.plans.indicator_queries import VOLB_SQL, sel
 from barflow.plans.registry import query
@@ -114,6 +116,51 @@ def chart_enhanced(spark, sf):
         "hs_reliability", "dt_reliability", "atr", "vwap_deviation", "volatility_threshold", "adjusted_confidence", "quality")])
 
 
+def _points_sql(src, pattern, sell, double):
+    """Pattern rows with the volume checks at their own points, the bar of the last one and their confidence."""
+    last = "p2" if double else "p4"
+    vol = lambda i: f"(SELECT volume FROM e1 x WHERE x.ticker = q.ticker AND x.d = q.d AND x.i = q.{i})"
+    avg = f"(SELECT avg(volume) FROM e1 x WHERE x.ticker = q.ticker AND x.d = q.d AND x.i BETWEEN q.p0 AND q.{last})"
+    conf = f"""greatest(0, least(100, 50 + (1 - abs(head - rgt) / ((head + rgt) / 2)) * 30 + CASE WHEN {avg} > rv * 1.2 THEN 10 ELSE 0 END - CASE WHEN n - {last} < 5 THEN 10 ELSE 0 END))""" if double else "50.0"
+    checks = ("v3 < v1 * 0.85", "v1 > va", "v3 < va * 0.9") if double else ("v2 > va * 1.2", "v3 < v1 * 0.9", "v3 < va")
+    rel = " + ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END" for x in checks)
+    return f"""SELECT ticker, d, i, '{pattern}' AS pattern, 'chart' AS kind, '{'bearish' if sell else 'bullish'}' AS direction, conf, ({rel}) / 3.0 AS rel, ({rel}) / 3.0 > {0.5 if double else 0.6} AS valid
+ FROM (SELECT ticker, d, {last} AS i, {conf} AS conf, {vol('p0')} AS v1, {vol('p2')} AS v2, {vol(last)} AS v3, {avg} AS va FROM {src} q JOIN ses USING (ticker, d))"""
+
+
+_C3 = "(close - open) {s} 0 AND (lag(close) {o} - lag(open) {o}) {s} 0 AND (lag(close, 2) {o} - lag(open, 2) {o}) {s} 0 AND close {s} lag(close) {o} AND lag(close) {o} {s} lag(close, 2) {o}"
+POINT_SQL = f"""{EXT_SQL}, {_hs_sql('hs', 1)}, {_hs_sql('ih', -1)}, {_dbl_sql('dt', False)}, {_dbl_sql('db', True)}, s AS (SELECT *, row_number() {Q.ROW} - 1 AS r, lag(close) {Q.ROW} AS pc FROM e1),
+ ca AS (SELECT ticker, d, i, CASE WHEN {_C3.format(s='>', o=Q.ROW)} THEN 1 WHEN {_C3.format(s='<', o=Q.ROW)} THEN -1 ELSE 0 END AS c3 FROM s),
+ pt AS ({_points_sql('hs', 'Head and Shoulders', True, False)} UNION ALL {_points_sql('ih', 'Inverse Head and Shoulders', False, False)} UNION ALL {_points_sql('dt', 'Double Top', True, True)} UNION ALL {_points_sql('db', 'Double Bottom', False, True)}
+ UNION ALL SELECT ticker, d, i, CASE WHEN c3 = 1 THEN 'Three White Soldiers' ELSE 'Three Black Crows' END, 'candlestick', CASE WHEN c3 = 1 THEN 'bullish' ELSE 'bearish' END, 90.0, NULL, false FROM ca WHERE c3 <> 0),
+ x0 AS (SELECT *, {Q.TR} AS tr, sum((high + low + close) / 3 * volume) {Q.RUN} / nullif(sum(volume) {Q.RUN}, 0) AS vw FROM s), x1 AS (SELECT *, {Q.ema('tr', S.wilder(14))} AS atr FROM x0),
+ x2 AS (SELECT pt.*, x1.ts, atr, atr / nullif(close, 0) * 100 AS atr_pct, (close - vw) / nullif(vw, 0) * 100 AS dev FROM pt JOIN x1 USING (ticker, d, i)), x3 AS (SELECT *, CASE WHEN kind <> 'chart' THEN conf WHEN valid THEN least(conf + 10 * rel, 100) ELSE conf * 0.8 END AS adj FROM x2),
+ x4 AS (SELECT *, least(100, adj / 100 * 30 + CASE WHEN valid THEN rel * 25 WHEN kind = 'candlestick' THEN 15 ELSE 0 END + CASE WHEN direction = 'bullish' AND dev < 0 THEN least(abs(dev) * 4, 20) WHEN direction = 'bearish' AND dev > 0 THEN least(dev * 4, 20) ELSE 0 END
+ + CASE WHEN atr_pct > 2 THEN 15 WHEN atr_pct > 1 THEN 10 ELSE 5 END + CASE WHEN kind = 'candlestick' THEN 10 ELSE 7 END) AS quality FROM x3)"""
+
+
+@query("chart_enhanced_points", f"WITH {Q.BARS_15M}, {POINT_SQL} SELECT ticker, ts, pattern, kind, direction, CAST(valid AS INTEGER) AS volume_validated, {sel(reliability='rel', atr='atr', vwap_deviation='dev', confidence='conf', adjusted_confidence='adj', quality='quality')} FROM x4")
+def chart_enhanced_points(spark, sf):
+    """Head-and-shoulders and double patterns with volume at their own points, and three-candle patterns, with context and quality."""
+    bars = V.bars_15m(spark, sf)
+    ex = H.session_extrema(bars)
+    found = [H.head_and_shoulders(ex), H.head_and_shoulders(ex, True), H.double_extreme(ex), H.double_extreme(ex, True)]
+    charts = H.trade_levels(H.add_point_volume(reduce(DataFrame.unionByName, found))).select(
+        "ticker", "date", "no", "pattern", F.lit("chart").alias("kind"), F.when(c("action") == "SELL", "bearish").otherwise("bullish").alias("direction"), "confidence",
+        "hs_reliability", "dt_reliability")
+    no = F.row_number().over(Window.partitionBy("ticker", "date").orderBy("ts")).cast("int") - 1
+    flags = S.unblock(K.add_daily_candles(S.blocked(bars, 900))).withColumn("date", F.to_date("ts")).withColumn("no", no)
+    none = F.lit(None).cast("double")
+    three = flags.filter((c("white_soldiers") == 1) | (c("black_crows") == 1)).select(
+        "ticker", "date", "no", F.when(c("white_soldiers") == 1, "Three White Soldiers").otherwise("Three Black Crows").alias("pattern"), F.lit("candlestick").alias("kind"),
+        F.when(c("white_soldiers") == 1, "bullish").otherwise("bearish").alias("direction"), F.lit(90.0).alias("confidence"), none.alias("hs_reliability"), none.alias("dt_reliability"))
+    ctx = S.unblock(H.add_context(S.blocked(bars, 900, carry=I.vwap_carry()))).withColumn("date", F.to_date("ts")).withColumn("no", no).select(
+        "ticker", "date", "no", "ts", "atr", "atr_pct", "vwap_deviation")
+    e = H.enhance_patterns(charts.unionByName(three), ctx, ("ticker", "date", "no")).withColumn("quality", H.quality_score())
+    return e.select("ticker", "ts", "pattern", "kind", "direction", "volume_validated", *[r(c(x)).alias(x) for x in (
+        "reliability", "atr", "vwap_deviation", "confidence", "adjusted_confidence", "quality")])
+
+
 STR_SQL = f"""{VOLB_SQL}, g0 AS (SELECT *, avg(volume_ratio) {Q.over(3)} AS r3, max(volume_ratio) {Q.over(20)} AS rmax, first(close) {Q.over(20)} AS c0, avg(volume) {Q.over(5)} AS v5, avg(volume) {Q.over(5, 15)} AS v0,
  avg(obv) {Q.over(5)} AS o5, avg(obv) {Q.over(15, 5)} AS o15, lag(volume) {Q.ROW} AS pv, avg(volume_ratio) {Q.over(5)} AS rr5, CASE WHEN sign(d) = sign(obv - obv_sma) THEN 1 ELSE 0 END AS same FROM vb),
  g1 AS (SELECT *, CASE WHEN r3 > 1.5 THEN 0.8 WHEN r3 > 1.2 THEN 0.6 ELSE 0.4 END * 0.3 + CASE WHEN rmax > 2 THEN 0.9 WHEN rmax < 0.5 THEN 0.1 ELSE 0.5 END * 0.2 + CASE WHEN (close > c0) = (v5 > v0) THEN 0.7 ELSE 0.3 END * 0.1 AS base,

@@ -184,16 +184,16 @@ def exact_quantiles(spark, sf):
     return q.select("ticker", *[r(c(x)).alias(x) for x in ("q33", "mid", "q67")])
 
 
-_RF = f"""{Q.numbered()}, f0 AS (SELECT *, (max(high) {Q.over(26)} - min(low) {Q.over(26)}) / nullif(close, 0) AS rng, lag(close, 260) {Q.ROW} AS first, lag(close) {Q.ROW} AS lastc, stddev_samp(ret) {Q.over(259, 1)} AS vv, avg(volume) {Q.over(260, 1)} AS v1 FROM s),
+_RF = f"""{Q.numbered()}, f0 AS (SELECT *, (max(high) {Q.over(26)} - min(low) {Q.over(26)}) / nullif(close, 0) AS rng, lag(close, 260) {Q.ROW} AS first, lag(close) {Q.ROW} AS lastc, stddev_samp(ret) {Q.over(259, 1)} AS vv, avg(volume) {Q.over(260, 1)} AS v1, avg(volume) {Q.over(2340, 1)} AS v90 FROM s),
  f1 AS (SELECT *, vv * sqrt(252.0 * 26) AS realised_vol, abs(lastc / first - 1) AS trend, ({' + '.join(f'lag(rng, {1 + 26 * k}) {Q.ROW}' for k in range(10))}) / 10 AS day_range, least(abs(month(ts) - 2), abs(month(ts) - 5), abs(month(ts) - 8), abs(month(ts) - 11)) * 30 AS gap,
  CAST(make_date(year(ts), month(ts), 15) AS TIMESTAMP) + to_days(CAST((5 - dayofweek(make_date(year(ts), month(ts), 15)) + 7) % 7 AS INTEGER)) AS fri FROM f0)"""
 
 
-@query("regime_features", f"""WITH {Q.BARS}, {_RF} SELECT ticker, ts, {sel(realised_vol='realised_vol', trend_strength='trend', day_range='day_range', earnings_proximity='exp(-gap / 45.0)',
+@query("regime_features", f"""WITH {Q.BARS}, {_RF} SELECT ticker, ts, {sel(realised_vol='realised_vol', trend_strength='trend', volume_regime='CASE WHEN r >= 2340 THEN v1 / nullif(v90, 0) ELSE 1.0 END', day_range='day_range', earnings_proximity='exp(-gap / 45.0)',
     expiry_proximity="exp(-abs(floor(epoch(ts - fri) / 86400.0)) / 7.0)")} FROM f1 WHERE r >= 260""")
 def regime_features(spark, sf):
     df = G.regime_features(V.bars_1d(spark, sf), 10, 26, S.DAY)
-    return df.select("ticker", "ts", *[r(c(x)).alias(x) for x in ("realised_vol", "trend_strength", "day_range", "earnings_proximity", "expiry_proximity")])
+    return df.select("ticker", "ts", *[r(c(x)).alias(x) for x in ("realised_vol", "trend_strength", "volume_regime", "day_range", "earnings_proximity", "expiry_proximity")])
 
 
 @query("regime_clusters")

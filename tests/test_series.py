@@ -95,3 +95,21 @@ def test_a_window_beyond_the_halo_raises(spark):
             S.unblock(b.withColumn("x", S.lead("close", 11)))
         with pytest.raises(ValueError, match="forget"):
             S.ewm(b, {"x": (F.col("close"), S.span(50), False)})
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_sliding_windows_agree_with_frames(spark, cut):
+    """Long windows from running sums: a large level, small changes, gaps of NULL, cut blocks and whole ones."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    x = 1e6 + rng.normal(size=n)
+    pdf = pd.DataFrame({"ticker": "T", "ts": pd.date_range("2024-01-01", periods=n, freq="15min"), "x": x})
+    df = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("x") > 1e6 - 1.5, F.col("x")))
+    df = S.blocked(df, 900, halo=700, block_rows=1500, bucket_rows=16, small_bytes=0, ahead=0) if cut else S.blocked(df, 900)
+    specs = {"m": (F.col("x"), 500, 1, "mean"), "s": (F.col("x"), 300, 0, "std"), "short": (F.col("x"), 2, 3, "mean")}
+    got = S.unblock(S.sliding(df, specs)).toPandas().sort_values("ts")
+    v = got.x
+    for name, want in (("m", v.shift(1).rolling(500, min_periods=1).mean()), ("s", v.rolling(300, min_periods=2).std()), ("short", v.shift(3).rolling(2, min_periods=1).mean())):
+        np.testing.assert_allclose(got[name].to_numpy(float), want.to_numpy(float), rtol=1e-9)
+    with pytest.raises(ValueError):
+        S.sliding(df, {"m": (F.col("x"), 9000, 0, "mean")})
