@@ -402,3 +402,11 @@ def swing_targets(df: DataFrame) -> DataFrame:
                          "target_1": c("close") * pick((buy, 1.05), default=0.95),
                          "target_2": c("close") * pick((buy, 1.10), default=0.90)})
     return df.withColumn("risk_reward", div(F.abs(c("target_1") - c("close")), F.abs(c("stop_loss") - c("close"))))
+
+
+def morning_selection(events: DataFrame, newest: DataFrame, days: int = 1, n: int = 5) -> DataFrame:
+    """The newest ``n`` scanned events (ticker, ts, pattern, ...) of each ticker that are at most ``days`` older than the newest bar; older scans are stale.
+    ``newest``: one row with that time in ``newest``."""
+    w = Window.partitionBy("ticker").orderBy(c("ts").desc(), "pattern")
+    df = events.crossJoin(F.broadcast(newest)).filter(c("ts") >= c("newest") - F.make_dt_interval(days=F.lit(days))).drop("newest")
+    return df.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= n).drop("_rn")

@@ -156,22 +156,22 @@ def source_parquet_latest(spark, sf):
     return px(_ntz(R.read_bars(spark, f"{out}/history/2024-01-31"), "ts"))
 
 
-@query("source_csv_bars", f"WITH {Q.BARS_1H} SELECT {PX} FROM b WHERE ticker = 'click'")
+@query("source_csv_bars", f"WITH {Q.BARS_1H} SELECT {PX} FROM b")
 def source_csv_bars(spark, sf):
     out = _folder(spark, "csv")
-    b = V.bars_1h(spark, sf).filter(c("ticker") == "click").drop("ticker")
-    W.write_csv(b.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), *[c(x).alias(x.title()) for x in (*OHLC, "volume")]), out)
-    return px(R.read_bar_csv(spark, out, "click"))
+    b = V.bars_1h(spark, sf)
+    W.write_csv(b.select(c("ticker").alias("Symbol"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), *[c(x).alias(x.title()) for x in (*OHLC, "volume")]), out)
+    return px(R.read_bar_csv(spark, out, "none"))
 
 
-@query("source_json_envelope", f"WITH {Q.BARS_1H} SELECT {PX} FROM b WHERE ticker = 'click' AND CAST(ts AS DATE) = DATE '2024-01-05'")
+@query("source_json_envelope", f"WITH {Q.BARS_1H} SELECT {PX} FROM b")
 def source_json_envelope(spark, sf):
-    """One day of one ticker (24 bars at most) as a {"data": [...]} file."""
+    """Each day of each ticker (24 bars at most) as a {"data": [...]} file in the ticker's folder."""
     out = _folder(spark, "env")
-    b = V.bars_1h(spark, sf).filter((c("ticker") == "click") & (F.to_date("ts") == F.lit("2024-01-05").cast("date")))
     rec = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *[c(x).alias(x.title()) for x in (*OHLC, "volume")])
-    b.agg(F.collect_list(rec).alias("data")).write.json(out)
-    return px(R.read_envelope(spark, out, "click", 5))
+    days = V.bars_1h(spark, sf).groupBy("ticker", F.to_date("ts").alias("day")).agg(F.collect_list(rec).alias("data"))
+    days.write.partitionBy("ticker", "day").json(out)
+    return px(R.read_envelope(spark, out, least=1))
 
 
 @query("source_log_partitions", f"""WITH {Q.TICKS} SELECT ticker, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, round(last(price ORDER BY ts, event_id), 4) AS price FROM t

@@ -33,13 +33,13 @@ def clean_bar_columns(spark, sf):
 
 
 @query("clean_wide_to_long", """WITH e AS (SELECT date_trunc('hour', ts) AS ts, event_type AS ticker, max(value) AS close, sum(value) AS volume
- FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2)
+ FROM events GROUP BY 1, 2)
  SELECT ticker, CAST(ts AS TIMESTAMP) AS ts, round(close, 4) AS close, round(volume, 4) AS volume FROM e""")
 def clean_wide_to_long(spark, sf):
-    e = V.table(spark, sf, "events").filter(c("event_type").isin("click", "view"))
+    e = V.table(spark, sf, "events")
     h = e.withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz")).groupBy("ts")
     wide = h.agg(*[f(F.when(c("event_type") == t, c("value"))).alias(f"{m}|{t}")
-                   for t in ("click", "view") for m, f in (("Close", F.max), ("Volume", F.sum))])
+                   for t in ("click", "view", "error", "purchase", "signup") for m, f in (("Close", F.max), ("Volume", F.sum))])
     return C.wide_to_long(wide, ["close", "volume"]).select("ticker", "ts", r(c("close")).alias("close"), r(c("volume")).alias("volume"))
 
 

@@ -28,20 +28,21 @@ ENVELOPE = T.StructType([T.StructField("data", T.ArrayType(T.StructType([
     T.StructField("Low", T.DoubleType()), T.StructField("Close", T.DoubleType()), T.StructField("Volume", T.DoubleType())])))])
 
 
-def read_envelope(spark: SparkSession, path: str, ticker: str, least: int = 100) -> DataFrame:
-    """{"data": [...]} files -> bars.  Short files, and files whose bars all lack a required field, fail when the rows are read, not
-    by a count up front."""
+def read_envelope(spark: SparkSession, path: str, ticker: str | None = None, least: int = 100) -> DataFrame:
+    """{"data": [...]} files -> bars of ``ticker``, or of the ticker that the files' folder names (``ticker=...``). Short files, and bars that lack a required
+    field, fail when the rows are read, not by a count up front."""
     raw = spark.read.schema(ENVELOPE).option("multiLine", True).json(path)
+    name = c("ticker").cast("string") if ticker is None else F.lit(ticker)
     ok = F.when(F.size("data") >= least, c("data")).otherwise(
-        F.raise_error(F.concat(F.lit(f"{ticker}: fewer than {least} rows, got "), F.size("data").cast("string"))))
+        F.raise_error(F.concat(name, F.lit(f": fewer than {least} rows, got "), F.size("data").cast("string"))))
 
-    def absent(field: str):
-        return F.forall("data", lambda b: b[field].isNull())
+    def lacking(field: str):
+        return F.size(F.filter("data", lambda b: b[field].isNull()))
 
     for field in ("timestamp", "Open", "High", "Low", "Close", "Volume"):
-        ok = F.when(absent(field), F.raise_error(F.lit(f"{ticker}: no bar has the required field {field}"))).otherwise(ok)
-    df = raw.select(F.explode(ok).alias("b"))
-    return df.select(F.lit(ticker).alias("ticker"), parse_time(c("b.timestamp")).cast("timestamp_ntz").alias("ts"),
+        ok = F.when(lacking(field) > 0, F.raise_error(F.concat(name, F.lit(": "), lacking(field).cast("string"), F.lit(f" bars lack the required field {field}")))).otherwise(ok)
+    df = raw.select(name.alias("ticker"), F.explode(ok).alias("b"))
+    return df.select("ticker", parse_time(c("b.timestamp")).cast("timestamp_ntz").alias("ts"),
                      c("b.Open").alias("open"), c("b.High").alias("high"), c("b.Low").alias("low"), c("b.Close").alias("close"),
                      c("b.Volume").alias("volume"))
 
@@ -59,7 +60,7 @@ def read_dated_csv(spark: SparkSession, folder: str, day: str) -> DataFrame:
 
 
 def read_symbols(spark: SparkSession, path: str, stop_words: DataFrame) -> DataFrame:
-    """Pipe-delimited symbols without the trailer line and without common words."""
+    """Pipe-delimited symbols without the trailer line and without common words. Whether those are broadcast is left to the session's size check."""
     df = spark.read.option("header", True).option("sep", "|").csv(path).select(F.trim("Symbol").alias("ticker"))
     df = df.filter(c("ticker").isNotNull() & ~c("ticker").contains("File Creation"))
-    return df.join(F.broadcast(stop_words), df["ticker"] == stop_words["word"], "left_anti")
+    return df.join(stop_words, df["ticker"] == stop_words["word"], "left_anti")

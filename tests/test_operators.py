@@ -226,6 +226,9 @@ def test_envelope_without_a_required_field_raises(spark, tmp_path):
     assert read_envelope(spark, str(tmp_path / "good.json"), "A", least=2).count() == 3
     with pytest.raises(Exception, match="required field Low"):
         read_envelope(spark, str(tmp_path / "bad.json"), "A", least=2).collect()
+    (tmp_path / "one.json").write_text(json.dumps({"data": [bar, {**bar, "Close": None}, bar]}))
+    with pytest.raises(Exception, match="A: 1 bars lack the required field Close"):
+        read_envelope(spark, str(tmp_path / "one.json"), "A", least=2).collect()
 
 
 def test_slang_matches_lower_cased_words(spark):
