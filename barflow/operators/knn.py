@@ -22,20 +22,14 @@ c = F.col
 HORIZONS = ("h1", "h3", "eod")
 
 
-def window_values(x: str, n: int, skip: int = 0, over: WindowSpec | None = None) -> Column:
-    """The last n values of ``x``, ending ``skip`` rows before the current one, oldest first: n lags, so a row costs n steps and nothing is
-    gathered. Values before the start of the series are NULL."""
-    back = lambda k: F.lag(x, k).over(over) if over is not None else S.lag(x, k)
-    return F.array(*[back(k) if k else c(x) for k in range(skip + n - 1, skip - 1, -1)])
+def window(x: str, n: int, over: WindowSpec) -> dict[str, Column]:
+    """The values of a window of n rows with their mean and population deviation."""
+    return {"_w": F.collect_list(x).over(over), "_m": F.avg(x).over(over), "_sd": F.stddev_pop(x).over(over)}
 
 
-def with_shape(df: DataFrame, arr: str, n: int, out: str = "shape") -> DataFrame:
-    """Adds the window ``arr`` of n values minus its mean over its population deviation; NULL for a flat or incomplete one. Written out term by
-    term, so that it is compiled; values are taken from the first one before they are summed, so a flat window has deviation 0."""
-    x = [c(arr)[i] - c(arr)[0] for i in range(n)]
-    df = df.withColumn("_m", _total(x) / n)
-    df = df.withColumn("_sd", F.sqrt(_total([(v - c("_m")) * (v - c("_m")) for v in x]) / n))
-    return df.withColumn(out, F.when(c("_sd") > 1e-12, F.array(*[(v - c("_m")) / c("_sd") for v in x]))).drop("_m", "_sd")
+def zscored(arr: str) -> Column:
+    """Window minus its mean (_m) over its population deviation (_sd); NULL for a flat window."""
+    return F.when(c("_sd") > 1e-12, F.transform(arr, lambda x: (x - c("_m")) / c("_sd")))
 
 
 def _total(terms: list[Column]) -> Column:
@@ -76,22 +70,22 @@ def session_library(bars: DataFrame, n: int, step: int = 1, per_hour: int = 4) -
     df = bars.select("ticker", "ts", "close", F.to_date("ts").alias("date"))
     df = df.withColumns({
         "_no": F.row_number().over(ws) - 1, "_n": F.count(F.lit(1)).over(key),
-        "_w": window_values("close", n, over=ws), "_h1": F.lead("close", per_hour).over(ws), "_h3": F.lead("close", 3 * per_hour).over(ws),
+        **window("close", n, ws.rowsBetween(-(n - 1), 0)), "_h1": F.lead("close", per_hour).over(ws), "_h3": F.lead("close", 3 * per_hour).over(ws),
         "_eod": F.last("close").over(ws.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     start = c("_no") - (n - 1)
     room = F.when(c("_n") >= n + 3 * per_hour, 3 * per_hour).otherwise(per_hour)
     ok = (c("_n") >= n + per_hour) & (start >= 0) & (start < c("_n") - n - room) & (start % step == 0)
-    return with_shape(df.filter(ok), "_w", n).select("ticker", "ts", "shape", *[
+    return df.filter(ok).select("ticker", "ts", zscored("_w").alias("shape"), *[
         (div(c(f"_{h}"), c("close")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
 
 
 def cross_library(bars: DataFrame, n: int = 20, ahead=(4, 12, 26), interval_s: int = 900, room: int = 20) -> DataFrame:
     """Windows of n closes across sessions; returns run from the bar after the window, ``room`` bars must follow that one."""
     df = S.blocked(bars, interval_s)
-    df = df.withColumns({"_w": window_values("close", n, 1), "_end": S.lag("ts"), "_room": S.lead("close", room),
+    df = df.withColumns({**window("close", n, S.w(n, 1)), "_end": S.lag("ts"), "_room": S.lead("close", room),
                          **{f"_{h}": S.lead("close", k) for h, k in zip(HORIZONS, ahead)}})
     df = S.unblock(df.filter((c(S.POS) >= n) & c("_room").isNotNull()))
-    return with_shape(df, "_w", n).select("ticker", c("_end").alias("ts"), "shape", *[
+    return df.select("ticker", c("_end").alias("ts"), zscored("_w").alias("shape"), *[
         (div(c(f"_{h}"), c("close")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
 
 
@@ -100,10 +94,10 @@ def regime_library(bars: DataFrame, regimes: DataFrame, n: int = 20, ahead: tupl
     of the bar after it; the middle one must exist, the longest ends with the data at the latest."""
     df = S.blocked(bars, interval_s)
     h1, h3, eod = ahead
-    df = df.withColumns({"_w": window_values("close", n, 1), "_base": S.lag("close"), "_h1": S.lead("close", h1), "_h3": S.lead("close", h3),
+    df = df.withColumns({**window("close", n, S.w(n, 1)), "_base": S.lag("close"), "_h1": S.lead("close", h1), "_h3": S.lead("close", h3),
                          "_eod": F.last("close").over(S.ahead(0, eod))})
     df = S.unblock(df.filter((c(S.POS) >= n) & c("_h3").isNotNull())).join(regimes, ["ticker", "ts"])
-    return with_shape(df, "_w", n).select("ticker", "ts", "regime", "shape", *[
+    return df.select("ticker", "ts", "regime", zscored("_w").alias("shape"), *[
         (div(c(f"_{h}"), c("_base")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
 
 
@@ -115,15 +109,17 @@ def last_bars(bars: DataFrame, n: int) -> DataFrame:
 
 def current_shape(last: DataFrame, n: int) -> DataFrame:
     """One query row per ticker from its last n bars (n values per ticker, bounded)."""
-    g = last.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("_b"), F.max_by("close", "ts").alias("price"))
+    g = last.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ts", "close"))).alias("_b"), F.max_by("close", "ts").alias("price"),
+                                   F.avg("close").alias("_m"), F.stddev_pop("close").alias("_sd"))
     g = g.filter(F.size("_b") == n).withColumn("_w", F.transform("_b", lambda x: x["close"]))
-    return with_shape(g, "_w", n, "query").select("ticker", "price", "query").filter(c("query").isNotNull())
+    return g.select("ticker", "price", zscored("_w").alias("query")).filter(c("query").isNotNull())
 
 
-def distance(a: str, b: str, n: int, weights: list[float] | None = None) -> Column:
-    """Weighted Euclidean distance of two arrays of n values, written out so that it is compiled."""
-    w = weights or [1.0] * n
-    return F.sqrt(_total([(c(a)[i] - c(b)[i]) * (c(a)[i] - c(b)[i]) * F.lit(w[i]) for i in range(n)]))
+def distance(a: str, b: str, weights: list[float] | None = None) -> Column:
+    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    if weights:
+        sq = F.zip_with(sq, F.array(*[F.lit(w) for w in weights]), lambda s, w: s * w)
+    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
 
 
 #: Segments of a window in the lower bound, cells of the library for each neighbour wanted, rows of a slice of the clock.
@@ -135,16 +131,20 @@ def _segments(n: int) -> list[range]:
     return [range(x, y) for x, y in zip(cuts, cuts[1:]) if y > x]
 
 
-def segment_means(arr: str, n: int, weights: list[float] | None = None) -> Column:
-    """Weighted mean of each segment."""
-    w = weights or [1.0] * n
-    return F.array(*[_total([c(arr)[i] * F.lit(w[i] / sum(w[j] for j in seg)) for i in seg]) for seg in _segments(n)])
+def segment_means(arr: str, n: int, weights: list[float] | None = None) -> list[Column]:
+    """Weighted mean of each segment of an array."""
+    w, out = weights or [1.0] * n, []
+    for seg in _segments(n):
+        part, own = F.slice(arr, F.lit(seg.start + 1), F.lit(len(seg))), [w[i] / sum(w[j] for j in seg) for i in seg]
+        out.append(F.aggregate(F.zip_with(part, F.array(*map(F.lit, own)), lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v))
+    return out
 
 
-def lower_bound(a: str, b: str, n: int, weights: list[float] | None = None) -> Column:
-    """Distance of the segment means of two windows: never more than the windows' own ``distance``."""
+def lower_bound(n: int, weights: list[float] | None = None) -> Column:
+    """Distance of the segment means (_l0.. of the library, _q0.. of the query): never more than the windows' own ``distance``. Written out, so
+    that it is compiled: this is what every pair pays."""
     w = weights or [1.0] * n
-    return distance(a, b, len(_segments(n)), [sum(w[i] for i in seg) for seg in _segments(n)])
+    return F.sqrt(_total([(c(f"_l{k}") - c(f"_q{k}")) * (c(f"_l{k}") - c(f"_q{k}")) * F.lit(sum(w[i] for i in seg)) for k, seg in enumerate(_segments(n))]))
 
 
 def _compared(library: DataFrame, queries: DataFrame, k: int, n: int, weights: list[float] | None, by: tuple[str, ...], scale: Column | None,
@@ -153,24 +153,24 @@ def _compared(library: DataFrame, queries: DataFrame, k: int, n: int, weights: l
     the pairs whose lower bound is within it, with ``dist``)."""
     slice_ = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / F.lit(interval_s * SLICE_ROWS)).alias("_slice")
     #: one shuffle of the library, into slices of at most SLICE_ROWS rows; both passes read it
-    lib = library.select("*", slice_, segment_means("shape", n, weights).alias("_ls")).repartition("ticker", "_slice")
+    lib = library.select("*", slice_, *[x.alias(f"_l{k}") for k, x in enumerate(segment_means("shape", n, weights))]).repartition("ticker", "_slice")
     slices = (library if times is None else times).select("ticker", slice_).distinct()
-    asked = queries.withColumn("_qs", segment_means("query", n, weights))
+    asked = queries.withColumns({f"_q{k}": x for k, x in enumerate(segment_means("query", n, weights))})
     scale = F.lit(1.0) if scale is None else scale
 
     def pairs(q: DataFrame) -> DataFrame:
         j = lib.join(q.join(slices, "ticker"), ["ticker", "_slice"])
-        return (j if only is None else j.filter(only)).withColumn("_lb", lower_bound("_ls", "_qs", n, weights) * scale)
+        return (j if only is None else j.filter(only)).withColumn("_lb", lower_bound(n, weights) * scale)
 
     first = pairs(asked)
     rest = [x for x in first.columns if x not in by]
     cells = first.groupBy(*by, F.pmod(F.xxhash64("ts"), F.lit(CELLS * k)).alias("_cell")).agg(
         F.min_by(F.struct(*rest), F.struct("_lb", "ts")).alias("_x"), F.count(F.lit(1)).alias("_n"))
-    near = cells.select(*by, "_n", "_x.*").withColumn("_d", distance("query", "shape", n, weights) * scale)
+    near = cells.select(*by, "_n", "_x.*").withColumn("_d", distance("query", "shape", weights) * scale)
     limits = near.groupBy(*by).agg(F.try_element_at(F.array_sort(F.collect_list("_d")), F.lit(k)).alias("_limit"), F.sum("_n").alias("library_size"))
     room = c("_limit") * (1 + 1e-9) + 1e-12          # sums of segments and of single values differ in their last bits
     close = pairs(asked.join(limits, list(by))).filter(c("_limit").isNull() | (c("_lb") <= room))
-    return limits, close.withColumn("dist", distance("query", "shape", n, weights) * scale)
+    return limits, close.withColumn("dist", distance("query", "shape", weights) * scale)
 
 
 def nearest(library: DataFrame, queries: DataFrame, k: int, n: int, weights: list[float] | None = None, by: tuple[str, ...] = ("ticker",),
@@ -182,7 +182,7 @@ def nearest(library: DataFrame, queries: DataFrame, k: int, n: int, weights: lis
     close = close.filter(c("_limit").isNull() | (c("dist") <= c("_limit") * (1 + 1e-9) + 1e-12))
     w = Window.partitionBy(*by).orderBy("dist", "ts")
     j = close.withColumn("_rn", F.row_number().over(w)).filter(c("_rn") <= k)
-    return j.drop("query", "shape", "_slice", "_ls", "_qs", "_lb", "_limit", "_rn")
+    return j.drop("query", "shape", "_slice", "_lb", "_limit", "_rn", *[f"_{x}{k}" for x in "lq" for k in range(SEGMENTS)])
 
 
 def pruning(library: DataFrame, queries: DataFrame, k: int, n: int, weights: list[float] | None = None, by: tuple[str, ...] = ("ticker",),
@@ -264,12 +264,12 @@ def return_shapes(bars: DataFrame, p: dict, interval_s: int = 900) -> DataFrame:
     """Returns of the n bars before each bar over its volatility, with momentum, volume ratio and what followed."""
     n = p["n"]
     df = I.add_change(S.blocked(bars, interval_s))
-    df = df.withColumns({"vol": S.std(c("ret"), p["vol"]), "_r": window_values("ret", n, 1), "mom": I.roc(p["mom"]),
+    df = df.withColumns({"vol": S.std(c("ret"), p["vol"]), "_r": F.collect_list("ret").over(S.w(n, 1)), "mom": I.roc(p["mom"]),
                          "p_ret": S.lag("ret"), "volume_ratio": div(c("volume"), S.mean(c("volume"), p["vol"])),
                          "future": div(S.lead("close", p["ahead"]), c("close")) - 1,
                          "range_pct": div(c("high") - c("low"), c("close"))})
-    ok = reduce(lambda x, y: x & y, [c("_r")[i].isNotNull() for i in range(n)]) & (c("vol") > 0)
-    return S.unblock(df.withColumn("shape", F.when(ok, F.array(*[c("_r")[i] / c("vol") for i in range(n)])))).filter(c("shape").isNotNull()).drop("_r")
+    ok = (F.size("_r") == n) & (c("vol") > 0)
+    return S.unblock(df.withColumn("shape", F.when(ok, F.transform("_r", lambda x: x / c("vol"))))).filter(c("shape").isNotNull()).drop("_r")
 
 
 def shape_signals(bars: DataFrame, model: str = "steady", test_bars: int = 26, interval_s: int = 900) -> DataFrame:
