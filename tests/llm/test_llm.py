@@ -273,6 +273,39 @@ def test_packing(docs, empty, library, targets, quantum):
     assert sorted(spans) == list(range(len(spans))) and packing.pack(empty, JSON, P.PATTERN).count() == 0
 
 
+def test_packing_of_many_sources(spark, library, monkeypatch):
+    """Sources without a queue of their own keep their shares too, level by level of the tree."""
+    monkeypatch.setattr(packing, "FAN", 4)
+    rows = [(i, prose(i, 30 + i % 50), f"s{i % 60}" if i % 61 else None) for i in range(900)] + [(900, LONG, "s59"), (901, "", "s7")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(df, JSON, P.PATTERN, quantum=16, max_queues=4).collect()
+    ids = {i: library.encode(t, add_special_tokens=False).ids + [0] for i, t, _ in rows}
+    at, met = 0, Counter()
+    source_of, totals = {i: s for i, _, s in rows}, Counter()
+    for i, x in ids.items():
+        totals[source_of[i]] += len(x)
+    whole, seen = sum(totals.values()), {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.sequence_id * 1024 + r.offset == at and r.doc_tokens == len(ids[r.doc_id])
+        assert zlib.crc32(np.array(ids[r.doc_id][r.start:r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+        at += r.length
+        met[source_of[r.doc_id]] += r.length
+        assert all(abs(met[s] - at * n / whole) <= 2 * 16 * 5 for s, n in totals.items())
+    for i, x in ids.items():
+        end = 0
+        for start, length in sorted(seen[i]):
+            assert start == end
+            end += length
+        assert end == len(x)
+
+
+def test_packing_by_many_targets(docs, spark):
+    targets = {f"s{k}": 1.0 + k % 3 for k in range(100)}
+    got = packing.pack(docs, JSON, P.PATTERN, targets=targets)
+    assert got.agg({"length": "sum"}).first()[0] == packing.pack(docs, JSON, P.PATTERN).agg({"length": "sum"}).first()[0]
+
+
 def test_order_is_deficit_round_robin():
     totals, weights, quantum = [1000, 370, 64, 0], [5, 3, 1, 1], 10
     served, turns = [0] * 4, []
