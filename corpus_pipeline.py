@@ -7,6 +7,10 @@ from barflow.llm import exact, near, packing, quality, toxicity
 from barflow.llm.common import read, stored
 
 
+#: Similarity of word-shingle sets from which on two documents are near-duplicates here, in per cent.
+NEAR_PERCENT = 80
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the severity model rejects; the model is fitted on the labelled ones among ``docs``."""
     return toxicity.accepted(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -24,7 +28,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return near.one_of_each(docs)
+    return near.one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
