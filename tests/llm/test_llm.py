@@ -467,7 +467,7 @@ def test_pipeline(spark, tmp_path):
     after4 = spark.read.parquet(f"{sf}/exact_dedup.parquet")
     assert ids(after4) == sorted(k[0] for k in brute_exact(rows(after)) if k[3])
     after3 = spark.read.parquet(f"{sf}/near_dedup.parquet")
-    assert ids(after3) == sorted(k[0] for k in brute_near(rows(after4)) if k[3])
+    assert ids(after3) == sorted(k[0] for k in brute_near(rows(after4), percent=C.NEAR_PERCENT) if k[3])
     packed = Counter(r.doc_id for r in seen["packing"][1].select("doc_id").distinct().collect())
     assert packed == Counter(ids(after3))
     assert Counter(map(tuple, C.run(spark, sf).select("doc_id", "start", "length", "sequence_id").collect())).total() > 0
