@@ -50,18 +50,18 @@ def live_sessions(spark, sf):
     return L.run_to_files(L.activity_sessions(_ticks(spark, sf)), _folder(spark, "sessions"))
 
 
-@query("live_first_alert")
+@query("live_first_alert", "SELECT DISTINCT event_type || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS alert_id FROM events")
 def live_first_alert(spark, sf):
-    a = _ticks(spark, sf).filter(c("price") > 40).withColumn("alert_id", F.concat_ws("-", "ticker", F.to_date("ts")))
+    a = _ticks(spark, sf).withColumn("alert_id", F.concat_ws("-", "ticker", F.to_date("ts")))
     return L.run_to_files(L.first_alert(a, ["alert_id"]).select("alert_id"), _folder(spark, "first"))
 
 
-@query("live_suppress_repeats", """WITH RECURSIVE a AS (SELECT event_type AS k, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events WHERE value > 40),
+@query("live_suppress_repeats", """WITH RECURSIVE a AS (SELECT event_type AS k, ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events),
  s AS (SELECT k, min(ts) AS ts FROM a GROUP BY 1 UNION ALL SELECT s.k, (SELECT min(a.ts) FROM a WHERE a.k = s.k AND a.ts >= s.ts + INTERVAL '4 hours') FROM s WHERE s.ts IS NOT NULL)
  SELECT k AS alert_id, ts FROM s WHERE ts IS NOT NULL""")
 def live_suppress_repeats(spark, sf):
     L.use_rocksdb(spark)
-    a = _ticks(spark, sf).filter(c("price") > 40).select(c("ticker").alias("alert_id"), "ts")
+    a = _ticks(spark, sf).select(c("ticker").alias("alert_id"), "ts")
     return _ntz(L.run_to_files(L.suppress_repeats(a), _folder(spark, "repeat")), "ts")
 
 
@@ -86,18 +86,18 @@ def live_day_upsert(spark, sf):
     return spark.read.parquet(out).groupBy(c("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-_LIVE_WM = "(SELECT least(max(ts) FILTER (value > 30), max(ts)) FROM events) - INTERVAL '30 minutes'"
+_LIVE_WM = "(SELECT max(ts) FROM events) - INTERVAL '30 minutes'"
 
 
 @query("live_prediction_join", f"""SELECT a.event_type AS ticker, a.event_id, b.ts, round((b.value - a.value) / nullif(a.value, 0) * 100, 4) AS actual_pct,
- CASE WHEN b.ts IS NOT NULL THEN 'evaluated' WHEN a.ts + INTERVAL '75 minutes' < {_LIVE_WM} THEN 'expired' ELSE 'pending' END AS status FROM (SELECT * FROM events WHERE value > 30) a LEFT JOIN events b ON a.event_type = b.event_type
+ CASE WHEN b.ts IS NOT NULL THEN 'evaluated' WHEN a.ts + INTERVAL '75 minutes' < {_LIVE_WM} THEN 'expired' ELSE 'pending' END AS status FROM events a LEFT JOIN events b ON a.event_type = b.event_type
  AND b.ts >= a.ts + INTERVAL '1 hour' AND b.ts < a.ts + INTERVAL '1 hour' + INTERVAL '15 minutes'""")
 def live_prediction_join(spark, sf):
     """Every prediction: evaluated by the bars of its interval, expired without one, or pending at the end of the stream."""
-    p = _ticks(spark, sf).filter(c("price") > 30)
+    p = _ticks(spark, sf)
     b = _ticks(spark, sf).withColumn("close", c("price"))
     j = L.run_to_files(L.evaluate_predictions(p, b, keep=("event_id",)), _folder(spark, "pred"))
-    e = V.event_ticks(spark, sf).filter(c("price") > 30).select("ticker", "event_id")
+    e = V.event_ticks(spark, sf).select("ticker", "event_id")
     return _ntz(L.lifecycle(e, j, ["ticker", "event_id"]), "bar_ts").select("ticker", "event_id", c("bar_ts").alias("ts"), r(c("actual_pct")).alias("actual_pct"), "status")
 
 
