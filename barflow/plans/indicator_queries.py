@@ -15,6 +15,7 @@ c = F.col
 def out(df, *cols, digits=4, **named):
     """Key columns plus rounded numbers, halo rows dropped."""
     if S.HALO in df.columns:
+        S.check_reach(df)
         df = df.filter(~c(S.HALO))
     picked = {**{k: c(k) for k in cols}, **named}
     return df.select("ticker", "ts", *[r(v.cast("double"), digits).alias(k) for k, v in picked.items()])
@@ -190,7 +191,7 @@ ADX_SQL = f"""u AS (SELECT *, {Q.TR} AS tr, high - lag(high) {Q.ROW} AS uu, lag(
     plus_di="pdi", minus_di="mdi", adx="adx") + f", CASE WHEN adx > {Q.lag('adx', 5)} THEN 1 ELSE 0 END AS rising FROM ax")
 def adx(spark, sf):
     df = I.add_adx(changed(spark, sf)).withColumn("rising", F.when(c("adx") > S.lag("adx", 5), 1).otherwise(0))
-    return df.filter(~c(S.HALO)).select("ticker", "ts", *[r(c(x)).alias(x) for x in ("plus_di", "minus_di", "adx")], "rising")
+    return S.unblock(df).select("ticker", "ts", *[r(c(x)).alias(x) for x in ("plus_di", "minus_di", "adx")], "rising")
 
 
 KELT_SQL = f"""ke AS (SELECT *, {Q.ema('close', S.span(20))} AS km, {Q.ema('tr', S.span(20))} AS ka FROM {{src}}),
@@ -326,7 +327,7 @@ def slope_divergence(spark, sf):
     df = I.add_slopes(I.add_obv(changed(spark, sf)))
     df = df.withColumn("divergence", F.when((c("obv_slope") > 1e-6) & (c("price_slope") < 0), "bullish")
                        .when((c("obv_slope") < -1e-6) & (c("price_slope") > 0), "bearish").otherwise("none"))
-    return df.filter(~c(S.HALO)).select("ticker", "ts", r(c("price_slope"), 3).alias("price_slope"),
+    return S.unblock(df).select("ticker", "ts", r(c("price_slope"), 3).alias("price_slope"),
                                         r(c("obv_slope"), 3).alias("obv_slope"), "divergence")
 
 

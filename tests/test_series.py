@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barflow.operators import indicators as I, series as S
+from barflow.plans import indicator_queries
 
 c = F.col
 
@@ -93,6 +94,8 @@ def test_a_window_beyond_the_halo_raises(spark):
             S.unblock(b.withColumn("x", F.avg("close").over(S.w(400))))
         with pytest.raises(ValueError, match="11"):
             S.unblock(b.withColumn("x", S.lead("close", 11)))
+        with pytest.raises(ValueError, match="-399"):      # the output of the registered queries is guarded too
+            indicator_queries.out(b.withColumn("x", F.avg("close").over(S.w(400))), "x")
         with pytest.raises(ValueError, match="forget"):
             S.ewm(b, {"x": (F.col("close"), S.span(50), False)})
 
