@@ -33,6 +33,7 @@ HALO_ROWS = 8192
 AHEAD_ROWS = 1024
 BUCKET_ROWS = 256
 SMALL_BYTES = 32 << 20
+TASK_BYTES = 1 << 20     # of the optimizer's estimate; daily bars are about 10 bytes of it, so about 100,000 bars
 _ONE = "one_block"
 
 
@@ -44,6 +45,23 @@ def plan_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def task_count(df: DataFrame, task_bytes: int | None = None) -> int | None:
+    """Tasks that hold about ``task_bytes`` of ``df`` each; None where the size is unknown. The estimate of a join is a product, so that of the tables read bounds it."""
+    size = plan_bytes(df)
+    if size is None:
+        return None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = min(size, sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
+    return None if size > 1 << 42 else -(-size // (task_bytes or TASK_BYTES))
+
+
+def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over tasks by ``keys``, as many as the size of ``source`` asks for. Each sort, of which a chain of windows has several, holds the rows of
+    its task; adaptive execution would join partitions until there are as few tasks as cores, and a task would grow with the table."""
+    n = task_count(source)
+    return df if n is None or n <= 8 else df.repartition(n, *keys)
+
+
 def one_block(df: DataFrame) -> bool:
     return bool(df.schema[BLK].metadata.get(_ONE))
 
@@ -58,7 +76,7 @@ def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block
     carry = carry or {}
     size = plan_bytes(bars) if small_bytes else None
     if size is not None and size <= small_bytes:
-        df = bars.withColumns({BLK: F.lit(0), HALO: F.lit(False), **{name: F.lit(0.0) for name in carry}})
+        df = spread(bars, bars, "ticker").withColumns({BLK: F.lit(0), HALO: F.lit(False), **{name: F.lit(0.0) for name in carry}})
         return df.withMetadata(BLK, {_ONE: True, "halo": halo, "ahead": ahead}).withColumn(POS, F.row_number().over(_w()).cast("long") - 1)
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(interval_s * bucket_rows))
     src = bars.withColumn("_tb", bucket)
@@ -90,6 +108,7 @@ def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block
         .withColumn(BLK, F.col("_home.b")).withColumn(HALO, F.col("_home.h"))
         .drop("_tb", "_homes", "_home")
     )
+    rows = spread(rows, bars, "ticker", BLK)
     out = rows.withColumn(POS, F.first("_cum").over(running()) + F.row_number().over(_w()) - 1)
     for name in carry:
         out = out.withColumn(name, F.first(name).over(running()))

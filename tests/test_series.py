@@ -116,3 +116,20 @@ def test_sliding_windows_agree_with_frames(spark, cut):
         np.testing.assert_allclose(got[name].to_numpy(float), want.to_numpy(float), rtol=1e-9)
     with pytest.raises(ValueError):
         S.sliding(df, {"m": (F.col("x"), 9000, 0, "mean")})
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """The windows over the blocks run in as many tasks as the table's size asks for; a join's product does not count."""
+    rng = np.random.default_rng(5)
+    rows = pd.DataFrame([dict(ticker=f"T{k}", ts=pd.Timestamp("2020-01-01") + pd.Timedelta(days=i), close=float(rng.random())) for k in range(40) for i in range(50)])
+    spark.createDataFrame(rows).write.parquet(f"{tmp_path}/bars")
+    bars = spark.read.parquet(f"{tmp_path}/bars")
+    size = S.plan_bytes(bars)
+    assert S.task_count(bars, size // 20) in (20, 21)
+    assert S.task_count(bars.alias("a").join(bars.alias("b"), F.expr("a.ticker = b.ticker")), size) <= 2
+    want = S.unblock(S.ewm(S.blocked(bars), {"e": (F.col("close"), 0.1, False)}))
+    monkeypatch.setattr(S, "TASK_BYTES", size // 20)
+    for small in (S.SMALL_BYTES, 0):
+        got = S.unblock(S.ewm(S.blocked(bars, small_bytes=small), {"e": (F.col("close"), 0.1, False)}))
+        assert got.rdd.getNumPartitions() in (20, 21)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
