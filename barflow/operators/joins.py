@@ -106,13 +106,13 @@ FANOUT, EPOCH_S = 256, 1 << 36
 def touch_tree(bars: DataFrame, interval_s: int) -> list[DataFrame]:
     """Levels (ticker, _p, _kids) of a tree over the clock, lowest first. The children of a node of the lowest level are its bars, those of a higher one the
     nodes of the level below, each with its highest high and lowest low; FANOUT of them at most. A level has 1/FANOUT of the rows of the one
-    below; all are cut from their lineage, since a search reads each several times."""
+    below; all are cut from their lineage, since a search reads each several times. The level that has one node per ticker is the last."""
     kid = F.struct(F.unix_micros(c("ts").cast("timestamp")).alias("id"), c("high").alias("hi"), c("low").alias("lo"), "ts")
     row = bars.select("ticker", _clock("ts", interval_s * FANOUT).alias("_p"), kid.alias("_kid"))
     ts_type, levels, depth = bars.schema["ts"].dataType, [], 1
     while True:
         levels.append(cut_lineage(row.groupBy("ticker", "_p").agg(F.array_sort(F.collect_list("_kid")).alias("_kids"))))
-        if interval_s * FANOUT ** depth > 1 << 40:      # one node holds the whole calendar
+        if interval_s * FANOUT ** depth > 1 << 40 or levels[-1].groupBy("ticker").count().filter(c("count") > 1).isEmpty():
             return levels
         kid = F.struct(c("_p").alias("id"), F.array_max("_kids.hi").alias("hi"), F.array_min("_kids.lo").alias("lo"), F.lit(None).cast(ts_type).alias("ts"))
         row = levels[-1].select("ticker", F.floor(c("_p") / FANOUT).alias("_p"), kid.alias("_kid"))
@@ -125,31 +125,48 @@ def _clock(at: str, span_s: int) -> Column:
 
 def first_touch(searches: DataFrame, tree: list[DataFrame], at: str, up: Column, level: Column, interval_s: int = 86400, inclusive: bool = False,
                 out: str = "touch_ts") -> DataFrame:
-    """Adds the time of the first bar of a ``touch_tree`` after ``at`` (or at it, ``inclusive``) with high >= level where ``up``, else low <= level, however far
-    off; NULL where there is none, or no ``at``.
+    """``first_touches`` of one level."""
+    return first_touches(searches, tree, at, {out: (up, level)}, interval_s, inclusive)
+
+
+def first_touches(searches: DataFrame, tree: list[DataFrame], at: str, wanted: dict[str, tuple[Column, Column]], interval_s: int = 86400,
+                  inclusive: bool = False) -> DataFrame:
+    """For each ``out -> (up, level)`` adds the time of the first bar of a ``touch_tree`` after ``at`` (or at it, ``inclusive``) with high >= level where
+    ``up``, else low <= level, however far off; NULL where there is none, or no ``at``.
 
     The own node of the lowest level is asked first, most searches end there; the others go up until a node touches and down to its bar. A search
-    meets one bounded row per level, never the history. A search that is not asking carries a key of its own that no node has, so those spread."""
-    depth = len(tree)
-    df = searches.withColumns({"_up": up, "_level": level, "_own": F.unix_micros(c(at).cast("timestamp")), "_kid": F.lit(None).cast(tree[0].schema["_kids"].dataType.elementType),
-                               "_at": F.lit(0)})
-    touches = lambda k: F.when(c("_up"), k["hi"] >= c("_level")).otherwise(k["lo"] <= c("_level"))
-    idle = -1 - F.pmod(F.xxhash64("_own", "_level", at), F.lit(1 << 30))
-
-    def ask(df: DataFrame, n: int, asking: Column, node: Column, fits) -> DataFrame:
-        df = df.withColumn("_asks", asking).withColumn("_p", F.when(c("_asks"), node).otherwise(idle)).join(tree[n - 1], ["ticker", "_p"], "left")
-        kid = F.when(c("_asks"), F.try_element_at(F.filter("_kids", fits), F.lit(1)))
-        return df.withColumn("_new", kid).drop("_kids", "_p")
+    meets one bounded row per level, never the history, and all levels wanted share the way up. A search carries its place only (time, node, level) and,
+    when it is not asking, a key of its own that no node has, so those spread."""
+    depth, own = len(tree), F.unix_micros(c(at).cast("timestamp"))
+    ts_type, ids = tree[0].schema["_kids"].dataType.elementType["ts"].dataType, range(len(wanted))
+    levels = [level for _, level in wanted.values()]
+    df = searches.withColumns({f"_up{i}": up for i, (up, _) in enumerate(wanted.values())})
+    df = df.withColumns({x: v for i in ids for x, v in ((f"_t{i}", F.lit(None).cast(ts_type)), (f"_id{i}", F.lit(None).cast("long")), (f"_at{i}", F.lit(0)))})
+    idle = -1 - F.pmod(F.xxhash64(own, *levels), F.lit(1 << 30))
+
+    def touches(i: int):
+        return lambda k: F.when(c(f"_up{i}"), k["hi"] >= levels[i]).otherwise(k["lo"] <= levels[i])
+
+    def ask(df: DataFrame, n: int, asking: dict[int, Column], node: Column, fits) -> DataFrame:
+        any_asks = F.lit(False)
+        for x in asking.values():
+            any_asks = any_asks | x
+        df = df.withColumn("_p", F.when(any_asks, node).otherwise(idle)).join(tree[n - 1], ["ticker", "_p"], "left")
+        df = df.withColumns({f"_new{i}": F.when(x, F.try_element_at(F.filter("_kids", fits(i)), F.lit(1))) for i, x in asking.items()}).drop("_kids", "_p")
+        found = {i: c(f"_new{i}").isNotNull() for i in asking}
+        return df.withColumns({x: v for i in asking for x, v in (
+            (f"_t{i}", F.when(found[i], c(f"_new{i}.ts")).otherwise(c(f"_t{i}"))), (f"_id{i}", F.when(found[i], c(f"_new{i}.id")).otherwise(c(f"_id{i}"))),
+            (f"_at{i}", F.when(found[i], F.lit(n)).otherwise(c(f"_at{i}"))))}).drop(*[f"_new{i}" for i in asking])
 
     for n in range(1, depth + 1):
-        here = c("_own") if n == 1 else _clock(at, interval_s * FANOUT ** (n - 1))
+        here = own if n == 1 else _clock(at, interval_s * FANOUT ** (n - 1))
         later = (lambda k: k["id"] >= here) if n == 1 and inclusive else (lambda k: k["id"] > here)
-        df = ask(df, n, c("_kid").isNull() & c("_own").isNotNull(), _clock(at, interval_s * FANOUT ** n), lambda k: later(k) & touches(k))
-        df = df.withColumns({"_at": F.when(c("_new").isNotNull(), F.lit(n)).otherwise(c("_at")), "_kid": F.coalesce("_kid", "_new")}).drop("_new", "_asks")
+        df = ask(df, n, {i: (c(f"_at{i}") == 0) & c(at).isNotNull() for i in ids}, _clock(at, interval_s * FANOUT ** n), lambda i: lambda k: later(k) & touches(i)(k))
     for n in range(depth - 1, 0, -1):
-        df = ask(df, n, c("_at") == n + 1, c("_kid.id"), touches)
-        df = df.withColumns({"_kid": F.when(c("_asks"), c("_new")).otherwise(c("_kid")), "_at": F.when(c("_asks"), F.lit(n)).otherwise(c("_at"))}).drop("_new", "_asks")
-    return df.withColumn(out, c("_kid.ts")).drop("_up", "_level", "_own", "_kid", "_at")
+        for i in ids:
+            df = ask(df, n, {i: c(f"_at{i}") == n + 1}, c(f"_id{i}"), touches)
+    df = df.withColumns({out: c(f"_t{i}") for i, out in enumerate(wanted)})
+    return df.drop(*[f"{x}{i}" for i in ids for x in ("_up", "_t", "_id", "_at")])
 
 
 def latest_rows(df: DataFrame, keep: list[str]) -> DataFrame:

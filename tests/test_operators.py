@@ -243,3 +243,18 @@ def test_quantiles_with_ties(spark, n):
     x = np.where(np.arange(n) % 10 == 0, np.random.default_rng(n).normal(size=n), 0.0)
     got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"k": "a", "x": x})), ["k"], "x", {"p3": 0.3, "p50": 0.5, "p97": 0.97}).collect()[0]
     assert np.allclose([got.p3, got.p50, got.p97], np.quantile(x, [0.3, 0.5, 0.97]), atol=1e-12)
+
+
+def test_first_touches_share_a_short_tree(spark):
+    """The tree ends at one node per ticker, and two levels are searched in one way up: same as the bars read one by one."""
+    rng = np.random.default_rng(11)
+    x = 100 + np.cumsum(rng.normal(0, 1, 700))
+    bars = spark.createDataFrame(bars_of([(v, v + 1, v - 1, v) for v in x]))
+    tree = J.touch_tree(bars, S.DAY)
+    assert len(tree) == 2
+    s = bars.withColumns({"hi": c("close") + 6, "lo": c("close") - 6})
+    got = J.first_touches(s, tree, "ts", {"a": (F.lit(True), c("hi")), "b": (F.lit(False), c("lo"))}).orderBy("ts").collect()
+    day = [r.ts for r in got]
+    for i, r in enumerate(got):
+        assert r.a == next((day[j] for j in range(i + 1, len(x)) if x[j] + 1 >= r.hi), None)
+        assert r.b == next((day[j] for j in range(i + 1, len(x)) if x[j] - 1 <= r.lo), None)
