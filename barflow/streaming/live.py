@@ -265,10 +265,15 @@ def evaluate_predictions(preds: DataFrame, bars: DataFrame, horizon: str = "1 ho
                          keep: tuple[str, ...] = ()) -> DataFrame:
     """Predictions (ticker, ts, price, ``keep``) against the bars from their time + horizon to + slack, as an outer interval join: one row ``evaluated`` per bar
     met, and one ``expired`` when the watermark has passed the interval without any. A prediction that is in neither is still pending
-    (``lifecycle``); the state of both sides ends with the watermark."""
-    p = preds.withWatermark("ts", late).select(c("ticker").alias("p_ticker"), c("ts").alias("p_ts"), "price", *keep)
-    b = bars.withWatermark("ts", late).select("ticker", "ts", "close")
-    on = F.expr(f"ticker = p_ticker AND ts >= p_ts + INTERVAL {horizon} AND ts < p_ts + INTERVAL {horizon} + INTERVAL {slack}")
+    (``lifecycle``); the state of both sides ends with the watermark.
+
+    Both sides meet by ticker and stretch of the clock as long as the slack: an interval begins in one stretch and ends in it or the next, so a bar
+    goes to its own stretch and the one before, and a prediction to one. Rows of a ticker spread over tasks and meet near ones only."""
+    step = pd.Timedelta(slack).value // 1000
+    slot = lambda x, off=0: F.floor((F.unix_micros(x) + off) / step)
+    p = preds.withWatermark("ts", late).select(c("ticker").alias("p_ticker"), c("ts").alias("p_ts"), slot("ts", pd.Timedelta(horizon).value // 1000).alias("p_slot"), "price", *keep)
+    b = bars.withWatermark("ts", late).select("ticker", "ts", "close", F.explode(F.array(slot("ts"), slot("ts") - 1)).alias("slot"))
+    on = F.expr(f"ticker = p_ticker AND slot = p_slot AND ts >= p_ts + INTERVAL {horizon} AND ts < p_ts + INTERVAL {horizon} + INTERVAL {slack}")
     return p.join(b, on, "leftOuter").select(
         c("p_ticker").alias("ticker"), "p_ts", *keep, "ts", (div(c("close") - c("price"), c("price")) * 100).alias("actual_pct"),
         F.when(c("ts").isNull(), "expired").otherwise("evaluated").alias("status"))

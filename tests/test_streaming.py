@@ -89,3 +89,15 @@ def test_carried_mean():
         y += 0.1 * (v - y)
         out.append(y)
     assert L.carried_mean(x, 2.0, 0.1) == pytest.approx(np.array(out))
+
+
+def test_predictions_meet_bars_by_stretches_of_the_clock(spark, tmp_path):
+    """An interval that lies in two stretches finds the bars of both, once each; the join is not by ticker alone."""
+    p_in, b_in = str(tmp_path / "p"), str(tmp_path / "b")
+    ps = feed(spark, p_in, [("A", at(0.1), 100.0, 1)], ["ticker", "ts", "price", "id"])
+    bs = feed(spark, b_in, [("A", at(h), v) for h, v in ((1.09, 1.0), (1.1, 101.0), (1.24, 102.0), (1.26, 103.0), (1.34, 104.0), (1.35, 1.0), (9.0, 1.0))], ["ticker", "ts", "close"])
+    read = lambda s, f: spark.readStream.schema(s).parquet(f)
+    j = L.evaluate_predictions(read(ps, p_in), read(bs, b_in), keep=("id",))
+    assert "slot" in j._jdf.queryExecution().analyzed().toString()
+    out = L.run_to_files(j, str(tmp_path / "out"))
+    assert sorted(round(r.actual_pct, 6) for r in out.collect()) == [1.0, 2.0, 3.0, 4.0]
