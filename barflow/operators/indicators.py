@@ -200,9 +200,15 @@ def add_trend_align(df: DataFrame) -> DataFrame:
 
 
 def add_slopes(df: DataFrame, n: int = 5) -> DataFrame:
-    """Least-squares slope of close and OBV over the last n bars; divergence where they have opposite signs."""
+    """Least-squares slope of close and OBV over the last n bars; divergence where they have opposite signs.
+
+    Bars are evenly spaced, so a slope is a weighted sum with whole weights: that of whole numbers (OBV) which balance is 0, where a regression leaves noise."""
     def slope(x: str) -> Column:
-        return F.when(F.count(x).over(S.w(n)) == n, F.regr_slope(c(x), c(S.POS).cast("double")).over(S.w(n)))
+        total = F.lit(0.0)
+        for k in range(n - 1, -1, -1):
+            if n - 1 - 2 * k:
+                total = total + (n - 1 - 2 * k) * (S.lag(x, k) if k else c(x))
+        return total / (n * (n * n - 1) / 6)
     df = df.withColumns({"price_slope": slope("close"), "obv_slope": slope("obv")})
     return df.withColumn("divergence", pick(((c("obv_slope") > 0) & (c("price_slope") < 0), "bullish"),
                                             ((c("obv_slope") < 0) & (c("price_slope") > 0), "bearish"), default="none"))

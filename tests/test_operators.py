@@ -258,3 +258,14 @@ def test_first_touches_share_a_short_tree(spark):
     for i, r in enumerate(got):
         assert r.a == next((day[j] for j in range(i + 1, len(x)) if x[j] + 1 >= r.hi), None)
         assert r.b == next((day[j] for j in range(i + 1, len(x)) if x[j] - 1 <= r.lo), None)
+
+
+def test_slope_of_a_balanced_obv_is_zero(spark):
+    rng = np.random.default_rng(3)
+    obv, x = rng.integers(-60, 60, 4000) * 1000 + 7, 50 + np.cumsum(rng.normal(0, 1, 4000))
+    df = bars_of([(v, v, v, v) for v in x]).assign(obv=obv.astype(float))
+    got = S.unblock(I.add_slopes(S.blocked(spark.createDataFrame(df)))).orderBy("ts").toPandas()
+    weighted = -2 * obv[:-4] - obv[1:-3] + obv[3:-1] + 2 * obv[4:]
+    assert (weighted == 0).sum() >= 5 and got.obv_slope[:4].isna().all() and got.price_slope[:4].isna().all()
+    assert (np.sign(got.obv_slope[4:].to_numpy()) == np.sign(weighted)).all()
+    assert np.allclose(got.obv_slope[4:], weighted / 10) and np.allclose(got.price_slope[4:], [np.polyfit(range(5), x[i:i + 5], 1)[0] for i in range(len(x) - 4)])
