@@ -66,6 +66,11 @@ class Usual:
         return new <= self.known
 
 
+def roomy(x: np.ndarray, size: int) -> np.ndarray:
+    """``x``, or where it is shorter than ``size`` a copy with room for half as much again."""
+    return x if len(x) >= size else np.concatenate([x, np.zeros(size + size // 2 - len(x), x.dtype)])
+
+
 class Coder:
     """Encoder of one worker. ``definition``: text of a ``tokenizers`` file whose pieces are the matches of ``pattern``. Added tokens
     that occur in a text stand for themselves, as the library treats them by default."""
@@ -85,15 +90,18 @@ class Coder:
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.part = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")").split if self.added else None
         self.dtype = np.dtype("<u2" if max([self.library.get_vocab_size(), *self.added.values()]) < 65536 else "<u4")
+        vocabulary = self.library.get_vocab()
+        self.widths = np.zeros(max([*vocabulary.values(), *self.added.values()]) + 1, np.int64)      # bytes of each token, which a character stands for each
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
         self._forget()
 
     def _forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.chars = 0
-        self.n_ids = np.zeros(0, np.int64)          # per piece
-        self.first = np.zeros(1, np.int64)          # of a piece in the list of ids
-        self.ids = np.zeros(0, self.dtype)
-        self.met = np.zeros(0, np.int64)            # how often a piece was looked up
+        self.chars = self.total = 0                 # in all pieces; ids of all pieces
+        self.n_ids = np.zeros(1024, np.int64)       # per piece; these arrays have room to spare
+        self.first = np.zeros(1024, np.int64)       # of a piece in the list of ids
+        self.ids = np.zeros(1024, self.dtype)
+        self.met = np.zeros(1024, np.int64)         # how often a piece was looked up
 
     def _keep_common(self) -> None:
         """Keep what was met most, a quarter of the room at most; codes handed out before are void."""
@@ -104,23 +112,37 @@ class Coder:
         self._forget()
         self._add(pieces)
 
+    def _apart(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many of each). The library is asked for ids only, which costs a third less than ids with their pieces; the widths of the tokens tell
+        where a piece ends. Where they don't add up (a byte without a token), it is asked for both."""
+        if not plain:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        ids = np.array(self.one_piece.encode_batch_fast([plain], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)     # one call, pieces apart
+        ends, wanted = np.cumsum(self.widths[ids]), np.cumsum(np.fromiter((len(p.encode()) for p in plain), np.int64, len(plain)))
+        last = np.searchsorted(ends, wanted)
+        if len(ends) and ends[-1] == wanted[-1] and (ends[last] == wanted).all():
+            return ids, np.diff(last, prepend=-1)
+        got = self.one_piece.encode(plain, is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, self.dtype), np.bincount(np.array(got.word_ids, np.int64), minlength=len(plain))
+
     def _add(self, new: list[str]) -> None:
         if not new:
             return
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        had = len(self.code)
+        self.code.update(zip(new, range(had, had + len(new))))
         self.chars += sum(map(len, new))
         plain = [p for p in new if p not in self.added]
-        got = self.one_piece.encode(plain, is_pretokenized=True, add_special_tokens=False)      # one call, pieces apart
-        ids, n = np.array(got.ids, self.dtype), np.bincount(np.array(got.word_ids, np.int64), minlength=len(plain))
+        ids, n = self._apart(plain)
         if len(plain) < len(new):
             where, at = np.cumsum(n) - n, np.array([i for i, p in enumerate(new) if p in self.added])
             before = at - np.arange(len(at))        # plain pieces ahead of each added token
             ids = np.insert(ids, np.append(where, len(ids))[before], [self.added[new[i]] for i in at])
             n = np.insert(n, before, 1)
-        self.n_ids = np.concatenate([self.n_ids, n])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
-        self.ids = np.concatenate([self.ids, ids])
-        self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.n_ids, self.first, self.met = (roomy(x, had + len(n)) for x in (self.n_ids, self.first, self.met))
+        self.ids = roomy(self.ids, self.total + len(ids))
+        self.n_ids[had:had + len(n)], self.first[had:had + len(n)] = n, self.total + np.cumsum(n) - n
+        self.ids[self.total:self.total + len(ids)] = ids
+        self.total += len(ids)
 
     def split(self, text: str) -> list[str]:
         if self.split_ascii and text.isascii():
@@ -146,7 +168,7 @@ class Coder:
             self._add(list(dict.fromkeys(unknown)))
             codes[missing] = np.fromiter(map(self.code.__getitem__, unknown), np.int64, len(unknown))
         if len(codes) > 1000:
-            self.met += np.bincount(codes, minlength=len(self.met))
+            np.add.at(self.met, codes, 1)
         return codes
 
     def gather(self, codes: np.ndarray) -> np.ndarray:

@@ -211,6 +211,32 @@ def test_pieces_are_the_librarys(library):
         assert c.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+class IdsOnly:
+    """A library that gives ids, and not the pieces they belong to."""
+
+    def __init__(self, library):
+        self.encode_batch_fast = library.encode_batch_fast
+
+
+def test_new_pieces_are_told_apart_by_the_widths_of_their_tokens():
+    c, plain = bpe.Coder(JSON, P.PATTERN), bpe.Coder(JSON, P.PATTERN)
+    texts = ["Été à Zürich, 12 500 €  and\n\n more", "naïve 😀😀 \u3000x\x00y", "<|endoftext|> a<|endoftext|>b", "", " "] + [f"w{i}ñ {i * i}" for i in range(3000)]
+    slow = [[plain.one_piece.encode([p], is_pretokenized=True, add_special_tokens=False).ids if p not in c.added else [c.added[p]] for p in plain.pieces(t)] for t in texts]
+    c.one_piece = IdsOnly(c.one_piece)
+    assert [c.counts(c.pieces(t)).tolist() for t in texts] == [list(map(len, x)) for x in slow]
+    assert [c.encode(t).tolist() for t in texts] == [[i for x in y for i in x] for y in slow]
+
+
+def test_pieces_with_bytes_that_have_no_token():
+    import json
+    d = json.loads(JSON)
+    lost = {d["model"]["vocab"].pop("q")}
+    d["model"]["merges"] = [m for m in d["model"]["merges"] if "q" not in "".join(m)]
+    d["model"]["vocab"] = {k: v for k, v in d["model"]["vocab"].items() if "q" not in k or v in lost}
+    c = bpe.Coder(json.dumps(d), P.PATTERN)
+    assert [len(c.encode(t)) for t in ("aq b", "qq", "b")] == [len(c.library.encode(t, add_special_tokens=False).ids) for t in ("aq b", "qq", "b")]
+
+
 def test_coder_forgets(monkeypatch, library):
     monkeypatch.setattr(bpe, "MAX_PIECES", 50)
     c = bpe.Coder(JSON, P.PATTERN)
