@@ -101,15 +101,15 @@ class _Bar:
 
     def __init__(self, k: int):
         def at(x):
-            return S.lag(x, k) if k else c(x)
+            return c(f"_{x}_{k}")
         self.o, self.h, self.l, self.c = at("open"), at("high"), at("low"), at("close")
-        self.body, self.up, self.dn = at("body_abs"), at("upper"), at("lower")
-        self.rng = self.h - self.l
-        self.long, self.short = self.body > at("_avg_body"), self.body < at("_avg_body")
-        self.doji = self.body <= at("_doji")
-        self.near, self.equal, self.far = at("_near"), at("_equal"), at("_far")
-        self.no_up, self.no_dn = self.up < at("_tiny"), self.dn < at("_tiny")
-        self.short_up, self.short_dn = self.up < at("_half_shadow"), self.dn < at("_half_shadow")
+        self.body, self.up, self.dn, self.rng = at("body"), at("upper"), at("lower"), at("rng")
+        self.long, self.short = self.body > at("avg_body"), self.body < at("avg_body")
+        self.doji = self.body <= 0.1 * at("rng10")
+        self.near, self.equal, self.far = 0.2 * at("rng5"), 0.05 * at("rng5"), 0.6 * at("rng5")
+        tiny, half_shadow = 0.1 * at("rng10"), at("shadow10") / 2
+        self.no_up, self.no_dn = self.up < tiny, self.dn < tiny
+        self.short_up, self.short_dn = self.up < half_shadow, self.dn < half_shadow
         self.long_up, self.long_dn = self.up > self.body, self.dn > self.body
         self.very_long_up, self.very_long_dn = self.up > 2 * self.body, self.dn > 2 * self.body
         self.white, self.black = self.c >= self.o, self.c < self.o
@@ -117,12 +117,24 @@ class _Bar:
 
 
 def add_candle_averages(df: DataFrame) -> DataFrame:
-    df = add_shape(df).withColumns({"_rng": c("high") - c("low"), "_shadow": c("upper") + c("lower")})
+    df = add_shape(df)
     ten, five = S.w(10, 1), S.w(5, 1)
-    rng10, rng5 = F.avg("_rng").over(ten), F.avg("_rng").over(five)
-    return df.withColumns({"_avg_body": F.avg("body_abs").over(ten), "_doji": 0.1 * rng10, "_tiny": 0.1 * rng10,
-                           "_half_shadow": F.avg("_shadow").over(ten) / 2,
-                           "_near": 0.2 * rng5, "_equal": 0.05 * rng5, "_far": 0.6 * rng5}).drop("_rng", "_shadow")
+    return df.withColumns({"avg_body": F.avg("body_abs").over(ten), "rng10": F.avg(c("high") - c("low")).over(ten),
+                           "shadow10": F.avg(c("upper") + c("lower")).over(ten), "rng5": F.avg(c("high") - c("low")).over(five)})
+
+
+_PRICES, _AVERAGES = ("open", "high", "low", "close"), ("avg_body", "rng10", "shadow10", "rng5")
+
+
+def add_earlier_bars(df: DataFrame, back: int = 4) -> DataFrame:
+    """The values of the current bar and of ``back`` bars before it as columns that all flags share. A window function inside each flag would be evaluated
+    once per mention, which were 743 for the library; here it is one per value and bar."""
+    df = df.withColumns({**{f"_{x}_{k}": S.lag(x, k) if k else c(x) for k in range(back + 1) for x in _PRICES + _AVERAGES}, "_close_5": S.lag("close", 5)})
+    shape = {}
+    for k in range(back + 1):
+        o, h, lo, x = (c(f"_{p}_{k}") for p in _PRICES)
+        shape |= {f"_body_{k}": F.abs(x - o), f"_upper_{k}": h - F.greatest(o, x), f"_lower_{k}": F.least(o, x) - lo, f"_rng_{k}": h - lo}
+    return df.withColumns(shape)
 
 
 def _gap_up(a: _Bar, b: _Bar) -> Column:
@@ -142,7 +154,7 @@ def single_bar_flags() -> dict[str, Column]:
     b = _Bar(0)
     p = _Bar(1)
     small = b.body < 0.3 * b.rng
-    downtrend, uptrend = c("close") < S.lag("close", 5), c("close") > S.lag("close", 5)
+    downtrend, uptrend = c("close") < c("_close_5"), c("close") > c("_close_5")
     sign = pick((b.white, 1), default=-1)
 
     def signed(cond):
@@ -264,7 +276,8 @@ def three_bar_flags() -> dict[str, Column]:
 
 def many_bar_flags() -> dict[str, Column]:
     z, a, b, d, e = _Bar(4), _Bar(3), _Bar(2), _Bar(1), _Bar(0)
-    small3 = a.short & b.short & d.short
+    # A lambda keeps the projection of the flags out of whole-stage code: as one method it is too large for the JVM to compile, outside it is cut up.
+    small3 = F.forall(F.array(a.short, b.short, d.short), lambda x: x)
     held_up = (F.least(a.bottom, b.bottom, d.bottom) > z.l) & (F.greatest(a.top, b.top, d.top) < z.h)
     strike_up = a.white & b.white & d.white & (b.c > a.c) & (d.c > b.c) & e.black & (e.o > d.c) & (e.c < a.o)
     strike_dn = a.black & b.black & d.black & (b.c < a.c) & (d.c < b.c) & e.white & (e.o < d.c) & (e.c > a.o)
@@ -292,10 +305,11 @@ def many_bar_flags() -> dict[str, Column]:
 
 def candle_library(df: DataFrame) -> DataFrame:
     """All library flags (1, -1 or 0) on a blocked series, in one window pass."""
-    df = add_candle_averages(df)
+    names = df.columns
+    df = add_earlier_bars(add_candle_averages(df))
     flags = {**single_bar_flags(), **two_bar_flags(), **three_bar_flags(), **many_bar_flags()}
     ready = c(S.POS) >= 14
-    return df.withColumns({k: F.coalesce(F.when(ready, v), F.lit(0)) for k, v in flags.items()})
+    return df.select(*names, *[F.coalesce(F.when(ready, v), F.lit(0)).alias(k) for k, v in flags.items()])
 
 
 def library_names() -> list[str]:
@@ -305,6 +319,5 @@ def library_names() -> list[str]:
 def library_events(df: DataFrame) -> DataFrame:
     """(ticker, ts, pattern, value) for every non-zero library flag."""
     names = library_names()
-    pairs = F.array(*[F.struct(F.lit(n).alias("pattern"), c(n).alias("value")) for n in names])
-    return df.select("ticker", "ts", "close", "high", "low", F.explode(F.filter(pairs, lambda x: x["value"] != 0)).alias("e")) \
-        .select("ticker", "ts", "e.pattern", "e.value", F.col("close").alias("price"), "high", "low")
+    rows = df.select("ticker", "ts", "close", "high", "low", F.posexplode(F.array(*[c(n) for n in names])).alias("_i", "value")).filter(c("value") != 0)
+    return rows.select("ticker", "ts", F.element_at(F.array(*[F.lit(n) for n in names]), c("_i") + 1).alias("pattern"), "value", c("close").alias("price"), "high", "low")
