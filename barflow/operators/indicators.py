@@ -61,13 +61,16 @@ def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adj
 
 def add_bollinger(df: DataFrame, n: int = 20, k: float = 2.0, ddof: int = 1, prefix: str = "bb") -> DataFrame:
     df = df.withColumns({f"{prefix}_mid": S.mean(c("close"), n), "_sd": S.std(c("close"), n, ddof)})
-    df = df.withColumns({f"{prefix}_up": c(f"{prefix}_mid") + k * c("_sd"),
-                         f"{prefix}_lo": c(f"{prefix}_mid") - k * c("_sd"),
-                         f"{prefix}_z": div(c("close") - c(f"{prefix}_mid"), c("_sd"))})
+    edges, places = bands(c(f"{prefix}_mid"), c("_sd"), k, prefix)
+    return df.withColumns(edges).withColumns(places).drop("_sd")
+
+
+def bands(mid: Column, sd: Column, k: float, prefix: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Bollinger bands k deviations from the middle, then what is measured against them."""
     up, lo = c(f"{prefix}_up"), c(f"{prefix}_lo")
-    return df.withColumns({f"{prefix}_width": div(up - lo, c(f"{prefix}_mid")),
-                           f"{prefix}_pos": div(c("close") - lo, up - lo),
-                           f"{prefix}_pierce": flag((c("close") > up) | (c("close") < lo))}).drop("_sd")
+    return ({f"{prefix}_up": mid + k * sd, f"{prefix}_lo": mid - k * sd, f"{prefix}_z": div(c("close") - mid, sd)},
+            {f"{prefix}_width": div(up - lo, mid), f"{prefix}_pos": div(c("close") - lo, up - lo),
+             f"{prefix}_pierce": flag((c("close") > up) | (c("close") < lo))})
 
 
 def add_stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
@@ -183,11 +186,16 @@ def add_cci(df: DataFrame, n: int = 20) -> DataFrame:
 
 def add_range_position(df: DataFrame, n: int = 20) -> DataFrame:
     df = df.withColumns({"support": S.full(F.min("low"), c("low"), n), "resistance": S.full(F.max("high"), c("high"), n)})
-    return df.withColumns({
+    return df.withColumns(range_places())
+
+
+def range_places() -> dict[str, Column]:
+    """Where the close stands between support and resistance and in its own bar; both ranges as shares of it."""
+    return {
         "range_pos": div(c("close") - c("support"), c("resistance") - c("support")),
         "range_rel": div(c("resistance") - c("support"), c("close")),
         "close_pos": div(c("close") - c("low"), c("high") - c("low")),
-        "spread": div(c("high") - c("low"), c("close"))})
+        "spread": div(c("high") - c("low"), c("close"))}
 
 
 def add_trend_align(df: DataFrame) -> DataFrame:
