@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barflow.functions.scalar import div, flag, pick
-from barflow.operators import indicators as I, series as S
+from barflow.operators import frames, indicators as I, series as S
 from barflow.operators.salting import salted_join
 from barflow.operators.scanners import limit_per_period
 
@@ -39,21 +39,21 @@ def extreme_reversion(bars: DataFrame, interval_s: int = 900, per_day: int = 1,
     """Four of five conditions far from the mean, three-sigma touch, wide-range fade; confidence of at least 0.7;
     at most ``per_day`` a day and ``per_week`` an ISO week."""
     df = I.add_change(S.blocked(bars, interval_s))
-    df = I.add_cci(I.add_rsi_wilder(df, 14), 20)
-    df = I.add_bollinger(I.add_bollinger(df, 20, 2.0, 0, "b2"), 20, 3.0, 0, "b3")
-    df = I.add_range_position(df, 20)
-    df = df.withColumns({"sma20": S.mean(c("close"), 20), "sma50": S.mean(c("close"), 50), "volatility": S.std(c("ret"), 20),
-                         "volume_ratio": div(c("volume"), S.mean(c("volume"), 50)), "p_close_pos": S.lag("close_pos")})
-    df = I.add_percent_rank(df, "volatility", 100, "vol_rank")
-    df = df.withColumns({"d20": div(c("close") - c("sma20"), c("sma20")), "d50": div(c("close") - c("sma50"), c("sma50")),
-                         "_rv": F.max("volatility").over(S.w(5, 1)), "_av": F.avg("volatility").over(S.w(45, 6))})
+    df, w14 = df.withColumn("_tp", I.typical()), S.wilder(14)
+    edges2, edges3 = (I.bands(c("sma20"), c("_sd"), k, x)[0] for k, x in ((2.0, "b2"), (3.0, "b3")))
+    df = frames.add(
+        df.drop("pc", "tr", "open"),
+        {"_up": ("ewm", I.gain(), w14), "_dn": ("ewm", I.loss(), w14), "sma20": ("mean", "close", 20), "_sd": ("std_pop", "close", 20), "sma50": ("mean", "close", 50), "volatility": ("std", "ret", 20),
+         "_v50": ("mean", "volume", 50), "support": ("min", "low", 20), "resistance": ("max", "high", 20), "_tp_mean": ("mean", "_tp", 20),
+         "_tp_mad": ("mad", "_tp", 20), "p_close_pos": ("lag", I.range_places()["close_pos"], 1)},
+        {"rsi": I.rsi_of(c("_up"), c("_dn")), "volume_ratio": div(c("volume"), c("_v50")), "cci": div(c("_tp") - c("_tp_mean"), 0.015 * c("_tp_mad")), **edges2, **edges3, **I.range_places(),
+         "d20": div(c("close") - c("sma20"), c("sma20")), "d50": div(c("close") - c("sma50"), c("sma50"))},
+        ["high", "low", "_up", "_dn", "_tp", "_tp_mean", "_tp_mad", "_v50", "_sd", "d", "ret", "sma50", "sma20", "support", "resistance", "b2_z", "b3_z", "volume"],
+        {"vol_rank": ("rank", "volatility", 100), "_rv": ("some_max", "volatility", 5, 1), "_av": ("some_mean", "volatility", 45, 6)})
     d, rsi, rp, vr = c("d20"), c("rsi"), c("range_pos"), c("volume_ratio")
 
-    def total(*conds):
-        out = F.lit(0)
-        for x in conds:
-            out = out + flag(x)
-        return out
+    def total(*conds):      # a lambda keeps the projection out of whole-stage code, where it is a method too large for the JVM to compile
+        return F.size(F.filter(F.array(*conds), lambda x: x))
     over = total(rsi > 70, c("cci") > 100, c("close") > c("b2_up"), rp > 0.9, c("spread") < spread_max)
     under = total(rsi < 30, c("cci") < -100, c("close") < c("b2_lo"), rp < 0.1, c("spread") < spread_max)
     aligned = ((d > 0) & (c("d50") > 0)) | ((d < 0) & (c("d50") < 0))
