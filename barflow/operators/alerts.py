@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from barflow.functions.scalar import div, pick
-from barflow.operators import indicators as I, series as S
+from barflow.functions.scalar import div, flag, pick
+from barflow.operators import candles as K, frames, indicators as I, series as S
 
 c = F.col
 
@@ -15,16 +15,42 @@ FAST = ["high", "close", "volume", "p_high", "p_volume", "ema_24", "rsi_14", "vo
         "obv_delta", "obv_slope", "price_slope", "obv_slope3", "bars"]
 
 
+_BEFORE = {f"_p_{x}": ("lag", x, 1) for x in ("open", "high", "low")}
+
+
+def _flags() -> dict[str, Column]:
+    return K.reversal_flags(c("_p_open"), c("_p_high"), c("_p_low"), c("pc"))
+
+
 def slow_features(bars: DataFrame, interval_s: int = S.DAY) -> DataFrame:
-    df = I.daily_bundle(bars, interval_s, obv=False)
-    df = df.withColumns({"p_ema_20": S.lag("ema_20"), "p_ema_50": S.lag("ema_50"), "range_5": F.avg("bar_range").over(S.w(5)),
-                         "range_20": F.avg("bar_range").over(S.w(20)), "bars": c(S.POS) + 1})
+    """What the rules read of the slow bars: values of ``indicators.daily_bundle`` in one pass over the sorted rows."""
+    w14 = S.wilder(14)
+    df = I.add_change(S.blocked(bars, interval_s)).withColumn("bar_range", c("high") - c("low"))
+    up, lo = c("bb_mid") + 2 * c("_sd"), c("bb_mid") - 2 * c("_sd")
+    df = frames.add(
+        df.drop("ret"),
+        {**_BEFORE, **{f"ema_{n}": ("ewm", "close", S.span(n)) for n in (20, 50)}, **{f"p_ema_{n}": ("ewm", "close", S.span(n), 1) for n in (20, 50)},
+         "_up": ("ewm", I.gain(), w14), "_dn": ("ewm", I.loss(), w14), "atr_14": ("ewm", "tr", w14), "sma_50": ("some_mean", "close", 50), "sma_200": ("some_mean", "close", 200),
+         "_v20": ("some_mean", "volume", 20), "bb_mid": ("mean", "close", 20), "_sd": ("std_pop", "close", 20), "high_52w": ("some_max", "high", 252),
+         "_nr7": ("min", "bar_range", 7), "range_5": ("some_mean", "bar_range", 5), "range_20": ("some_mean", "bar_range", 20)},
+        {"rsi_14": I.rsi_of(c("_up"), c("_dn")), "bb_lo": lo, "bb_pos": div(c("close") - lo, up - lo), "nr7": flag(c("bar_range") == c("_nr7")),
+         "volume_spike": div(c("volume"), c("_v20")), "gap_pct": F.coalesce(div(c("open") - c("pc"), c("pc")) * 100, F.lit(0.0)), **_flags(), "bars": c(S.POS) + 1})
     return S.unblock(df).select("ticker", "ts", *SLOW)
 
 
 def fast_features(bars: DataFrame, interval_s: int = 3600) -> DataFrame:
-    df = I.add_slopes(I.hourly_bundle(bars, interval_s))
-    df = df.withColumns({"p_high": S.lag("high"), "p_volume": S.lag("volume"), "bars": c(S.POS) + 1})
+    """What the rules read of the fast bars, in one pass over the sorted rows. The rules look at changes of OBV only, and these are sums of its last steps: the
+    level, which needs the totals of all blocks before, is not asked for."""
+    w14 = S.wilder(14)
+    df = I.add_change(S.blocked(bars, interval_s)).withColumn("_s0", F.coalesce(F.signum(c("d")), F.lit(0.0)) * c("volume"))
+    price = (-4 * c("_c4") + -2 * c("_c3") + 2 * c("pc") + 4 * c("close")) / 20
+    df = frames.add(
+        df.drop("ret", "tr"),
+        {**_BEFORE, "p_volume": ("lag", "volume", 1), "ema_24": ("ewm", "close", S.span(24)), "_up": ("ewm", I.gain(), w14), "_dn": ("ewm", I.loss(), w14),
+         "_v24": ("some_mean", "volume", 24), **{f"_s{k}": ("lag", "_s0", k) for k in (1, 2, 3)}, **{f"_c{k}": ("lag", "close", k) for k in (3, 4)}},
+        {"p_high": c("_p_high"), "rsi_14": I.rsi_of(c("_up"), c("_dn")), "volume_spike": div(c("volume"), c("_v24")), "price_slope": price,
+         "obv_delta": F.when(c(S.POS) >= 1, c("_s0")), "obv_slope3": F.when(c(S.POS) >= 2, (c("_s0") + c("_s1")) / 2),
+         "obv_slope": F.when(c(S.POS) >= 4, (4 * c("_s0") + 6 * c("_s1") + 6 * c("_s2") + 4 * c("_s3")) / 20), **_flags(), "bars": c(S.POS) + 1})
     return S.unblock(df).select("ticker", "ts", *FAST)
 
 

@@ -19,16 +19,20 @@ def add_shape(df: DataFrame) -> DataFrame:
 
 def add_reversal_flags(df: DataFrame) -> DataFrame:
     """inside_bar, hammer (2 x body below, half a body above) and strict engulfing (1 bullish, -1 bearish, 0)."""
-    po, pc_ = S.lag("open"), S.lag("close")
+    return df.withColumns(reversal_flags(*[S.lag(x) for x in ("open", "high", "low", "close")]))
+
+
+def reversal_flags(po: Column, ph: Column, pl: Column, pc_: Column) -> dict[str, Column]:
+    """The flags of ``add_reversal_flags`` from the prices of the bar before."""
     body = F.abs(c("close") - c("open"))
     lower = F.least(c("open"), c("close")) - c("low")
     upper = c("high") - F.greatest(c("open"), c("close"))
     bull = (c("close") > c("open")) & (pc_ < po) & (c("close") > po) & (c("open") < pc_)
     bear = (c("close") < c("open")) & (pc_ > po) & (c("close") < po) & (c("open") > pc_)
-    return df.withColumns({
-        "inside_bar": flag((c("high") <= S.lag("high")) & (c("low") >= S.lag("low"))),
+    return {
+        "inside_bar": flag((c("high") <= ph) & (c("low") >= pl)),
         "hammer": flag((lower > 2 * body) & (upper < 0.5 * body)),
-        "engulfing": pick((bull, 1), (bear, -1), default=0)})
+        "engulfing": pick((bull, 1), (bear, -1), default=0)}
 
 
 def add_daily_candles(df: DataFrame) -> DataFrame:
