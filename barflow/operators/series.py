@@ -10,7 +10,9 @@ of ``bucket_rows`` intervals holds at most ``bucket_rows`` bars of a ticker.  Th
 counted (map-side combined), summed up along the buckets of each ticker (a small table) and joined back.
 
 A table that is small as a whole (by the optimizer's size estimate, checked at plan time like a broadcast) cannot
-hold a long series: it skips the counting and is one block per ticker.
+hold a long series: it skips the counting and is one block per ticker. So does a table whose clock is known to be short (``spanned``): bars
+``interval_s`` apart fit a block if the whole table's first and last time are no more than ``block_rows`` intervals apart. Cutting costs a second
+shuffle of the bars and whatever is carried over blocks reads them again.
 
 Either way ``halo`` and ``ahead`` bind: ``unblock`` raises when a window over the blocks reaches further, and so does a recurrence
 that needs more than ``halo`` bars to forget its start. A look-back too long for the cut is an error, never a different number.
@@ -35,6 +37,7 @@ BUCKET_ROWS = 256
 SMALL_BYTES = 32 << 20
 TASK_BYTES = 1 << 20     # of the optimizer's estimate; daily bars are about 10 bytes of it, so about 100,000 bars
 _ONE = "one_block"
+_SPAN = "span_s"
 
 
 def plan_bytes(df: DataFrame) -> int | None:
@@ -62,6 +65,21 @@ def spread(df: DataFrame, source: DataFrame, *keys: str) -> DataFrame:
     return df if n is None or n <= 8 else df.repartition(n, *keys)
 
 
+def spanned(bars: DataFrame, times: DataFrame, at: str = "ts") -> DataFrame:
+    """``bars`` that know how long their clock is: the seconds from the first to the last time (column ``at``) of ``times``, from which they are made, one pass over one column.
+    Only a table that would be cut is asked."""
+    size = plan_bytes(bars)
+    if size is not None and size <= SMALL_BYTES:
+        return bars
+    second = F.unix_seconds(F.col(at).cast("timestamp"))
+    first, last = times.agg(F.min(second), F.max(second)).first()
+    return bars if first is None else bars.withMetadata("ts", {_SPAN: last - first})
+
+
+def _short(bars: DataFrame, interval_s: int, block_rows: int) -> bool:
+    return bars.schema["ts"].metadata.get(_SPAN, math.inf) <= interval_s * block_rows
+
+
 def one_block(df: DataFrame) -> bool:
     return bool(df.schema[BLK].metadata.get(_ONE))
 
@@ -75,7 +93,7 @@ def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block
         raise ValueError("block_rows must exceed halo and ahead by 2 * bucket_rows")
     carry = carry or {}
     size = plan_bytes(bars) if small_bytes else None
-    if size is not None and size <= small_bytes:
+    if size is not None and size <= small_bytes or _short(bars, interval_s, block_rows):
         df = spread(bars, bars, "ticker").withColumns({BLK: F.lit(0), HALO: F.lit(False), **{name: F.lit(0.0) for name in carry}})
         return df.withMetadata(BLK, {_ONE: True, "halo": halo, "ahead": ahead}).withColumn(POS, F.row_number().over(_w()).cast("long") - 1)
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(interval_s * bucket_rows))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barflow.operators import bars as B
+from barflow.operators import bars as B, series as S
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,7 +19,8 @@ def line_ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars_1d(spark: SparkSession, sf: str) -> DataFrame:
-    return B.day_bars(line_ticks(spark, sf), ["l_orderkey", "l_linenumber", "l_partkey"])
+    ticks = line_ticks(spark, sf)
+    return S.spanned(B.day_bars(ticks, ["l_orderkey", "l_linenumber", "l_partkey"]), ticks)
 
 
 def venue_bars(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,15 +38,17 @@ def event_ticks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bars_15m(spark: SparkSession, sf: str) -> DataFrame:
-    return B.tumbling_bars(event_ticks(spark, sf), "15 minutes", "event_id").drop("trades")
+    ticks = event_ticks(spark, sf)
+    return S.spanned(B.tumbling_bars(ticks, "15 minutes", "event_id").drop("trades"), ticks)
 
 
 def bars_1h(spark: SparkSession, sf: str) -> DataFrame:
-    return B.tumbling_bars(event_ticks(spark, sf), "1 hour", "event_id").drop("trades")
+    ticks = event_ticks(spark, sf)
+    return S.spanned(B.tumbling_bars(ticks, "1 hour", "event_id").drop("trades"), ticks)
 
 
 def bars_1w(spark: SparkSession, sf: str) -> DataFrame:
-    return B.rollup_bars(bars_1d(spark, sf), "week")
+    return S.spanned(B.rollup_bars(bars_1d(spark, sf), "week"), line_ticks(spark, sf))
 
 
 # Documents carry no time, author or votes: these rules stand in for them.

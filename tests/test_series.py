@@ -133,3 +133,18 @@ def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
         got = S.unblock(S.ewm(S.blocked(bars, small_bytes=small), {"e": (F.col("close"), 0.1, False)}))
         assert got.rdd.getNumPartitions() in (20, 21)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_short_clock_needs_no_cut(spark, walk, monkeypatch):
+    """A large table whose first and last time are close is one block per ticker and goes through one shuffle; a longer clock is cut as before, with equal values."""
+    bars = spark.createDataFrame(walk)
+    monkeypatch.setattr(S, "SMALL_BYTES", 0)
+    days = int((walk.ts.max() - walk.ts.min()).days)
+    got = {}
+    for rows in (days, days - 1):
+        b = S.blocked(S.spanned(bars, bars), carry=I.vwap_carry(), halo=700, ahead=64, block_rows=rows, bucket_rows=16, small_bytes=0)
+        assert S.one_block(b) == (rows == days)
+        got[rows] = run(b)
+    shuffles = S.blocked(S.spanned(bars, bars), small_bytes=0)._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert shuffles == 1 and "span_s" not in bars.schema["ts"].metadata
+    pd.testing.assert_frame_equal(got[days], got[days - 1], rtol=1e-9, check_exact=False)
