@@ -18,7 +18,7 @@ def _bucket(ts: Column, span_s: int) -> Column:
 
 
 def _bucket_arrays(bars: DataFrame, cols: list[str], span_s: int) -> DataFrame:
-    return bars.select("ticker", _bucket(c("ts"), span_s).alias("_tb"), F.struct("ts", *cols).alias("_bar")) \
+    return bars.select("ticker", _bucket(c("ts"), span_s).alias("_tb"), F.struct("ts", *cols).alias("_bar")).filter(c("ticker").isNotNull() & c("_tb").isNotNull()) \
         .groupBy("ticker", "_tb").agg(F.array_sort(F.collect_list("_bar")).alias("_bars"))
 
 
@@ -35,6 +35,7 @@ def known_around(rows: DataFrame, order: str, before: dict[str, str] | None = No
     first and last known values, these rows alone are scanned along the ticker, and what they carry fills the edges of the blocks."""
     before, after = before or {}, after or {}
     rows = rows.withColumn("_sb", F.floor(c(order) / F.lit(block)))
+    rows = rows.filter(c("ticker").isNotNull() & c("_sb").isNotNull())      # the join below drops them anyway; said here, both of its sides share their shuffles
     known = lambda x: F.when(c(x).isNotNull(), c(order))
     edge = rows.groupBy("ticker", "_sb").agg(*[F.max_by(x, known(x)).alias(f"_e{n}") for n, x in before.items()],
                                              *[F.min_by(x, known(x)).alias(f"_e{n}") for n, x in after.items()])
@@ -59,13 +60,13 @@ def asof_join(left: DataFrame, bars: DataFrame, at: str, cols: list[str], direct
     bucket meet the rows that ask for it afterwards: no window holds them, and none but the one over blocks runs along a whole ticker."""
     span = interval_s * bucket_rows
     probe = left.withColumn("_tb", _bucket(c(at), span))
-    bar = F.struct("ts", *cols)
-    edges = bars.groupBy("ticker", _bucket(c("ts"), span).alias("_tb")).agg(F.min_by(bar, "ts").alias("_first"), F.max_by(bar, "ts").alias("_last"))
+    arrays = _bucket_arrays(bars, cols, span)      # read twice, with the same columns, so that its shuffle is shared and ``bars`` are made once
+    edges = arrays.select("ticker", "_tb", F.element_at("_bars", F.lit(1)).alias("_first"), F.element_at("_bars", F.lit(-1)).alias("_last"))
     none = F.lit(None).cast(edges.schema["_first"].dataType)
     asked = probe.select("ticker", "_tb", none.alias("_first"), none.alias("_last"))
     keys = edges.unionByName(asked).groupBy("ticker", "_tb").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
     grid = known_around(keys, "_tb", {"_prev": "_last"} if direction != "forward" else {}, {"_next": "_first"} if direction != "backward" else {}, block)
-    grid = grid.drop("_first", "_last").join(_bucket_arrays(bars, cols, span), ["ticker", "_tb"], "left")
+    grid = grid.drop("_first", "_last").join(arrays, ["ticker", "_tb"], "left")
     df = probe.join(grid, ["ticker", "_tb"], "left")
     before = after = None
     if direction != "forward":
