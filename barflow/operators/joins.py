@@ -17,8 +17,12 @@ def _bucket(ts: Column, span_s: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(span_s))
 
 
-def _bucket_arrays(bars: DataFrame, cols: list[str], span_s: int) -> DataFrame:
-    return bars.select("ticker", _bucket(c("ts"), span_s).alias("_tb"), F.struct("ts", *cols).alias("_bar")).filter(c("ticker").isNotNull() & c("_tb").isNotNull()) \
+def _bucket_arrays(bars: DataFrame, cols: list[str], span_s: int, early_s: int = 0) -> DataFrame:
+    """Sorted bars of each bucket; with ``early_s`` also of the buckets that begin up to so many seconds before a bar."""
+    own = _bucket(c("ts"), span_s)
+    if early_s:
+        own = F.explode(F.sequence(_bucket(c("ts") - F.make_dt_interval(secs=F.lit(early_s)), span_s), own))
+    return bars.select("ticker", own.alias("_tb"), F.struct("ts", *cols).alias("_bar")).filter(c("ticker").isNotNull() & c("_tb").isNotNull()) \
         .groupBy("ticker", "_tb").agg(F.array_sort(F.collect_list("_bar")).alias("_bars"))
 
 
@@ -88,16 +92,13 @@ def bars_after(left: DataFrame, key: list[str], bars: DataFrame, cols: list[str]
                bucket_rows: int = BUCKET_ROWS, out: str = "future") -> DataFrame:
     """Range join: all bars strictly after ``ts`` and at most ``horizon_s`` later, as one sorted array per left row.
 
-    ``key`` identifies a left row.  The array is bounded by horizon / interval."""
-    span = interval_s * bucket_rows
-    arrays = _bucket_arrays(bars, cols, span)
+    ``key`` identifies a left row.  A bar goes to its own bucket and to the one before, if rows there reach it; a bucket is as long as the horizon at least, so
+    there is one other at most. A left row meets the array of its bucket and keeps what it reaches: no row is repeated, and no array is shuffled again.
+    The array is bounded by horizon / interval, that of a bucket by (horizon + bucket) / interval."""
+    span = max(interval_s * bucket_rows, horizon_s)
     end = c("ts") + F.make_dt_interval(secs=F.lit(horizon_s))
-    probe = left.withColumn("_end", end).withColumn(
-        "_tb", F.explode(F.sequence(_bucket(c("ts"), span), _bucket(c("_end"), span))))
-    hit = probe.join(arrays, ["ticker", "_tb"]).withColumn(
-        "_bars", F.filter("_bars", lambda b: (b["ts"] > c("ts")) & (b["ts"] <= c("_end"))))
-    found = hit.groupBy(*key).agg(F.array_sort(F.flatten(F.collect_list("_bars"))).alias(out))
-    return left.join(found, key, "left")
+    hit = left.withColumn("_tb", _bucket(c("ts"), span)).join(_bucket_arrays(bars, cols, span, horizon_s), ["ticker", "_tb"], "left")
+    return hit.withColumn(out, F.filter("_bars", lambda b: (b["ts"] > c("ts")) & (b["ts"] <= end))).drop("_tb", "_bars")
 
 
 #: Children of a node, and seconds that make every time of the calendar positive.
