@@ -285,6 +285,20 @@ def lifecycle(preds: DataFrame, outcomes: DataFrame, key: list[str]) -> DataFram
     return preds.join(out, key, "left").withColumn("status", F.coalesce("status", F.lit("pending")))
 
 
+def outcomes(preds: DataFrame, bars: DataFrame, horizon: str = "1 hour", slack: str = "15 minutes", late: str = "30 minutes",
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``evaluate_predictions`` for the tables that a stream has written so far, and one ``pending`` for each prediction that is neither evaluated nor
+    behind the watermark (``late`` before the newest prediction or bar, whichever is older).
+
+    A prediction meets every bar of its interval, so pairs grow with the square of what a stretch of the clock holds. They are made while the result is read
+    and stored nowhere: the stream writes each row once, and the join deals each prediction once and each bar twice, by ticker and stretch."""
+    end = c("p_ts") + F.expr(f"INTERVAL {horizon} + INTERVAL {slack}")
+    newest = preds.agg(F.max("ts").alias("_p")).crossJoin(bars.agg(F.max("ts").alias("_b"))).select((F.least("_p", "_b") - F.expr(f"INTERVAL {late}")).alias("_mark"))
+    out = evaluate_predictions(preds, bars, horizon, slack, late, keep).crossJoin(F.broadcast(newest))
+    behind = F.coalesce(end < c("_mark"), F.lit(False))
+    return out.withColumn("status", F.when((c("status") == "expired") & ~behind, "pending").otherwise(c("status"))).drop("_mark")
+
+
 def run_to_files(stream: DataFrame, folder: str) -> DataFrame:
     """Drain the input once, append to Parquet under ``folder`` and return the written table."""
     q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out") \

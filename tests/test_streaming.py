@@ -66,6 +66,30 @@ def test_predictions_expire_or_stay_open(spark, tmp_path):
     assert (3, "evaluated", pytest.approx(3.0)) in state(run())
 
 
+def test_outcomes_of_tables_are_those_of_the_stream(spark, tmp_path):
+    """Pairs made from the tables when they are read: the same rows and states, also where times repeat, at the watermark and for equal ids."""
+    p_in, b_in = str(tmp_path / "p"), str(tmp_path / "b")
+    preds = [("A", at(0), 100.0, 1), ("A", at(0), 50.0, 1), ("A", at(2), 100.0, 2), ("A", at(30), 100.0, 3), ("B", at(0), 50.0, 4), ("B", at(28.25), 50.0, 5), ("B", at(28.2), 50.0, 6)]
+    bars = [("A", at(1), 110.0), ("A", at(1.25), 90.0), ("A", at(1.2), 90.0), ("A", at(1.2), 80.0), ("A", at(29.5), 1.0), ("B", at(2), 60.0), ("A", at(30.2), 5.0)]
+    feed(spark, p_in, preds, ["ticker", "ts", "price", "id"]), feed(spark, b_in, bars, ["ticker", "ts", "close"])
+    got = L.outcomes(spark.read.parquet(p_in), spark.read.parquet(b_in), keep=("id",)).collect()
+    assert sorted((r.id, r.status, round(r.actual_pct, 6) if r.actual_pct is not None else 0) for r in got) == [
+        (1, "evaluated", -20.0), (1, "evaluated", -10.0), (1, "evaluated", 10.0), (1, "evaluated", 60.0), (1, "evaluated", 80.0), (1, "evaluated", 120.0),
+        (2, "expired", 0), (3, "pending", 0), (4, "expired", 0), (5, "pending", 0), (6, "expired", 0)]
+
+
+def test_the_prediction_query_stores_no_pairs(spark):
+    import glob
+    import os
+    import __spark_entry__ as entry
+    from barflow.session import shared_dir
+    sf = "/root/testdata/sf0.001"
+    rows = entry.queries()["live_prediction_join"](spark, sf).count()
+    newest = max(glob.glob(f"{shared_dir(spark)}/pred-*"), key=os.path.getmtime)
+    stored, events = spark.read.parquet(f"{newest}/out").count(), spark.read.parquet(f"{sf}/events.parquet").count()
+    assert stored == events and rows >= events
+
+
 def test_repeats_over_batches(spark, tmp_path):
     rng, folder = np.random.default_rng(8), str(tmp_path / "in")
     times = {k: np.sort(rng.uniform(0, 200, 150)) for k in ("x", "y")}
