@@ -132,21 +132,24 @@ def fitted_signals(rows: DataFrame, lookback_days: int = 90, test_days: int = 20
 
     ``rows``: ticker, ts, feature, next_ret, next_ts. A pair is learnt from once its next bar is known, so on the day of next_ts. The sums that the line
     needs are kept per stretch of days that divides all three lengths, and a window adds up those of its training days: no row is read twice.
-    Windows without two different features to learn from have signal 0. Adds ``split`` and ``signal``; rows before the first window are left out."""
+    Windows without two different features to learn from have signal 0. Adds ``split`` and ``signal``; rows before the first window are left out. Where ``rows`` have
+    ``first_ts``, the first time of their ticker, nothing is joined to find it, and rows that lie by ticker stay where they are."""
     step = math.gcd(lookback_days, test_days, min_train_days)
-    first = rows.groupBy("ticker").agg(F.min("ts").alias("_t0"))
-    df = salted_join(rows, first, ["ticker"], ["ts"])
+    if "first_ts" in rows.columns:
+        df = rows.withColumnRenamed("first_ts", "_t0")
+    else:
+        df = salted_join(rows, rows.groupBy("ticker").agg(F.min("ts").alias("_t0")), ["ticker"], ["ts"])
     x, y = c("feature"), c("next_ret")
-    pairs = df.filter(x.isNotNull() & y.isNotNull()).withColumn("_d", F.floor(F.datediff("next_ts", "_t0") / step))
-    sums = pairs.groupBy("ticker", "_d").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(n) for n, v in (("_x", x), ("_y", y), ("_xy", x * y), ("_xx", x * x))])
-    ends = df.select("ticker", F.floor(F.datediff("ts", "_t0") / step).alias("_d"))
-    zero = [F.lit(0).cast("long").alias("_n"), *[F.lit(0.0).alias(n) for n in ("_x", "_y", "_xy", "_xx")]]
-    #: every window's first stretch is there, with sums of its own or without
-    starts = ends.select("ticker", (F.floor((c("_d") * step - min_train_days) / test_days) * test_days + min_train_days).alias("_s")) \
-        .filter(c("_s") >= min_train_days).distinct().select("ticker", F.floor(c("_s") / step).alias("_d"), *zero)
+    n, names = F.when(x.isNotNull() & y.isNotNull(), F.lit(1).cast("long")), ("_n", "_x", "_y", "_xy", "_xx")
+    own = F.struct(F.floor(F.datediff("next_ts", "_t0") / step).alias("_d"), n.alias("_n"), *[(v * n).alias(k) for k, v in zip(names[1:], (x, y, x * y, x * x))])
+    #: every window's first stretch is there, with sums of its own or without; one pass gives both
+    start = F.floor((F.floor(F.datediff("ts", "_t0") / step) * step - min_train_days) / test_days) * test_days + min_train_days
+    first = F.struct(F.floor(start / step).alias("_d"), F.lit(0).cast("long").alias("_n"), *[F.lit(0.0).alias(k) for k in names[1:]])
+    stretches = F.array(F.when(n == 1, own), F.when(start >= min_train_days, first))
+    known = df.select("ticker", F.explode(F.filter(stretches, lambda s: s.isNotNull())).alias("_s")).select("ticker", "_s.*")
+    known = known.groupBy("ticker", "_d").agg(*[F.sum(k).alias(k) for k in names])
     w = Window.partitionBy("ticker").orderBy("_d").rangeBetween(-(lookback_days // step), -1)       # one row per stretch of days
-    known = sums.unionByName(starts).groupBy("ticker", "_d").agg(*[F.sum(n).alias(n) for n in ("_n", "_x", "_y", "_xy", "_xx")])
-    known = known.select("ticker", "_d", *[F.sum(n).over(w).alias(n) for n in ("_n", "_x", "_y", "_xy", "_xx")])
+    known = known.select("ticker", "_d", *[F.sum(k).over(w).alias(k) for k in names])
     spread = c("_n") * c("_xx") - c("_x") * c("_x")
     slope = F.when((c("_n") >= 2) & (spread > 1e-12 * c("_n") * c("_xx")), (c("_n") * c("_xy") - c("_x") * c("_y")) / spread)
     rules = known.select("ticker", ((c("_d") * step - min_train_days) / test_days).alias("_f"), slope.alias("slope"), ((c("_y") - slope * c("_x")) / c("_n")).alias("base")) \

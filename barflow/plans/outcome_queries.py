@@ -1,7 +1,7 @@
 """Outcome evaluation and text mentions: queries and their SQL."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from barflow.functions.scalar import r
 from barflow.operators import evaluate as V2, indicators as I, mentions as M, series as S
@@ -160,7 +160,9 @@ def eval_recommendations(spark, sf):
 def eval_walk_forward(spark, sf):
     df = S.blocked(V.bars_1d(spark, sf))
     df = df.withColumns({"feature": F.try_divide(c("close"), S.lag("close", 5)) - 1, "next_ret": F.try_divide(S.lead("close"), c("close")) - 1, "next_ts": S.lead("ts")})
-    rows = S.unblock(df).select("ticker", "ts", "feature", "next_ret", "next_ts")
+    if S.one_block(df):
+        df = df.withColumn("first_ts", F.min("ts").over(Window.partitionBy("ticker", S.BLK)))
+    rows = S.unblock(df).drop("open", "high", "low", "close", "volume")
     g = V2.walk_forward(V2.fitted_signals(rows, 90, 20, 60, 0.001), 0.001)
     return g.withColumns({x: r(c(x)) for x in ("total_return", "sharpe", "max_drawdown", "win_rate", "profit_factor")})
 

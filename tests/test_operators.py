@@ -320,3 +320,17 @@ def test_range_join_shuffles_no_arrays(spark, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_walk_forward_rows_that_know_their_start_stay(spark):
+    """The rule of a window does not depend on how the ticker's first time is found; with it, rows are not dealt anew to look it up."""
+    rng = np.random.default_rng(9)
+    ts = pd.Timestamp("2020-01-01") + pd.to_timedelta(np.arange(300), "D")
+    rows = pd.concat([pd.DataFrame({"ticker": t, "ts": ts, "feature": rng.normal(size=300), "next_ret": rng.normal(size=300) / 50, "next_ts": ts + pd.Timedelta(days=1)}) for t in "AB"])
+    df = spark.createDataFrame(rows).withColumn("feature", F.when(F.dayofmonth("ts") != 7, c("feature")))
+    known = df.withColumn("first_ts", F.lit(ts[0].to_pydatetime()).cast(df.schema["ts"].dataType))
+    plan = V.fitted_signals(known, cost=0.001)
+    want = V.fitted_signals(df, cost=0.001)
+    assert "_salt" not in plan._jdf.queryExecution().analyzed().toString() and plan.columns == want.columns
+    got, want = (sorted(map(tuple, x.select("ticker", "ts", "split", "signal").collect())) for x in (plan, want))
+    assert got == want and {s for *_, s in got} == {-1, 0, 1} and len(got) == 480
