@@ -69,9 +69,12 @@ def trade_outcomes(trades: DataFrame, bars: DataFrame, now: Column, horizon_s: i
     or for ``horizon_s`` if it is given."""
     buy = F.coalesce(c("action") == "BUY", F.lit(False))
     near = lambda x: c(x) if horizon_s is None else F.when(c(x) <= c("ts") + F.make_dt_interval(secs=F.lit(horizon_s)), c(x))
-    tree = J.touch_tree(bars, interval_s)
-    df = J.first_touch(trades, tree, "ts", buy, c("entry"), interval_s, out="trigger_ts").withColumn("trigger_ts", near("trigger_ts"))
-    df = J.first_touches(df, tree, "trigger_ts", {"stop_ts": (~buy, c("stop_loss")), "target_ts": (buy, c("target"))}, interval_s, True)
+    if S.short_clock(bars, interval_s):
+        df = J.touches_by_ticker(trades, bars, buy, horizon_s)
+    else:
+        tree = J.touch_tree(bars, interval_s)
+        df = J.first_touch(trades, tree, "ts", buy, c("entry"), interval_s, out="trigger_ts").withColumn("trigger_ts", near("trigger_ts"))
+        df = J.first_touches(df, tree, "trigger_ts", {"stop_ts": (~buy, c("stop_loss")), "target_ts": (buy, c("target"))}, interval_s, True)
     df = df.withColumns({"stop_ts": near("stop_ts"), "target_ts": near("target_ts")})
     old = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(c("ts").cast("timestamp")) > expiry_s
     status = pick((c("trigger_ts").isNull() & old, "expired"), (c("trigger_ts").isNull(), "pending"),

@@ -5,8 +5,13 @@ other side meets that one row per bucket: no range join, no pairs, and a hot buc
 execution because the right side has one row per key."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from barflow.operators import series as S
 from barflow.session import cut_lineage
 
 c = F.col
@@ -171,6 +176,87 @@ def first_touches(searches: DataFrame, tree: list[DataFrame], at: str, wanted: d
     return df.drop(*[f"{x}{i}" for i in ids for x in ("_up", "_t", "_id", "_at")])
 
 
+def touches_by_ticker(trades: DataFrame, bars: DataFrame, buy: Column, horizon_s: int | None = None) -> DataFrame:
+    """Adds trigger_ts (entry), stop_ts (stop_loss) and target_ts (target) as two rounds of ``first_touches`` give them, for bars of which a block holds any ticker's
+    (``series.short_clock``): bars and trades are shuffled once by ticker and pass sorted through Arrow. A task holds the bars of one ticker and a batch of trades; a
+    search skips 2^k bars at a time by the highest high and lowest low of as many."""
+    kept = trades.columns
+    rows = trades.withColumns({"_bar": F.lit(False), "_buy": buy}).unionByName(bars.select(
+        "ticker", "ts", F.lit(True).alias("_bar"), c("high").alias("_high"), c("low").alias("_low")), allowMissingColumns=True)
+    rows = S.spread(rows.repartition("ticker"), bars, "ticker").sortWithinPartitions("ticker", c("_bar").desc(), "ts")
+    ts = bars.schema["ts"].dataType
+    schema = T.StructType([*trades.schema, *[T.StructField(x, ts) for x in ("trigger_ts", "stop_ts", "target_ts")]])
+    return rows.mapInArrow(_toucher(kept, None if horizon_s is None else horizon_s * 1_000_000), schema)
+
+
+def _toucher(kept: list[str], horizon: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def values(batch, name, missing):
+        col = batch.column(batch.schema.get_field_index(name))
+        return col.cast(pa.int64() if name == "ts" else pa.float64()).fill_null(missing).to_numpy(zero_copy_only=False)
+
+    def tables(x):
+        """Level k: the highest of the 2^k values from each on, as far as there are any."""
+        out = [x]
+        while 1 << (len(out) - 1) < len(x):
+            last, half = out[-1], 1 << (len(out) - 1)
+            out.append(np.concatenate([np.maximum(last[:-half], last[half:]), last[-half:]]))
+        return out
+
+    def search(levels, start, least):
+        n, at = len(levels[0]), start
+        for k in range(len(levels) - 1, -1, -1):
+            there = at < n
+            skip = there & ~(levels[k][np.where(there, at, 0)] >= least)
+            at = np.where(skip, np.minimum(at + (1 << k), n), at)
+        return at
+
+    def run(batches):
+        ticker, parts, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(batch.schema.get_field_index("ticker")).to_numpy(zero_copy_only=False)
+            is_bar = batch.column(batch.schema.get_field_index("_bar")).to_numpy(zero_copy_only=False)
+            time, high, low = values(batch, "ts", 0), values(batch, "_high", -np.inf), -values(batch, "_low", np.inf)
+            high, low = np.where(np.isnan(high), np.inf, high), np.where(np.isnan(low), -np.inf, low)
+            dated = batch.column(batch.schema.get_field_index("ts")).is_valid().to_numpy(zero_copy_only=False)
+            up = values(batch, "_buy", 0) > 0
+            want = {x: values(batch, x, np.nan) for x in ("entry", "stop_loss", "target")}
+            hits = np.zeros((3, batch.num_rows), np.int64), np.zeros((3, batch.num_rows), bool)
+            cuts = np.flatnonzero((names[1:] != names[:-1]) | (is_bar[1:] != is_bar[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if names[a] != ticker or names[a] is None:
+                    ticker, parts, index = names[a], [], None
+                if is_bar[a]:
+                    parts.append([x[a:b][dated[a:b]] for x in (time, high, low)])
+                    continue
+                if ticker is None or not parts:
+                    continue
+                if index is None:
+                    bar, *sides = [np.concatenate(x) for x in zip(*parts)]
+                    index = bar, [tables(x) for x in sides]
+                bar, sides = index
+                own, rising, n = slice(a, b), up[a:b], len(bar)
+
+                def touch(rising, level, start):
+                    at = np.where(rising, search(sides[0], start, level), search(sides[1], start, -level))
+                    return np.where(np.isnan(level), n, at)
+                trigger = touch(rising, want["entry"][own], np.searchsorted(bar, time[own], "right"))
+                trigger = np.where(dated[own], trigger, n)
+                if horizon is not None:
+                    trigger = np.where(np.append(bar, 0)[trigger] <= time[own] + horizon, trigger, n)
+                found = [trigger, touch(~rising, want["stop_loss"][own], trigger), touch(rising, want["target"][own], trigger)]
+                for i, at in enumerate(found):
+                    hits[0][i, own], hits[1][i, own] = np.append(bar, 0)[at], at < n
+            rest = ~is_bar
+            if rest.any():
+                trades, kind = batch.filter(pa.array(rest)), batch.schema.field("ts").type
+                arrays = [trades.column(trades.schema.get_field_index(x)) for x in kept]
+                arrays += [pa.array(hits[0][i][rest], pa.int64(), mask=~hits[1][i][rest]).cast(kind) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "trigger_ts", "stop_ts", "target_ts"])
+    return run
+
+
 def latest_rows(df: DataFrame, keep: list[str]) -> DataFrame:
     """Latest row per ticker (combines map-side, no sort)."""
     return df.groupBy("ticker").agg(F.max_by(F.struct("ts", *keep), "ts").alias("_x")).select("ticker", "_x.*")

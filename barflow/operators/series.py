@@ -76,7 +76,8 @@ def spanned(bars: DataFrame, times: DataFrame, at: str = "ts") -> DataFrame:
     return bars if first is None else bars.withMetadata("ts", {_SPAN: last - first})
 
 
-def _short(bars: DataFrame, interval_s: int, block_rows: int) -> bool:
+def short_clock(bars: DataFrame, interval_s: int, block_rows: int = BLOCK_ROWS) -> bool:
+    """Whether the bars of any ticker are known to fit a block."""
     return bars.schema["ts"].metadata.get(_SPAN, math.inf) <= interval_s * block_rows
 
 
@@ -93,7 +94,7 @@ def blocked(bars: DataFrame, interval_s: int = DAY, halo: int = HALO_ROWS, block
         raise ValueError("block_rows must exceed halo and ahead by 2 * bucket_rows")
     carry = carry or {}
     size = plan_bytes(bars) if small_bytes else None
-    if size is not None and size <= small_bytes or _short(bars, interval_s, block_rows):
+    if size is not None and size <= small_bytes or short_clock(bars, interval_s, block_rows):
         df = spread(bars, bars, "ticker").withColumns({BLK: F.lit(0), HALO: F.lit(False), **{name: F.lit(0.0) for name in carry}})
         return df.withMetadata(BLK, {_ONE: True, "halo": halo, "ahead": ahead}).withColumn(POS, F.row_number().over(_w()).cast("long") - 1)
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(interval_s * bucket_rows))

@@ -1,6 +1,7 @@
 """Small hand-made cases and brute-force comparisons."""
 import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -334,3 +335,34 @@ def test_walk_forward_rows_that_know_their_start_stay(spark):
     assert "_salt" not in plan._jdf.queryExecution().analyzed().toString() and plan.columns == want.columns
     got, want = (sorted(map(tuple, x.select("ticker", "ts", "split", "signal").collect())) for x in (plan, want))
     assert got == want and {s for *_, s in got} == {-1, 0, 1} and len(got) == 480
+
+
+@pytest.mark.parametrize("horizon", [None, 20])
+def test_touches_in_one_pass_are_those_of_the_tree(spark, monkeypatch, horizon):
+    """Bars on a short clock are searched in one sorted pass without joins or stored levels: the same outcomes, also for trades between bars, without a level,
+    action, time or ticker, and for tickers without bars."""
+    rng = np.random.default_rng(6)
+    frames = []
+    for t, n in (("A", 600), ("B", 40), ("C", 1)):
+        close = 100 + np.cumsum(rng.normal(0, 1, n))
+        day = pd.Timestamp("2020-01-01") + pd.to_timedelta(np.sort(rng.choice(700, n, False)), "D")
+        frames.append(pd.DataFrame({"ticker": t, "ts": day, "high": close + 1, "low": close - 1, "close": close}))
+    bars = pd.concat(frames, ignore_index=True)
+    trades = bars.sample(300, random_state=1).reset_index(drop=True)
+    trades["ts"] += pd.to_timedelta(rng.integers(-1, 2, 300) * 6, "h")
+    buy, step = rng.random(300) < 0.5, rng.choice([1, 3, 9, 40], 300)
+    sign = np.where(buy, 1, -1)
+    trades = pd.DataFrame({"id": np.arange(300), "ticker": trades.ticker, "ts": trades.ts, "action": np.where(buy, "BUY", "SELL"), "entry": trades.close + sign,
+                           "stop_loss": trades.close - sign * step, "target": trades.close + sign * step})
+    df = spark.createDataFrame(trades).withColumns({
+        "entry": F.when(c("id") % 31 != 0, c("entry")), "target": F.when(c("id") % 17 != 0, c("target")), "action": F.when(c("id") % 23 != 0, c("action")),
+        "ts": F.when(c("id") % 41 != 0, c("ts")), "ticker": F.when(c("id") % 37 == 0, None).when(c("id") % 29 == 0, "D").otherwise(c("ticker"))})
+    b, now = spark.createDataFrame(bars[["ticker", "ts", "high", "low"]]), F.lit("2022-01-01").cast("timestamp")
+    seconds = horizon and horizon * 86400
+    want = V.trade_outcomes(df, b, now, seconds)
+    monkeypatch.setattr(S, "SMALL_BYTES", 0)
+    got = V.trade_outcomes(df, S.spanned(b, b), now, seconds)
+    assert not any(x.startswith("Join") for x in re.findall(r"\w+", got._jdf.queryExecution().optimizedPlan().toString()))
+    assert sorted(got.columns) == sorted(want.columns) and got.schema["stop_ts"].dataType == want.schema["stop_ts"].dataType
+    got, want = (sorted(map(tuple, x.collect())) for x in (got.select("id", "trigger_ts", "stop_ts", "target_ts", "status"), want.select("id", "trigger_ts", "stop_ts", "target_ts", "status")))
+    assert got == want and {x[-1] for x in got} == {"triggered", "hit_target", "hit_stop", "expired"} | ({"pending"} if any(x[-1] == "pending" for x in want) else set())
