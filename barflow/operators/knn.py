@@ -91,12 +91,12 @@ def cross_library(bars: DataFrame, n: int = 20, ahead=(4, 12, 26), interval_s: i
 
 def regime_library(bars: DataFrame, regimes: DataFrame, n: int = 20, ahead: tuple[int, int, int] = (4, 12, 24), interval_s: int = 900) -> DataFrame:
     """Windows of the n closes before each bar whose regime (ticker, ts, regime) is known. Returns run from the last close of the window to the bars ``ahead``
-    of the bar after it; the middle one must exist, the longest ends with the data at the latest."""
-    df = S.blocked(bars, interval_s)
+    of the bar after it; the middle one must exist, the longest ends with the data at the latest. Regimes join the bars, which are narrow, not the windows."""
+    df = S.blocked(bars.select("ticker", "ts", "close").join(regimes.select("ticker", "ts", "regime", F.lit(True).alias("_known")), ["ticker", "ts"], "left"), interval_s)
     h1, h3, eod = ahead
     df = df.withColumns({**window("close", n, S.w(n, 1)), "_base": S.lag("close"), "_h1": S.lead("close", h1), "_h3": S.lead("close", h3),
                          "_eod": F.last("close").over(S.ahead(0, eod))})
-    df = S.unblock(df.filter((c(S.POS) >= n) & c("_h3").isNotNull())).join(regimes, ["ticker", "ts"])
+    df = S.unblock(df.filter((c(S.POS) >= n) & c("_h3").isNotNull() & c("_known")))
     return df.select("ticker", "ts", "regime", zscored("_w").alias("shape"), *[
         (div(c(f"_{h}"), c("_base")) - 1).alias(h) for h in HORIZONS]).filter(c("shape").isNotNull())
 
@@ -177,7 +177,16 @@ def nearest(library: DataFrame, queries: DataFrame, k: int, n: int, weights: lis
             scale: Column | None = None, only: Column | None = None, times: DataFrame | None = None, interval_s: int = 900) -> DataFrame:
     """The k nearest library rows (ticker, ts, shape of n values, ...) of every query row (``by``, query, ...), ties by time, with ``dist`` and ``library_size``, the
     number of rows that a query met. ``scale`` multiplies the distance, ``only`` keeps pairs out; ``times`` (ticker, ts) has every time of the library,
-    where that is cheaper to read than the library itself."""
+    where that is cheaper to read than the library itself.
+
+    Where a ticker's whole clock is short (``series.short_clock``), its rows are bounded and lie together: every pair is compared in full there, in one pass, and no
+    window is moved."""
+    if S.short_clock(library, interval_s):
+        j = library.join(queries, "ticker")
+        j = (j if only is None else j.filter(only)).withColumn("dist", distance("query", "shape", weights) * (F.lit(1.0) if scale is None else scale)).drop("query", "shape")
+        each = Window.partitionBy(*by)
+        j = j.withColumns({"_rn": F.row_number().over(each.orderBy("dist", "ts")), "library_size": F.count(F.lit(1)).over(each)})
+        return j.filter(c("_rn") <= k).drop("_rn")
     _, close = _compared(library, queries, k, n, weights, by, scale, only, times, interval_s)
     close = close.filter(c("_limit").isNull() | (c("dist") <= c("_limit") * (1 + 1e-9) + 1e-12))
     w = Window.partitionBy(*by).orderBy("dist", "ts")

@@ -366,3 +366,24 @@ def test_touches_in_one_pass_are_those_of_the_tree(spark, monkeypatch, horizon):
     assert sorted(got.columns) == sorted(want.columns) and got.schema["stop_ts"].dataType == want.schema["stop_ts"].dataType
     got, want = (sorted(map(tuple, x.collect())) for x in (got.select("id", "trigger_ts", "stop_ts", "target_ts", "status"), want.select("id", "trigger_ts", "stop_ts", "target_ts", "status")))
     assert got == want and {x[-1] for x in got} == {"triggered", "hit_target", "hit_stop", "expired"} | ({"pending"} if any(x[-1] == "pending" for x in want) else set())
+
+
+def test_a_short_library_is_compared_where_it_lies(spark, monkeypatch):
+    """The k nearest windows and the forecast are the same in one pass by ticker as by slices of the clock; no window is dealt by slices, and regimes join bare bars."""
+    rng = np.random.default_rng(13)
+    bars = pd.concat([pd.DataFrame({"ticker": t, "ts": pd.date_range("2020-01-01", periods=n), "close": 50 + np.cumsum(rng.normal(size=n))}) for t, n in (("A", 300), ("B", 60))])
+    b = spark.createDataFrame(bars)
+    regimes = b.filter(F.dayofmonth("ts") > 3).select("ticker", "ts", F.when(F.dayofmonth("ts") != 9, F.dayofmonth("ts") % 3).alias("regime"))
+    monkeypatch.setattr(S, "SMALL_BYTES", 0)
+    got = []
+    for frame in (b, S.spanned(b, b)):
+        lib = N.regime_library(frame, regimes, interval_s=S.DAY)
+        queries = N.current_shape(N.last_bars(frame, 20), 20).withColumn("current_regime", F.lit(1))
+        near = N.nearest(lib, queries, 5, 20, scale=1 / N.regime_similarity(0.7), interval_s=S.DAY)
+        plan = near._jdf.queryExecution().analyzed().toString()
+        assert ("_slice" in plan) == (frame is b) and plan.index("_known") > 0
+        got.append((sorted((x.ticker, x.ts, round(x.dist, 9), x.library_size) for x in near.collect()), sorted(map(tuple, N.regime_forecast(lib, queries, 5, interval_s=S.DAY).collect())),
+                    lib.count(), lib.filter("regime IS NULL").count()))
+    assert got[0][0] == got[1][0] and len(got[0][0]) == 10 and got[0][2:] == got[1][2:] and got[0][3] > 0
+    for x, y in zip(got[0][1], got[1][1]):
+        assert x[0] == y[0] and [v for v in x[1:]] == pytest.approx([v for v in y[1:]])
